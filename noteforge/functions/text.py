@@ -62,9 +62,13 @@ def html_text(html: Column | str, separator: str = "") -> Column:
     return decode_entities(out)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decode_entities(text: Column | str) -> Column:
     """Decode the entities a text contains; ``&amp;`` goes last, once."""
-    text = _col(text)
     named = F.create_map(*[F.lit(x) for pair in fixed.HTML_ENTITIES.items() for x in pair])
 
     def char_of(code: Column) -> Column:
@@ -77,14 +81,15 @@ def decode_entities(text: Column | str) -> Column:
         numeric = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
         return F.when(code.startswith("#"), numeric).otherwise(named[code])
 
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&(#?[a-zA-Z0-9]+);"), F.lit(1)))
-    later = F.filter(codes, lambda c: ~c.isin("amp", "#38"))
-
     def decode_one(acc: Column, code: Column) -> Column:
         entity = F.concat(F.lit("&"), code, F.lit(";"))
         return F.replace(acc, entity, F.coalesce(char_of(code), entity))
 
-    decoded = F.aggregate(later, text, decode_one)
+    def decode_all(t: Column) -> Column:
+        codes = F.array_distinct(F.regexp_extract_all(t, F.lit("&(#?[a-zA-Z0-9]+);"), F.lit(1)))
+        return F.aggregate(F.filter(codes, lambda c: ~c.isin("amp", "#38")), t, decode_one)
+
+    decoded = bound(_col(text), decode_all)
     return F.replace(F.replace(decoded, F.lit("&#38;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
 
 

@@ -15,7 +15,8 @@ MAX_STRATA = 100_000
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, reps: int = 1) -> DataFrame:
     """Every row once per repeat with its ``fold`` in 0..k-1; strata differ by at most one row."""
-    repeated = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))).cast("bigint"))
+    numbers = F.array(*[F.lit(r).cast("bigint") for r in range(1, reps + 1)])
+    repeated = df.withColumn("rep", F.explode(numbers))
     ranked = hash_rank(repeated, ["rep", label], [key], ["rep"])
     return ranked.withColumn("fold", (F.col("rank") - 1) % k).drop("rank")
 
@@ -49,19 +50,19 @@ def _first_share(df: DataFrame, key: str, fraction: float, strata: Sequence[str]
         .select(*strata, F.col("_h").alias("_cut_h"), F.col(key).alias("_cut_key"))
     )
     marked = df.withColumn("_h", hash_key(key, F.lit(seed)))
+
+    def at_most(cut_h: Column, cut_key: Column) -> Column:
+        return (F.col("_h") < cut_h) | ((F.col("_h") == cut_h) & (F.col(key) <= cut_key))
+
     if not strata:
         cut = cuts.first()
-        taken = (
-            F.struct("_h", key) <= F.struct(F.lit(cut["_cut_h"]), F.lit(cut["_cut_key"]))
-            if cut else F.lit(False)
-        )
+        taken = at_most(F.lit(cut["_cut_h"]), F.lit(cut["_cut_key"])) if cut else F.lit(False)
         return marked.withColumn("in_train", taken).drop("_h")
     # one row per stratum
     side = F.broadcast(cuts) if cuts.limit(MAX_STRATA + 1).count() <= MAX_STRATA else cuts
-    taken = F.struct("_h", key) <= F.struct(F.col("_cut_h"), F.col("_cut_key"))
     return (
         marked.join(side, list(strata), "left")
-        .withColumn("in_train", F.coalesce(taken, F.lit(False)))
+        .withColumn("in_train", F.coalesce(at_most(F.col("_cut_h"), F.col("_cut_key")), F.lit(False)))
         .drop("_h", "_cut_h", "_cut_key")
     )
 

@@ -131,10 +131,12 @@ def phi_report(df: DataFrame, key: str, text: str = "text", rules=tuple(fixed.PH
     Each rule sees the text the earlier rules have already masked, so one
     string is reported once. Counting happens inside the row.
     """
-    found, rest = [], F.col(text)
+    masked = df.select(key, F.col(text).alias("_rest"))
     for kind, pattern in rules:
-        hits = F.size(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)))
-        found.append(F.struct(F.lit(kind).alias("kind"), hits.cast("bigint").alias("hits")))
-        rest = F.regexp_replace(rest, pattern, f"[**{kind}**]")
-    rows = df.select(key, F.inline(F.array(*found))).where(F.col("hits") > 0)
+        hits = F.size(F.regexp_extract_all("_rest", F.lit(pattern), F.lit(0))).cast("bigint")
+        masked = masked.withColumns(
+            {f"_{kind}": hits, "_rest": F.regexp_replace("_rest", pattern, f"[**{kind}**]")}
+        )
+    found = [F.struct(F.lit(kind).alias("kind"), F.col(f"_{kind}").alias("hits")) for kind, _ in rules]
+    rows = masked.select(key, F.inline(F.array(*found))).where(F.col("hits") > 0)
     return rows.groupBy("kind").agg(F.sum("hits").alias("findings"), F.count(F.lit(1)).alias("notes"))
