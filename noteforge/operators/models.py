@@ -57,7 +57,8 @@ from noteforge.operators.splits import stratified_folds
 from noteforge.runtime import stage
 
 FEATURES, LABEL, PROBS, PREDICTION = "features", "label_idx", "probs", "prediction"
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8  # fits that run side by side
+FIT_PART_BYTES = 8 * 1024 * 1024  # vector bytes worth a task of their own
 
 # --------------------------------------------------------------------------
 # text -> features
@@ -73,7 +74,7 @@ CODE_TOKENS = r"filter(split(lower(coalesce({text}, '')), r'\s+'), t -> t <> '')
 def token_stages(text: str, tokens_sql: str = PROSE_TOKENS, stop_words=tuple(fixed.STOP_WORDS)) -> list:
     """Stages that add ``tokens``; ``tokens_sql`` is an expression over ``{text}``."""
     made = "raw_tokens" if stop_words else "tokens"
-    split = SQLTransformer(statement=f"SELECT *, {tokens_sql.format(text=text)} AS {made} FROM __THIS__")
+    split = SQLTransformer(statement=f"SELECT *, {tokens_sql.replace('{text}', text)} AS {made} FROM __THIS__")
     if not stop_words:
         return [split]
     return [split, StopWordsRemover(inputCol=made, outputCol="tokens", stopWords=list(stop_words))]
@@ -91,10 +92,10 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
 
     def _transform(self, df: DataFrame) -> DataFrame:
         @F.pandas_udf(VectorUDT())
-        def damp(counts: pd.Series) -> pd.Series:
-            return counts.map(lambda v: Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values)))
+        def damp(counts: pd.DataFrame) -> pd.DataFrame:
+            return counts.assign(values=[1.0 + np.log(v) for v in counts["values"]])
 
-        return df.withColumn(self.getOutputCol(), damp(F.col(self.getInputCol())))
+        return df.withColumn(self.getOutputCol(), damp(F.unwrap_udt(self.getInputCol())))
 
 
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol):
@@ -225,7 +226,7 @@ class Classifier:
                 model = model.setProbabilityCol("")
             df = model.transform(df)
             out.append(vector_to_array(F.col(f"_raw{i}"))[1])
-        return df, out
+        return df, [-out[0], out[0]] if self.classes == 2 else out
 
     def _probs(self, df: DataFrame) -> tuple[DataFrame, Column]:
         if self.kind == "native":
@@ -292,35 +293,47 @@ def class_counts(df: DataFrame) -> dict[int, int]:
     return {int(r[0]): int(r[1]) for r in df.groupBy(LABEL).count().collect()}
 
 
+def fit_binary(df: DataFrame, estimator: Estimator, c: int, counts: dict[int, int] | None = None):
+    """Class ``c`` against the others; with ``counts`` both sides weigh the same."""
+    binary = df.select(FEATURES, (F.col(LABEL) == c).cast("double").alias("_y"))
+    settings = {estimator.labelCol: "_y"}
+    if counts:
+        total, own = sum(counts.values()), counts.get(c, 0)
+        share = F.when(F.col("_y") == 1.0, total / (2.0 * max(own, 1))).otherwise(total / (2.0 * max(total - own, 1)))
+        binary = binary.withColumn("_w", share)
+        settings[estimator.weightCol] = "_w"
+    return estimator.copy(settings).fit(binary)
+
+
+def side_by_side(spark: SparkSession, fn: Callable, *args: list) -> list:
+    """Run independent fits from a few driver threads."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fn), *args))
+
+
 def one_vs_rest(df: DataFrame, estimator: Estimator, classes: int, balanced: bool = False) -> list:
-    """One binary model per class, fitted side by side."""
+    """One binary model per class, or a single one when there are two classes."""
+    counts = class_counts(df) if balanced else None
+    if classes == 2:
+        return [fit_binary(df, estimator, 1, counts)]
     if not balanced:
         wrapped = OneVsRest(classifier=estimator, labelCol=LABEL, featuresCol=FEATURES, parallelism=PARALLEL_FITS)
         return wrapped.fit(df.select(FEATURES, LABEL)).models
-    counts = class_counts(df)
-    total = sum(counts.values())
-
-    def fit(c: int):
-        share = {1: counts.get(c, 0), 0: total - counts.get(c, 0)}
-        binary = df.select(FEATURES, (F.col(LABEL) == c).cast("double").alias("_y"))
-        binary = binary.withColumn(
-            "_w", F.when(F.col("_y") == 1.0, total / (2.0 * max(share[1], 1))).otherwise(total / (2.0 * max(share[0], 1)))
-        )
-        return estimator.copy({estimator.labelCol: "_y", estimator.weightCol: "_w"}).fit(binary)
-
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(classes)))
+    return side_by_side(df.sparkSession, lambda c: fit_binary(df, estimator, c, counts), list(range(classes)))
 
 
 def _logistic(n: int, l1: float, max_iter: int) -> LogisticRegression:
     return LogisticRegression(
         labelCol=LABEL, featuresCol=FEATURES, regParam=1.0 / max(n, 1), elasticNetParam=l1,
-        standardization=False, maxIter=max_iter,
+        standardization=False, maxIter=max_iter, tol=1e-4,
     )
 
 
 def _margin(reg: float, max_iter: int) -> LinearSVC:
-    return LinearSVC(labelCol=LABEL, featuresCol=FEATURES, regParam=reg, maxIter=max_iter, standardization=False)
+    # the hinge has kinks: below this tolerance the solver only searches lines
+    return LinearSVC(
+        labelCol=LABEL, featuresCol=FEATURES, regParam=reg, maxIter=max_iter, standardization=False, tol=1e-3
+    )
 
 
 def calibrate(df: DataFrame, estimator: Estimator, classes: int, key: str, folds: int = 5,
@@ -331,29 +344,40 @@ def calibrate(df: DataFrame, estimator: Estimator, classes: int, key: str, folds
     is a one-dimensional logistic fit over all those margins. The margin
     models that score new rows are fitted on everything.
     """
-    folded = stratified_folds(df.select(key, FEATURES, LABEL), key, LABEL, folds).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    parts = df.rdd.getNumPartitions()
+    folded = stratified_folds(df.select(key, FEATURES, LABEL), key, LABEL, folds).coalesce(parts)
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = class_counts(folded) if balanced else None
+    targets = [1] if classes == 2 else list(range(classes))
+    jobs = [(f, c) for f in [*range(folds), None] for c in targets]
+
+    def fit(job):
+        f, c = job
+        rows = folded if f is None else folded.where(F.col("fold") != f)
+        return fit_binary(rows, estimator, c, counts)
+
+    models = dict(zip(jobs, side_by_side(spark, fit, jobs)))
     held_out = []
     for f in range(folds):
-        models = one_vs_rest(folded.where(F.col("fold") != f), estimator, classes, balanced)
-        part, margins = Classifier("calibrated", models, classes).margins(folded.where(F.col("fold") == f))
+        unseen = Classifier("calibrated", [models[f, c] for c in targets], classes)
+        part, margins = unseen.margins(folded.where(F.col("fold") == f))
         held_out.append(part.select(LABEL, F.array(*margins).alias("m")))
     scored = held_out[0]
     for part in held_out[1:]:
         scored = scored.unionByName(part)
-    scored = stage(scored)
+    scored = stage(scored.coalesce(parts))
 
-    def fit(c: int) -> tuple[float, float]:
+    def fit_sigmoid(c: int) -> tuple[float, float]:
         flat = scored.select(
             array_to_vector(F.array(F.col("m")[c])).alias("x"), (F.col(LABEL) == c).cast("double").alias("y")
         )
         model = LogisticRegression(featuresCol="x", labelCol="y", maxIter=50).fit(flat)
         return float(model.coefficients[0]), float(model.intercept)
 
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        sigmoids = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(classes)))
-    models = one_vs_rest(folded, estimator, classes, balanced)
+    sigmoids = side_by_side(spark, fit_sigmoid, list(range(classes)))
     folded.unpersist()
-    return Classifier("calibrated", models, classes, sigmoids=sigmoids)
+    return Classifier("calibrated", [models[None, c] for c in targets], classes, sigmoids=sigmoids)
 
 
 def boost(df: DataFrame, classes: int, rounds: int = 100, depth: int = 1, cut_every: int = 10) -> Classifier:
@@ -482,15 +506,21 @@ def algorithm(code: str) -> Callable[[DataFrame, FitContext], Classifier]:
 def fit_classifier(df: DataFrame, code: str, classes: int, key: str, balanced: bool = False, **options) -> Classifier:
     """Fit ``code`` on ``(key, features, label_idx)``; the rows are cached while it runs."""
     trainer = algorithm(code)
-    df = df.select(key, FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = df.count()
-    first = df.select(FEATURES).first()
-    if first is None:
+    wide = df.select(key, FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    held = F.size(F.unwrap_udt(FEATURES)["values"])
+    rows, values = wide.agg(F.count(F.lit(1)), F.sum(held)).first()
+    if not rows:
+        wide.unpersist()
         raise ValueError("nothing to fit on")
+    width = wide.select(FEATURES).first()[0].size
+    # a solver step costs one task per partition, so small inputs get few
+    parts = min(wide.rdd.getNumPartitions(), max(1, math.ceil(values * 12 / FIT_PART_BYTES)))
+    packed = wide.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return trainer(df, FitContext(classes, rows, first[0].size, key, balanced, options))
+        return trainer(packed, FitContext(classes, rows, width, key, balanced, options))
     finally:
-        df.unpersist()
+        packed.unpersist()
+        wide.unpersist()
 
 
 # --------------------------------------------------------------------------
@@ -591,7 +621,10 @@ def top_features(spark: SparkSession, bundle: Bundle, n: int = 20) -> DataFrame:
     terms = next(s.vocabulary for s in bundle.features.stages if hasattr(s, "vocabulary"))
     rows = []
     if bundle.classifier.kind in ("one_vs_rest", "calibrated"):
-        weights = [(label, m.coefficients.toArray()) for label, m in zip(bundle.labels, bundle.classifier.models)]
+        values = [m.coefficients.toArray() for m in bundle.classifier.models]
+        if len(bundle.labels) == 2:
+            values = [-values[0], values[0]]
+        weights = list(zip(bundle.labels, values))
     elif hasattr(bundle.classifier.models[0], "featureImportances"):
         weights = [("*", bundle.classifier.models[0].featureImportances.toArray())]
     else:

@@ -20,14 +20,14 @@ RULE = S.rule_predictions()
 
 
 def _report_sql(preds: str, by: str = "") -> str:
-    """CTE ``report`` from ``(by, true, pred)`` rows."""
+    """CTE ``report`` from ``(by, truth, pred)`` rows."""
     b = f"{by}, " if by else ""
     part = f"PARTITION BY {by}" if by else ""
     return (
-        f"cls AS (SELECT DISTINCT {b}true AS class FROM {preds} UNION SELECT DISTINCT {b}pred FROM {preds}), "
+        f"cls AS (SELECT DISTINCT {b}truth AS class FROM {preds} UNION SELECT DISTINCT {b}pred FROM {preds}), "
         f"cnt AS (SELECT {''.join(f'c.{x.strip()}, ' for x in by.split(',')) if by else ''}class, "
-        "count(*) FILTER (p.true = class) AS support, count(*) FILTER (p.pred = class) AS predicted, "
-        "count(*) FILTER (p.true = class AND p.pred = class) AS hits, count(*) AS total FROM cls c JOIN "
+        "count(*) FILTER (p.truth = class) AS support, count(*) FILTER (p.pred = class) AS predicted, "
+        "count(*) FILTER (p.truth = class AND p.pred = class) AS hits, count(*) AS total FROM cls c JOIN "
         f"{preds} p ON " + (" AND ".join(f"c.{x.strip()} = p.{x.strip()}" for x in by.split(",")) if by else "TRUE")
         + " GROUP BY ALL), "
         f"pr AS (SELECT {b}class, support, predicted, hits, total, "
@@ -84,7 +84,7 @@ def metrics_binary(spark, sf):
 
 
 LONG = "scored AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS class, round(p_{c}, 9) AS score, CAST(true = '{c}' AS BIGINT) AS hit FROM preds" for c in CUES
+    f"SELECT '{c}' AS class, round(p_{c}, 9) AS score, CAST(truth = '{c}' AS BIGINT) AS hit FROM preds" for c in CUES
 ) + ")"
 AUC = (
     f"{LONG}, ranked AS (SELECT *, rank() OVER (PARTITION BY class ORDER BY score) + "
@@ -155,7 +155,7 @@ def argmax_class(spark, sf):
 
 FOLDED = (
     "fold_preds AS (SELECT rep, (row_number() OVER (PARTITION BY rep, lang ORDER BY md5(doc_id || '|' || rep), doc_id) - 1) % 5 AS k, "
-    "true, pred FROM (SELECT doc_id, lang FROM documents) JOIN preds USING (doc_id), (SELECT unnest([1, 2]::BIGINT[]) AS rep))"
+    "truth, pred FROM (SELECT doc_id, lang FROM documents) JOIN preds USING (doc_id), (SELECT unnest([1, 2]::BIGINT[]) AS rep))"
 )
 
 

@@ -60,7 +60,7 @@ def cue_counts(toks: str = "toks") -> dict[str, str]:
 
 
 def rule_predictions() -> str:
-    """CTEs ``cues(doc_id, lang, n_*)`` and ``preds(doc_id, true, pred, p_*)``."""
+    """CTEs ``cues(doc_id, lang, n_*)`` and ``preds(doc_id, truth, pred, p_*)``."""
     counts = ", ".join(f"{e} AS n_{c}" for c, e in cue_counts().items())
     total = " + ".join(f"n_{c}" for c in CUES)
     probs = ", ".join(f"(n_{c} + 1.0::DOUBLE) / ({total} + {len(CUES)}) AS p_{c}" for c in CUES)
@@ -69,5 +69,5 @@ def rule_predictions() -> str:
     ).replace("ALL_MAX", "greatest(" + ", ".join(f"n_{c}" for c in CUES) + ")") + " END"
     return (
         f"{notes(content=False)}, cues AS (SELECT doc_id, lang, {counts} FROM notes), "
-        f"preds AS (SELECT doc_id, lang AS true, {best} AS pred, {probs} FROM cues)"
+        f"preds AS (SELECT doc_id, lang AS truth, {best} AS pred, {probs} FROM cues)"
     )
