@@ -91,13 +91,13 @@ def phrases(notes: DataFrame, key: str, tokens: str = "tokens", max_words: int =
 
 
 def concept_match(notes: DataFrame, key: str, dictionary: DataFrame, tokens: str = "tokens",
-                  max_words: int = MAX_PHRASE_WORDS) -> DataFrame:
+                  max_words: int = MAX_PHRASE_WORDS, staged: bool = False) -> DataFrame:
     """All dictionary senses of all phrases.
 
     ``dictionary`` has ``(phrase, cui, tui, code, scheme)`` and optionally ``freq``.
     """
     runs = phrases(notes, key, tokens, max_words)
-    return lookup_join(runs, dictionary, "phrase", spread_by=[key, "start", "words"])
+    return lookup_join(runs, dictionary, "phrase", spread_by=[key, "start", "words"], staged=staged)
 
 
 def concept_score(max_words: int = MAX_PHRASE_WORDS) -> Column:

@@ -21,9 +21,18 @@ from noteforge.operators.ranking import top_ranked
 Tokenizer = Callable[[Column], Column]
 
 
-def tokenized(df: DataFrame, key: str, text: str = "text", tokenizer: Tokenizer = X.tokenize) -> DataFrame:
-    """``(key, tokens)``, hashed by key."""
-    return df.select(key, F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>")).alias("tokens")).repartition(key)
+def tokenized(df: DataFrame, key: str, text: str = "text", tokenizer: Tokenizer = X.tokenize,
+              hashed: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, keep..., tokens)``.
+
+    Hash by key when per-note results follow. Corpus-wide counts combine on
+    the map side and want the rows where they lie: ``hashed=False``.
+    """
+    df = df.select(key, *keep, text)
+    if hashed:
+        df = df.repartition(key)
+    tokens = F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>")).alias("tokens")
+    return df.select(key, *keep, tokens)
 
 
 def token_rows(notes: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -103,9 +112,12 @@ def stem_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def stemmed(notes: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """``(key, tokens)`` with every token replaced by its stem."""
-    stems = stem_words(words_of(notes, tokens).distinct(), "word")
+def stemmed(notes: DataFrame, key: str, words: DataFrame | None = None, tokens: str = "tokens") -> DataFrame:
+    """``(key, tokens)`` with every token replaced by its stem.
+
+    ``words`` lists (at least) the words to stem; by default those of ``notes``.
+    """
+    stems = stem_words((words_of(notes, tokens) if words is None else words).distinct(), "word")
     rows = lookup_join(token_rows(notes, key, tokens), stems, "word", spread_by=[key, "pos"])
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("_s"))
     return notes.select(key).join(lists, key, "left").select(

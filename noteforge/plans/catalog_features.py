@@ -17,6 +17,8 @@ from noteforge.plans.catalog import query
 from noteforge.plans.inputs import (
     DIM,
     content,
+    corpus_tokens,
+    corpus_words,
     doc_tokens,
     labelled_tokens,
     word_vector_sql,
@@ -44,11 +46,11 @@ def _vocab_cte(size: int) -> str:
     f"WITH {_vocab_cte(999_999)} SELECT word, n, id FROM vocab UNION ALL SELECT '{fixed.RARE_WORD}', -1, 0",
 )
 def vocab(spark, sf):
-    return T.vocabulary(T.words_of(doc_tokens(spark, sf)))
+    return T.vocabulary(corpus_words(spark, sf))
 
 
-def _vocab(notes):
-    return stage(T.vocabulary(T.words_of(notes), VOCAB_SIZE))
+def _vocab(spark, sf):
+    return stage(T.vocabulary(corpus_words(spark, sf), VOCAB_SIZE))
 
 
 IDS = (
@@ -59,8 +61,7 @@ IDS = (
 
 
 def _ids(spark, sf):
-    notes = doc_tokens(spark, sf)
-    return T.to_ids(notes, "doc_id", _vocab(notes), staged=True)
+    return T.to_ids(doc_tokens(spark, sf), "doc_id", _vocab(spark, sf), staged=True)
 
 
 def _joined(ids):
@@ -101,7 +102,7 @@ def max_len(spark, sf):
 )
 def ids_to_words(spark, sf):
     notes = doc_tokens(spark, sf)
-    words = _vocab(notes)
+    words = _vocab(spark, sf)
     named = T.to_words(T.to_ids(notes, "doc_id", words, staged=True), "doc_id", words)
     return named.select("doc_id", F.array_join("words", " ").alias("words"))
 
@@ -113,7 +114,7 @@ def term_counts(spark, sf):
 
 @query("doc_freq", f"WITH {COUNTS} SELECT word, count(*) AS df FROM tf GROUP BY word")
 def doc_freq(spark, sf):
-    return T.document_frequency(doc_tokens(spark, sf))
+    return T.document_frequency(corpus_tokens(spark, sf))
 
 
 @query(
@@ -136,9 +137,15 @@ TFIDF = (
 )
 
 
+def _tfidf(spark, sf):
+    frequencies = T.document_frequency(corpus_tokens(spark, sf))
+    n_notes = table(spark, sf, "documents").count()  # from the file footers
+    return V.tfidf(doc_tokens(spark, sf), "doc_id", frequencies=frequencies, n_notes=n_notes)
+
+
 @query("tfidf", f"WITH {TFIDF} SELECT doc_id, word, round(weight, 6) AS weight FROM weights")
 def tfidf(spark, sf):
-    return V.tfidf(doc_tokens(spark, sf), "doc_id").withColumn("weight", F.round("weight", 6))
+    return _tfidf(spark, sf).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -148,7 +155,7 @@ def tfidf(spark, sf):
 )
 def top_terms(spark, sf):
     """The ten heaviest tf-idf terms of each language."""
-    weights = V.tfidf(doc_tokens(spark, sf), "doc_id")
+    weights = _tfidf(spark, sf)
     langs = table(spark, sf, "documents").select("doc_id", "lang")
     terms = weights.join(langs, "doc_id").groupBy("lang", "word").agg(F.round(F.sum("weight"), 6).alias("weight"))
     # each task keeps its own first ten per language before anything is shuffled
@@ -197,9 +204,7 @@ def _long(pooled):
     f"FROM (SELECT word, id FROM vocab UNION ALL SELECT '{fixed.RARE_WORD}', 0) b LEFT JOIN vectors x USING (word)",
 )
 def vocab_vectors(spark, sf):
-    notes = doc_tokens(spark, sf)
-    words = _vocab(notes)
-    joined = V.vocab_vectors(words, word_vectors(T.words_of(notes)), DIM)
+    joined = V.vocab_vectors(_vocab(spark, sf), word_vectors(corpus_words(spark, sf)), DIM)
     total = F.aggregate(
         F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x
     )
@@ -213,22 +218,20 @@ def vocab_vectors(spark, sf):
     "round(avg(CASE WHEN length(word) % 2 = 0 AND word <> 'RARE' THEN 1 ELSE 0 END), 6) AS coverage FROM b",
 )
 def vector_coverage(spark, sf):
-    notes = doc_tokens(spark, sf)
-    joined = V.vocab_vectors(_vocab(notes), word_vectors(T.words_of(notes)), DIM)
+    joined = V.vocab_vectors(_vocab(spark, sf), word_vectors(corpus_words(spark, sf)), DIM)
     return V.vector_coverage(joined).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("doc_vectors_mean", f"WITH {COUNTS}, {VECTORS}, rows_ AS (SELECT * FROM tf JOIN vectors USING (word)), {_pool_sql('n', 'rows_')}")
 def doc_vectors_mean(spark, sf):
     notes = doc_tokens(spark, sf)
-    return _long(V.pooled_vectors(notes, "doc_id", word_vectors(T.words_of(notes)), DIM))
+    return _long(V.pooled_vectors(notes, "doc_id", word_vectors(corpus_words(spark, sf)), DIM))
 
 
 @query("doc_vectors_weighted", f"WITH {TFIDF}, {VECTORS}, rows_ AS (SELECT * FROM weights JOIN vectors USING (word)), {_pool_sql('weight', 'rows_')}")
 def doc_vectors_weighted(spark, sf):
-    notes = doc_tokens(spark, sf)
-    weights = V.tfidf(notes, "doc_id")
-    return _long(V.weighted_vectors(weights, "doc_id", word_vectors(T.words_of(notes)), DIM))
+    weights = _tfidf(spark, sf)
+    return _long(V.weighted_vectors(weights, "doc_id", word_vectors(corpus_words(spark, sf)), DIM))
 
 
 @query(
@@ -238,7 +241,7 @@ def doc_vectors_weighted(spark, sf):
 def attention_pool(spark, sf):
     notes = doc_tokens(spark, sf)
     score = V.attention_score(F.col("vec"), W_ATT, B_ATT)
-    return _long(V.attention_pool(notes, "doc_id", word_vectors(T.words_of(notes)), score, DIM))
+    return _long(V.attention_pool(notes, "doc_id", word_vectors(corpus_words(spark, sf)), score, DIM))
 
 
 @query(
@@ -248,7 +251,7 @@ def attention_pool(spark, sf):
 def attention_context(spark, sf):
     notes = doc_tokens(spark, sf)
     score = V.context_score(F.col("vec"), W_CTX, B_CTX, U_CTX)
-    return _long(V.attention_pool(notes, "doc_id", word_vectors(T.words_of(notes)), score, DIM))
+    return _long(V.attention_pool(notes, "doc_id", word_vectors(corpus_words(spark, sf)), score, DIM))
 
 
 @query(
@@ -259,7 +262,7 @@ def attention_context(spark, sf):
 def attention_weights(spark, sf):
     notes = doc_tokens(spark, sf)
     score = V.attention_score(F.col("vec"), W_ATT, B_ATT)
-    rows = V.attention_weights(notes, "doc_id", word_vectors(T.words_of(notes)), score)
+    rows = V.attention_weights(notes, "doc_id", word_vectors(corpus_words(spark, sf)), score)
     return rows.withColumn("weight", F.round("weight", 6))
 
 
@@ -274,7 +277,7 @@ def top_tokens(spark, sf):
     notes = doc_tokens(spark, sf)
     # nine digits, so that ties are the same on every machine
     score = F.round(V.attention_score(F.col("vec"), W_ATT, B_ATT), 9)
-    rows = V.top_tokens(notes, "doc_id", word_vectors(T.words_of(notes)), score)
+    rows = V.top_tokens(notes, "doc_id", word_vectors(corpus_words(spark, sf)), score)
     return rows.withColumn("weight", F.round("weight", 6))
 
 
@@ -292,7 +295,7 @@ def chi2_terms(spark, sf):
 
 
 def _chi2(spark, sf):
-    notes = labelled_tokens(spark, sf)
+    notes = labelled_tokens(spark, sf, hashed=False)
     sizes = {r["lang"]: r["n"] for r in K.value_counts(notes, "lang").collect()}  # one row per class
     classes = sorted(sizes)
     counts = notes.select("lang", F.explode("tokens").alias("word")).groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
@@ -311,7 +314,7 @@ def chi2_selected(spark, sf):
 
 
 def _word2vec(spark, sf, dim: int = 50):
-    notes = doc_tokens(spark, sf)
+    notes = corpus_tokens(spark, sf)
     return notes, M.word2vec(dim=dim, min_count=5).fit(notes)
 
 
@@ -334,7 +337,7 @@ def doc_vectors(spark, sf):
 @query("hashing_tf")
 def hashing_tf(spark, sf):
     """Hashed term counts, one row per occupied slot."""
-    notes = doc_tokens(spark, sf)
+    notes = corpus_tokens(spark, sf)
     hashed = M.hashing_stages(width=1 << 16)[0].transform(notes)
     return hashed.select("doc_id", F.unwrap_udt("features").alias("v")).select(
         "doc_id", F.explode(F.arrays_zip(F.col("v.indices").alias("slot"), F.col("v.values").alias("n"))).alias("x")
@@ -347,7 +350,7 @@ def hashing_tf(spark, sf):
 )
 def vectorised_counts(spark, sf):
     """Sparse count vectors, turned back into long form."""
-    notes = doc_tokens(spark, sf)
+    notes = corpus_tokens(spark, sf)
     model = M.freq_stages(vocab_size=1 << 20)[0].fit(notes)
     words = spark.createDataFrame(list(enumerate(model.vocabulary)), "slot int, word string")
     rows = model.transform(notes).select("doc_id", F.unwrap_udt("features").alias("v")).select(

@@ -9,7 +9,7 @@ from noteforge.functions import text as X
 from noteforge.operators import tokens as T
 from noteforge.plans import sqltext as S
 from noteforge.plans.catalog import query
-from noteforge.plans.inputs import doc_tokens, documents
+from noteforge.plans.inputs import corpus_words, doc_tokens, documents
 from noteforge.sources.readers import table
 
 # documents carry no markup or record markers, so both sides wrap them the same way
@@ -285,7 +285,7 @@ def _stem_sql() -> str:
     "SELECT stem, CAST(sum(n) AS BIGINT) AS n, count(*) AS words FROM stems GROUP BY stem",
 )
 def stem_counts(spark, sf):
-    return T.stem_counts(T.words_of(doc_tokens(spark, sf)))
+    return T.stem_counts(corpus_words(spark, sf))
 
 
 @query(
@@ -296,4 +296,4 @@ def stem_counts(spark, sf):
     "USING (doc_id)",
 )
 def stemmed_notes(spark, sf):
-    return T.stemmed(doc_tokens(spark, sf), "doc_id").select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+    return T.stemmed(doc_tokens(spark, sf), "doc_id", corpus_words(spark, sf)).select("doc_id", F.array_join("tokens", " ").alias("tokens"))

@@ -24,17 +24,22 @@ def content(text: Column) -> Column:
 
 
 def doc_tokens(spark: SparkSession, sf: str, stop: bool = True) -> DataFrame:
-    """``(doc_id, tokens)``; stop words dropped unless ``stop`` is false."""
+    """``(doc_id, tokens)`` hashed by document; stop words dropped unless ``stop`` is false."""
     return T.tokenized(table(spark, sf, "documents"), "doc_id", "text", content if stop else X.tokenize)
 
 
-def labelled_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return docs.select("doc_id", "lang", content(F.col("text")).alias("tokens")).repartition("doc_id")
+def corpus_tokens(spark: SparkSession, sf: str, stop: bool = True) -> DataFrame:
+    """The same rows for corpus-wide counts: not moved."""
+    return T.tokenized(documents(spark, sf), "doc_id", "text", content if stop else X.tokenize, hashed=False)
 
 
-def folded_tokens(spark: SparkSession, sf: str, folds: DataFrame) -> DataFrame:
-    return labelled_tokens(spark, sf).join(folds.select("doc_id", "fold"), "doc_id")
+def corpus_words(spark: SparkSession, sf: str) -> DataFrame:
+    return T.words_of(corpus_tokens(spark, sf))
+
+
+def labelled_tokens(spark: SparkSession, sf: str, hashed: bool = True) -> DataFrame:
+    docs = table(spark, sf, "documents") if hashed else documents(spark, sf)
+    return T.tokenized(docs, "doc_id", "text", content, hashed, keep=("lang",))
 
 
 # --- a concept dictionary derived from the corpus ---------------------------
@@ -113,8 +118,8 @@ def dictionary_sql() -> str:
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:
-    notes = doc_tokens(spark, sf, stop=False)
-    return C.concept_match(notes, "doc_id", concept_dictionary(notes))
+    dictionary = concept_dictionary(corpus_tokens(spark, sf, stop=False))
+    return C.concept_match(doc_tokens(spark, sf, stop=False), "doc_id", dictionary, staged=True)
 
 
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
