@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteforge.runtime import stage
@@ -15,24 +15,24 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a staged side; the count stops one row past the bound."""
-    row_bytes = sum(
-        (F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(8))
-         if f.dataType.simpleString().startswith(("array", "struct", "map", "string"))
-         else F.lit(8))
-        for f in df.schema.fields
-    )
-    rows, size = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0)))
-        .first()
-    )
+    """Measure a staged side with one distributed aggregate."""
+
+    def width(field) -> Column:
+        kind = field.dataType.simpleString()
+        if kind == "string":
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        if kind.startswith(("array", "struct", "map")):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)) + 32
+        return F.lit(8)
+
+    row_bytes = sum((width(f) for f in df.schema.fields), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """Keys holding more than ``share`` of the rows: never more than ``1/share`` of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     return counts.where(F.col("_n") > F.lit(total * share)).select(key, F.lit(True).alias("_hot"))
 
@@ -54,7 +54,7 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    hot = F.broadcast(stage(heavy_keys(left, key, share)))
+    hot = F.broadcast(heavy_keys(left, key, share))  # at most 1/share rows
     salt = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
     left = (
         left.join(hot, key, "left")

@@ -59,7 +59,7 @@ def _first_share(df: DataFrame, key: str, fraction: float, strata: Sequence[str]
         taken = at_most(F.lit(cut["_cut_h"]), F.lit(cut["_cut_key"])) if cut else F.lit(False)
         return marked.withColumn("in_train", taken).drop("_h")
     # one row per stratum
-    side = F.broadcast(cuts) if cuts.limit(MAX_STRATA + 1).count() <= MAX_STRATA else cuts
+    side = F.broadcast(cuts) if cuts.count() <= MAX_STRATA else cuts
     return (
         marked.join(side, list(strata), "left")
         .withColumn("in_train", F.coalesce(at_most(F.col("_cut_h"), F.col("_cut_key")), F.lit(False)))

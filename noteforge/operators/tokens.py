@@ -46,6 +46,19 @@ def words_of(notes: DataFrame, tokens: str = "tokens") -> DataFrame:
     return notes.select(F.explode(tokens).alias("word"))
 
 
+def text_words(df: DataFrame, text: str = "text", stop_words=tuple(fixed.STOP_WORDS), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(keep..., word)`` straight from the text.
+
+    The same words as :func:`noteforge.functions.text.tokenize`, but filtered
+    after the explode, where the tests are compiled with the scan and the
+    partial count behind it.
+    """
+    word = F.col("word")
+    rows = df.select(*keep, F.explode(F.split(F.lower(text), X.WORD_GAP)).alias("word"))
+    rows = rows.where((F.length(word) > 2) & ~word.rlike("^[0-9.]"))
+    return rows.where(~word.isin(list(stop_words))) if stop_words else rows
+
+
 def vocabulary(words: DataFrame, size: int | None = 1_000_000) -> DataFrame:
     """``(word, n, id)``: ids by falling frequency, slot 0 for rare words.
 
@@ -62,21 +75,22 @@ def vocabulary(words: DataFrame, size: int | None = 1_000_000) -> DataFrame:
 
 def to_ids(notes: DataFrame, key: str, vocab: DataFrame, tokens: str = "tokens", staged: bool = False) -> DataFrame:
     """``(key, ids)`` in token order; words outside the dictionary become 0."""
-    known = vocab.where(F.col("id") > 0).select("word", "id")
+    known = vocab.where(F.col("id") > 0).select("word", F.col("id").alias("_id"))
     rows = lookup_join(token_rows(notes, key, tokens), known, "word", "left", spread_by=[key, "pos"], staged=staged)
     ids = rows.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0)).alias("id")))).alias("_s")
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_id", F.lit(0)).alias("_id")))).alias("_s")
     )
     # notes without any token keep an empty sequence
     return notes.select(key).join(ids, key, "left").select(
-        key, F.coalesce(F.col("_s.id"), F.array().cast("array<bigint>")).alias("ids")
+        key, F.coalesce(F.col("_s._id"), F.array().cast("array<bigint>")).alias("ids")
     )
 
 
 def to_words(sequences: DataFrame, key: str, vocab: DataFrame, ids: str = "ids") -> DataFrame:
     """The inverse of :func:`to_ids`; id 0 comes back as the rare word."""
-    rows = sequences.select(key, F.posexplode(ids).alias("pos", "id"))
-    named = lookup_join(rows, vocab.select("id", "word"), "id", "inner", spread_by=[key, "pos"])
+    rows = sequences.select(key, F.posexplode(ids).alias("pos", "_id"))
+    names = vocab.select(F.col("id").alias("_id"), "word")
+    named = lookup_join(rows, names, "_id", "inner", spread_by=[key, "pos"])
     return named.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_s")
     ).select(key, F.col("_s.word").alias("words"))

@@ -20,7 +20,7 @@ from noteforge.plans.inputs import (
     corpus_tokens,
     corpus_words,
     doc_tokens,
-    labelled_tokens,
+    documents,
     word_vector_sql,
     word_vectors,
 )
@@ -109,7 +109,8 @@ def ids_to_words(spark, sf):
 
 @query("term_counts", f"WITH {COUNTS} SELECT doc_id, word, n FROM tf")
 def term_counts(spark, sf):
-    return T.term_counts(doc_tokens(spark, sf), "doc_id")
+    words = T.text_words(documents(spark, sf), keep=("doc_id",))
+    return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("doc_freq", f"WITH {COUNTS} SELECT word, count(*) AS df FROM tf GROUP BY word")
@@ -295,10 +296,11 @@ def chi2_terms(spark, sf):
 
 
 def _chi2(spark, sf):
-    notes = labelled_tokens(spark, sf, hashed=False)
-    sizes = {r["lang"]: r["n"] for r in K.value_counts(notes, "lang").collect()}  # one row per class
+    docs = documents(spark, sf)
+    sizes = {r["lang"]: r["n"] for r in K.value_counts(docs, "lang").collect()}  # one row per class
     classes = sorted(sizes)
-    counts = notes.select("lang", F.explode("tokens").alias("word")).groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
+    words = T.text_words(docs, keep=("lang",))
+    counts = words.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
     return V.chi2_terms(counts, "lang", classes, sizes), len(classes)
 
 

@@ -13,7 +13,7 @@ from noteforge.plans import sqltext as S
 from noteforge.plans.catalog import query
 from noteforge.plans.inputs import labelled_tokens, rule_predictions
 from noteforge.plans.sqltext import CUES
-from noteforge.runtime import stage
+from noteforge.runtime import stage_table
 from noteforge.sources.readers import table
 
 RULE = S.rule_predictions()
@@ -189,7 +189,7 @@ NB = (
 def _nb(spark, sf):
     folds = splits.stratified_folds(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "lang", 5)
     notes = labelled_tokens(spark, sf).join(folds.select("doc_id", "fold"), "doc_id")
-    notes = stage(notes)
+    notes = stage_table(notes, "folded")
     return bayes.nb_scores(notes.where("fold <> 0"), notes.where("fold = 0"), "doc_id", "lang")
 
 

@@ -34,7 +34,7 @@ def corpus_tokens(spark: SparkSession, sf: str, stop: bool = True) -> DataFrame:
 
 
 def corpus_words(spark: SparkSession, sf: str) -> DataFrame:
-    return T.words_of(corpus_tokens(spark, sf))
+    return T.text_words(documents(spark, sf))
 
 
 def labelled_tokens(spark: SparkSession, sf: str, hashed: bool = True) -> DataFrame:
