@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteforge.operators.joins import lookup_join
 from noteforge.operators.tokens import term_counts
 from noteforge.runtime import stage
 
+LENGTH = "\0length"  # the pseudo-class that sums the known words of a note
+
 
 def nb_scores(train: DataFrame, test: DataFrame, key: str, label: str, smoothing: float = 1.0,
               tokens: str = "tokens") -> DataFrame:
@@ -24,28 +26,29 @@ def nb_scores(train: DataFrame, test: DataFrame, key: str, label: str, smoothing
         .agg(F.count(F.lit(1)).alias("notes"), F.sum("_n").alias("tokens"))
         .collect()
     )  # one row per class: the model's parameters
-    likelihood = stage(
-        train.select(F.col(label).alias("class"), F.explode(tokens).alias("word"))
+    base = F.lit(float(smoothing))
+    lift = F.log((F.col("n") + base) / base)
+    # per word: one entry per class it occurs in, and one that counts the word itself
+    by_word = stage(
+        train.select(F.col(label).alias("class"), F.explode_outer(tokens).alias("word"))
+        .where(F.col("word").isNotNull())
         .groupBy("word", "class")
         .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("word")
+        .agg(F.collect_list(F.struct("class", lift.alias("lift"))).alias("lifts"))
+        .withColumn("lifts", F.concat("lifts", F.array(F.struct(F.lit(LENGTH).alias("class"), F.lit(1.0).alias("lift")))))
     )
-    words = stage(likelihood.select("word").distinct())
-    size = words.count()
+    size = by_word.count()
     all_notes = sum(r["notes"] for r in totals)
-    base = F.lit(float(smoothing))
 
-    counts = term_counts(test, key, tokens)
-    known = lookup_join(counts, words, "word", "left_semi", spread_by=[key, "word"], staged=True)
-    lengths = known.groupBy(key).agg(F.sum("n").alias("length"))
-    lift = F.log((F.col("n") + base) / base)
-    by_word = likelihood.groupBy("word").agg(
-        F.collect_list(F.struct("class", lift.alias("lift"))).alias("lifts")
-    )  # at most one entry per class
-    hits = lookup_join(counts.withColumnRenamed("n", "tf"), by_word, "word", spread_by=[key, "word"])
-    lifted = (
+    counts = term_counts(test, key, tokens).withColumnRenamed("n", "tf")
+    hits = lookup_join(counts, by_word, "word", spread_by=[key, "word"], staged=True)
+    sums = (
         hits.select(key, "tf", F.inline("lifts"))
         .groupBy(key, "class")
         .agg(F.sum(F.col("tf") * F.col("lift")).alias("lifted"))
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("class", "lifted"))).alias("sums"))
     )
     classes = F.array(*[
         F.struct(
@@ -55,13 +58,13 @@ def nb_scores(train: DataFrame, test: DataFrame, key: str, label: str, smoothing
         )
         for r in sorted(totals, key=lambda r: r[label])
     ])
-    grid = (
-        test.select(key).join(lengths, key, "left")
-        .select(key, F.coalesce("length", F.lit(0)).alias("length"), F.inline(classes))
-    )
-    return grid.join(lifted, [key, "class"], "left").select(
-        key, "class",
-        (F.col("prior") + F.col("length") * F.col("floor") + F.coalesce("lifted", F.lit(0.0))).alias("score"),
+    grid = test.select(key).join(sums, key, "left").select(key, "sums", F.inline(classes))
+
+    def of(name) -> Column:
+        return F.coalesce(F.col("sums")[name], F.lit(0.0))
+
+    return grid.select(
+        key, "class", (F.col("prior") + of(F.lit(LENGTH)) * F.col("floor") + of(F.col("class"))).alias("score")
     )
 
 

@@ -12,7 +12,7 @@ from noteforge import fixed
 from noteforge.functions.arrays import dot, literal_array
 from noteforge.operators.joins import lookup_join
 from noteforge.operators.ranking import top_ranked
-from noteforge.operators.tokens import document_frequency, term_counts, token_rows
+from noteforge.operators.tokens import token_rows
 
 
 def idf(n_notes: Column, df: Column) -> Column:
@@ -20,17 +20,13 @@ def idf(n_notes: Column, df: Column) -> Column:
     return F.log((n_notes + 1.0) / (df + 1.0)) + 1.0
 
 
-def tfidf(notes: DataFrame, key: str, tokens: str = "tokens", frequencies: DataFrame | None = None,
-          n_notes: int | None = None) -> DataFrame:
+def tfidf(counts: DataFrame, key: str, frequencies: DataFrame, n_notes: int) -> DataFrame:
     """``(key, word, weight)``: ``(1 + ln tf) * idf``, unit length per note.
 
-    ``frequencies`` and ``n_notes`` come from a training set when new notes are weighted.
+    ``counts`` is ``(key, word, n)``; ``frequencies`` and ``n_notes`` describe
+    the corpus the weights refer to (the training set, for new notes).
     """
-    if n_notes is None:
-        n_notes = notes.count()
-    if frequencies is None:
-        frequencies = document_frequency(notes, tokens)
-    weighted = lookup_join(term_counts(notes, key, tokens), frequencies, "word", spread_by=[key, "word"])
+    weighted = lookup_join(counts, frequencies, "word", spread_by=[key, "word"])
     weighted = weighted.withColumn("w", (F.log("n") + 1.0) * idf(F.lit(float(n_notes)), F.col("df")))
     # one pass over the note: its terms and its norm together, still hashed by key
     packed = weighted.groupBy(key).agg(
@@ -65,9 +61,9 @@ def _pooled(rows: DataFrame, key: str, dim: int, epsilon: float) -> DataFrame:
     )
 
 
-def pooled_vectors(notes: DataFrame, key: str, vectors: DataFrame, dim: int, tokens: str = "tokens") -> DataFrame:
+def pooled_vectors(counts: DataFrame, key: str, vectors: DataFrame, dim: int) -> DataFrame:
     """Mean word vector per note; the weight of a word is its count."""
-    rows = lookup_join(term_counts(notes, key, tokens), vectors, "word", spread_by=[key, "word"])
+    rows = lookup_join(counts, vectors, "word", spread_by=[key, "word"])
     return _pooled(rows.withColumn("a", F.col("n").cast("double")), key, dim, 0.0)
 
 
@@ -96,15 +92,15 @@ def _scored_words(vectors: DataFrame, score: Column) -> DataFrame:
     return vectors.select("word", "vec", score.alias("score"))
 
 
-def attention_pool(notes: DataFrame, key: str, vectors: DataFrame, score: Column, dim: int,
-                   tokens: str = "tokens", epsilon: float = fixed.EPSILON) -> DataFrame:
+def attention_pool(counts: DataFrame, key: str, vectors: DataFrame, score: Column, dim: int,
+                   epsilon: float = fixed.EPSILON) -> DataFrame:
     """``(key, vec)``: word vectors weighted by their normalised attention.
 
-    Tokens without a vector are masked (the inner join drops them). Equal
-    words share a score, so tokens are counted per note before the join.
+    Words without a vector are masked (the inner join drops them). Equal
+    words share a score, so ``counts`` is all the pool needs.
     """
     words = _scored_words(vectors, score)
-    rows = lookup_join(term_counts(notes, key, tokens), words, "word", spread_by=[key, "word"])
+    rows = lookup_join(counts, words, "word", spread_by=[key, "word"])
     return _pooled(rows.withColumn("a", F.col("n") * F.col("score")), key, dim, epsilon)
 
 

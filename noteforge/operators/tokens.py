@@ -35,15 +35,23 @@ def tokenized(df: DataFrame, key: str, text: str = "text", tokenizer: Tokenizer
     return df.select(key, *keep, tokens)
 
 
+def exploded(df: DataFrame, key: str, values: Column | str, pos: str, value: str) -> DataFrame:
+    """``(key, pos, value)``, positions from 1.
+
+    The outer generator is on purpose: from a plain one the optimizer derives
+    a non-empty filter below the shuffle, which computes ``values`` twice.
+    """
+    rows = df.select(key, F.posexplode_outer(values).alias("_p", value)).where(F.col("_p").isNotNull())
+    return rows.select(key, (F.col("_p") + 1).cast("bigint").alias(pos), value)
+
+
 def token_rows(notes: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """``(key, pos, word)``, positions from 1."""
-    return notes.select(key, F.posexplode(tokens).alias("_p", "word")).select(
-        key, (F.col("_p") + 1).cast("bigint").alias("pos"), "word"
-    )
+    return exploded(notes, key, tokens, "pos", "word")
 
 
 def words_of(notes: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return notes.select(F.explode(tokens).alias("word"))
+    return notes.select(F.explode_outer(tokens).alias("word")).where(F.col("word").isNotNull())
 
 
 def text_words(df: DataFrame, text: str = "text", stop_words=tuple(fixed.STOP_WORDS), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -76,14 +84,11 @@ def vocabulary(words: DataFrame, size: int | None = 1_000_000) -> DataFrame:
 def to_ids(notes: DataFrame, key: str, vocab: DataFrame, tokens: str = "tokens", staged: bool = False) -> DataFrame:
     """``(key, ids)`` in token order; words outside the dictionary become 0."""
     known = vocab.where(F.col("id") > 0).select("word", F.col("id").alias("_id"))
-    rows = lookup_join(token_rows(notes, key, tokens), known, "word", "left", spread_by=[key, "pos"], staged=staged)
-    ids = rows.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_id", F.lit(0)).alias("_id")))).alias("_s")
-    )
-    # notes without any token keep an empty sequence
-    return notes.select(key).join(ids, key, "left").select(
-        key, F.coalesce(F.col("_s._id"), F.array().cast("array<bigint>")).alias("ids")
-    )
+    # a note without tokens keeps one row without a position, and so its key
+    rows = notes.select(key, F.posexplode_outer(tokens).alias("pos", "word")).withColumn("word", F.coalesce("word", F.lit("")))
+    rows = lookup_join(rows, known, "word", "left", spread_by=[key, "pos"], staged=staged)
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("_id", F.lit(0)).alias("_id")))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s")).select(key, F.col("_s._id").alias("ids"))
 
 
 def to_words(sequences: DataFrame, key: str, vocab: DataFrame, ids: str = "ids") -> DataFrame:
@@ -102,12 +107,19 @@ def longest(sequences: DataFrame, ids: str = "ids") -> DataFrame:
 
 def term_counts(notes: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """``(key, word, n)`` in long form."""
-    return notes.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    rows = notes.select(key, F.explode_outer(tokens).alias("word")).where(F.col("word").isNotNull())
+    return rows.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def text_counts(df: DataFrame, key: str, text: str = "text", stop_words=tuple(fixed.STOP_WORDS)) -> DataFrame:
+    """``(key, word, n)`` straight from the text, hashed by key for what follows."""
+    words = text_words(df.select(key, text).repartition(key), text, stop_words, keep=(key,))
+    return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_frequency(notes: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``(word, df)``: notes containing the word; repeats vanish inside each row."""
-    each = notes.select(F.explode(F.array_distinct(tokens)).alias("word"))
+    each = notes.select(F.explode_outer(F.array_distinct(tokens)).alias("word")).where(F.col("word").isNotNull())
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -141,14 +153,12 @@ def stemmed(notes: DataFrame, key: str, words: DataFrame | None = None, tokens:
 
 def sentence_rows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, sentence_no, sentence)``, numbered from 1."""
-    return df.select(key, F.posexplode(X.sentences(text)).alias("_p", "sentence")).select(
-        key, (F.col("_p") + 1).cast("bigint").alias("sentence_no"), "sentence"
-    )
+    return exploded(df, key, X.sentences(text), "sentence_no", "sentence")
 
 
 def line_rows(df: DataFrame, key: str, text: str = "text", newline: str = "\r\n") -> DataFrame:
     """``(key, line_no, line)`` of the non-empty lines."""
-    return df.select(key, F.inline(X.clean_lines(text, newline)))
+    return df.select(key, F.inline_outer(X.clean_lines(text, newline))).where(F.col("line_no").isNotNull())
 
 
 def phi_report(df: DataFrame, key: str, text: str = "text", rules=tuple(fixed.PHI_RULES)) -> DataFrame:

@@ -19,6 +19,7 @@ from noteforge.plans.inputs import (
     content,
     corpus_tokens,
     corpus_words,
+    doc_counts,
     doc_tokens,
     documents,
     word_vector_sql,
@@ -141,7 +142,7 @@ TFIDF = (
 def _tfidf(spark, sf):
     frequencies = T.document_frequency(corpus_tokens(spark, sf))
     n_notes = table(spark, sf, "documents").count()  # from the file footers
-    return V.tfidf(doc_tokens(spark, sf), "doc_id", frequencies=frequencies, n_notes=n_notes)
+    return V.tfidf(doc_counts(spark, sf), "doc_id", frequencies, n_notes)
 
 
 @query("tfidf", f"WITH {TFIDF} SELECT doc_id, word, round(weight, 6) AS weight FROM weights")
@@ -225,8 +226,7 @@ def vector_coverage(spark, sf):
 
 @query("doc_vectors_mean", f"WITH {COUNTS}, {VECTORS}, rows_ AS (SELECT * FROM tf JOIN vectors USING (word)), {_pool_sql('n', 'rows_')}")
 def doc_vectors_mean(spark, sf):
-    notes = doc_tokens(spark, sf)
-    return _long(V.pooled_vectors(notes, "doc_id", word_vectors(corpus_words(spark, sf)), DIM))
+    return _long(V.pooled_vectors(doc_counts(spark, sf), "doc_id", word_vectors(corpus_words(spark, sf)), DIM))
 
 
 @query("doc_vectors_weighted", f"WITH {TFIDF}, {VECTORS}, rows_ AS (SELECT * FROM weights JOIN vectors USING (word)), {_pool_sql('weight', 'rows_')}")
@@ -240,9 +240,8 @@ def doc_vectors_weighted(spark, sf):
     f"WITH {COUNTS}, {VECTORS}, rows_ AS (SELECT *, n * {ATT_SQL} AS a FROM tf JOIN vectors USING (word)), {_pool_sql('a', 'rows_', fixed.EPSILON)}",
 )
 def attention_pool(spark, sf):
-    notes = doc_tokens(spark, sf)
     score = V.attention_score(F.col("vec"), W_ATT, B_ATT)
-    return _long(V.attention_pool(notes, "doc_id", word_vectors(corpus_words(spark, sf)), score, DIM))
+    return _long(V.attention_pool(doc_counts(spark, sf), "doc_id", word_vectors(corpus_words(spark, sf)), score, DIM))
 
 
 @query(
@@ -250,9 +249,8 @@ def attention_pool(spark, sf):
     f"WITH {COUNTS}, {VECTORS}, rows_ AS (SELECT *, n * {CTX_SQL} AS a FROM tf JOIN vectors USING (word)), {_pool_sql('a', 'rows_', fixed.EPSILON)}",
 )
 def attention_context(spark, sf):
-    notes = doc_tokens(spark, sf)
     score = V.context_score(F.col("vec"), W_CTX, B_CTX, U_CTX)
-    return _long(V.attention_pool(notes, "doc_id", word_vectors(corpus_words(spark, sf)), score, DIM))
+    return _long(V.attention_pool(doc_counts(spark, sf), "doc_id", word_vectors(corpus_words(spark, sf)), score, DIM))
 
 
 @query(

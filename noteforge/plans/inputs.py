@@ -37,6 +37,11 @@ def corpus_words(spark: SparkSession, sf: str) -> DataFrame:
     return T.text_words(documents(spark, sf))
 
 
+def doc_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """``(doc_id, word, n)`` hashed by document, stop words dropped."""
+    return T.text_counts(table(spark, sf, "documents"), "doc_id")
+
+
 def labelled_tokens(spark: SparkSession, sf: str, hashed: bool = True) -> DataFrame:
     docs = table(spark, sf, "documents") if hashed else documents(spark, sf)
     return T.tokenized(docs, "doc_id", "text", content, hashed, keep=("lang",))

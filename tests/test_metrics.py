@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from noteforge.operators import cohort as K
 from noteforge.operators import features as V
 from noteforge.operators import metrics as E
+from noteforge.operators import tokens as T
 
 
 def frame(spark, pairs):
@@ -96,7 +97,7 @@ def test_select_fdr(spark):
 
 def test_tfidf_has_unit_length(spark):
     notes = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["b", "c"])], "id long, tokens array<string>")
-    rows = V.tfidf(notes, "id").collect()
+    rows = V.tfidf(T.term_counts(notes, "id"), "id", T.document_frequency(notes), 2).collect()
     for i in (1, 2):
         assert sum(r["weight"] ** 2 for r in rows if r["id"] == i) == pytest.approx(1.0)
 
@@ -110,5 +111,5 @@ def test_attention_weights_sum_to_one(spark):
     assert sums == {1: pytest.approx(1.0, abs=1e-6), 2: pytest.approx(1.0, abs=1e-6)}
     top = V.top_tokens(notes, "id", vectors, score, k=2).where("id = 1").orderBy("place").collect()
     assert [(r["word"], r["pos"]) for r in top] == [("b", 2), ("a", 1)]
-    pooled = {r["id"]: r["vec"] for r in V.attention_pool(notes, "id", vectors, score, 2).collect()}
+    pooled = {r["id"]: r["vec"] for r in V.attention_pool(T.term_counts(notes, "id"), "id", vectors, score, 2).collect()}
     assert pooled[2] == pytest.approx([0.5, -1.0], abs=1e-6)

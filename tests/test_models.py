@@ -74,13 +74,15 @@ def test_own_tokenizer(notes):
 
 def test_tfidf_vectors_match_the_long_form(spark, notes):
     from noteforge.operators.features import tfidf
+    from noteforge.operators.tokens import document_frequency, term_counts
     from noteforge.plans.inputs import content
 
     pipe = M.fit_features(notes, M.Spec("bow", "l2", "tfidf"))
     vocab = next(s for s in pipe.stages if hasattr(s, "vocabulary")).vocabulary
     rows = pipe.transform(M.with_feature(notes, "bow")).select("fname", vector_to_array("features").alias("v")).collect()
     dense = {(r["fname"], vocab[i]): x for r in rows for i, x in enumerate(r["v"]) if x}
-    long = tfidf(notes.select("fname", content(F.col("bow")).alias("tokens")), "fname").collect()
+    tokens = notes.select("fname", content(F.col("bow")).alias("tokens"))
+    long = tfidf(term_counts(tokens, "fname"), "fname", document_frequency(tokens), 90).collect()
     assert dense == {(r["fname"], r["word"]): pytest.approx(r["weight"]) for r in long}
 
 
