@@ -21,7 +21,9 @@ from noteforge.sources.readers import table
 from noteforge.sources.writers import save_bundle
 from noteforge.streaming.score import note_stream, score_stream
 
+# dictionary sizes of the count vectoriser: for iterative solvers, and for one-pass models
 VOCAB = {"vocab_size": 20_000}
+WIDE_VOCAB = {"vocab_size": 1 << 18}
 
 
 def _texts(spark, sf):
@@ -39,7 +41,8 @@ def _text_fit(code: str, weighting: str = "freq", balanced: bool = False, **opti
     def run(spark, sf):
         train, test = _halves(_texts(spark, sf), "doc_id", "lang")
         spec = M.Spec("bow", code, weighting, balanced)
-        bundle = M.fit_bundle(train, spec, "doc_id", "lang", feature_options=VOCAB, **options)
+        sizes = WIDE_VOCAB if code == "nb" else VOCAB
+        bundle = M.fit_bundle(train, spec, "doc_id", "lang", feature_options=sizes, **options)
         return _predictions(bundle.transform(test), "doc_id", "lang", bundle.labels)
 
     return run
@@ -117,12 +120,13 @@ def cv_scores(spark, sf):
 @query("cv_predictions")
 def cv_predictions(spark, sf):
     notes = _texts(spark, sf)
-    result = jobs.cross_validate(notes, "doc_id", "lang", "bow", "nb", "tfidf", reps=2, k=3, feature_options=VOCAB)
+    result = jobs.cross_validate(notes, "doc_id", "lang", "bow", "nb", "tfidf", reps=2, k=3,
+                                 feature_options=WIDE_VOCAB)
     return result.predictions.withColumn("probs", F.to_json("probs"))
 
 
 def _saved_bundle(spark, sf):
-    bundle = M.fit_bundle(_texts(spark, sf), M.Spec("bow", "nb", "freq"), "doc_id", "lang", feature_options=VOCAB)
+    bundle = M.fit_bundle(_texts(spark, sf), M.Spec("bow", "nb", "freq"), "doc_id", "lang", feature_options=WIDE_VOCAB)
     return save_bundle(bundle, scratch_path(spark, "model"), spark)
 
 
