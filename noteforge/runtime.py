@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        path = tempfile.mkdtemp(prefix="noteforge-")
+    if not path:  # the warehouse is on the session's own file system
+        path = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
