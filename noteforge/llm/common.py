@@ -25,7 +25,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def bucket_of(doc_id: Column | str, mod: int) -> Column:
     """``crc32`` of the id as text, modulo ``mod``; a null id counts as an empty text."""
-    key = F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string")
+    key = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
     return F.pmod(F.crc32(F.coalesce(key, F.lit("")).cast("binary")), F.lit(mod))
 
 

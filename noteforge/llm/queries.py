@@ -8,11 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteforge.llm import sql
-from noteforge.llm.common import read_table
+from noteforge.llm.common import bucket_of, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from noteforge.llm.packing import pack
+
+    return pack(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from noteforge.llm.langid import train, with_language
+
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = bucket_of("doc_id", 5) == 0
+    model = train(docs.where(~held_out))
+    return with_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
     from noteforge.llm.leaks import leak_report
 
@@ -44,7 +59,7 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op6_benchmark_leaks, op8_top_k, op9_url_filter, op10_warc)
+    f.__name__: f for f in (op2_curve_packing, op4_language_id, op6_benchmark_leaks, op8_top_k, op9_url_filter, op10_warc)
 }
 SQL: dict[str, str] = {
     "op6_benchmark_leaks": sql.LEAKS,
