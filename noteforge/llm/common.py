@@ -37,21 +37,31 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+ARROW_TYPES = {
+    "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
+    "binary": pa.binary(),
+}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Schema of plain columns, also where no session is, as in a task."""
+    return pa.schema([(name, ARROW_TYPES[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def table_of(columns: dict[str, object], schema: str) -> pa.Table:
+    """A table of lists or arrays by name."""
+    target = arrow_schema(schema)
+    return pa.Table.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
+
+
 def map_arrow(
     df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, object]]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` for functions that yield plain columns (lists or arrays by name)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in rows(batches):
-            arrays = [
-                c.cast(f.type) if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in target
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, schema=target)
+            yield from table_of(columns, schema).to_batches()
 
     return df.mapInArrow(run, schema)
 

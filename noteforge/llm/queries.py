@@ -34,6 +34,12 @@ def op6_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leak_report(read_table(spark, sf, "documents"), spark.read.parquet(f"{sf}/benchmark.parquet")).drop("spans")
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    from noteforge.llm.ngram import score_documents
+
+    return score_documents(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op8_top_k(spark: SparkSession, sf: str) -> DataFrame:
     from noteforge.llm.topk import EVERY, integer_vectors, top_k
 
@@ -59,7 +65,7 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_curve_packing, op4_language_id, op6_benchmark_leaks, op8_top_k, op9_url_filter, op10_warc)
+    f.__name__: f for f in (op2_curve_packing, op4_language_id, op6_benchmark_leaks, op7_deleted_interpolation, op8_top_k, op9_url_filter, op10_warc)
 }
 SQL: dict[str, str] = {
     "op6_benchmark_leaks": sql.LEAKS,
