@@ -101,25 +101,19 @@ def documents_of(group: pa.Table) -> tuple[list[int | None], list[bytes]]:
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
-def part_edges(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part begins among sorted keys."""
-    first = np.array([-(-(p << 64) // parts) for p in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]]).astype(np.int64)
-
-
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    first = np.array([-(-(p << 64) // parts) for p in range(1, parts)], np.uint64)
-    return np.searchsorted(first, keys, side="right")
+    """The part of the key range that each key falls into; it rises with the key. ``parts < 2**32``."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def key_rows(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> dict[str, list]:
     """Packed rows of sorted, different keys, one for each part that has some."""
-    edges = part_edges(keys, parts)
+    part = part_of(keys, parts)
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
     out: dict[str, list] = {"kind": [], "part": [], "block": [], "keys": [], "counts": []}
-    for p, (a, b) in enumerate(zip(edges, edges[1:])):
-        if a < b:
-            for name, value in zip(out, (kind, p, block, pack_sorted(keys[a:b]), pack(compact(counts[a:b])))):
-                out[name].append(value)
+    for a, b in zip(starts, [*starts[1:], len(keys)]):
+        for name, value in zip(out, (kind, int(part[a]), block, pack_sorted(keys[a:b]), pack(compact(counts[a:b])))):
+            out[name].append(value)
     return out
 
 

@@ -13,12 +13,25 @@ from noteforge.llm.common import bucket_of, read_table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    from noteforge.llm.repeats import remove_repeats
+
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return remove_repeats(docs, keep="none", with_text=False)
+
+
 def op2_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
     from noteforge.llm.packing import pack
 
     return pack(read_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op3_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    from noteforge.llm.lines import remove_repeated_lines
+
+    return remove_repeated_lines(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     from noteforge.llm.langid import train, with_language
 
@@ -65,9 +78,10 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_curve_packing, op4_language_id, op6_benchmark_leaks, op7_deleted_interpolation, op8_top_k, op9_url_filter, op10_warc)
+    f.__name__: f for f in (op1_suffix_repeats, op2_curve_packing, op3_line_chunks, op4_language_id, op6_benchmark_leaks, op7_deleted_interpolation, op8_top_k, op9_url_filter, op10_warc)
 }
 SQL: dict[str, str] = {
+    "op3_line_chunks": sql.LINES,
     "op6_benchmark_leaks": sql.LEAKS,
     "op8_top_k": sql.TOP_K,
     "op9_url_filter": sql.URLS,

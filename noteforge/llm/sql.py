@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noteforge.llm import leaks, topk, urls
+from noteforge.llm import leaks, lines, topk, urls
 
 ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -11,6 +11,40 @@ def _words(text: str) -> str:
     return f"regexp_extract_all({ASCII_LOWER.format(f'coalesce({text}, chr(32))')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 
 
+def lines_sql(docs: str = "documents", extra: str = "") -> str:
+    """CTEs that end in ``cleaned``: doc_id, text, n_lines, n_removed and the columns ``extra``."""
+    value = "0"
+    for back in range(lines.WINDOW - 1, -1, -1):
+        value = f"(({value}) * {lines.FACTOR} + h[i + 1 - {back}]) % {(1 << 31) - 1}"
+    return f"""
+l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls{extra} FROM {docs}),
+lh AS (SELECT *, list_transform(ls, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS h FROM l),
+le AS (SELECT *, list_filter(range(len(ls)), lambda i:
+         i = len(ls) - 1 OR (i >= {lines.WINDOW - 1} AND {value} % {lines.DIVISOR} = 0)) AS e FROM lh),
+lc AS (
+  SELECT doc_id, k, e[k + 1] - s + 1 AS lines, array_to_string(ls[s + 1 : e[k + 1] + 1], chr(10)) AS body
+  FROM (SELECT *, CASE WHEN k = 0 THEN 0 ELSE e[k] + 1 END AS s FROM (SELECT *, unnest(range(len(e))) AS k FROM le))
+),
+lr AS (
+  SELECT *, count(*) OVER (PARTITION BY body) AS n, row_number() OVER (PARTITION BY body ORDER BY doc_id, k) AS r
+  FROM lc WHERE lines >= {lines.MIN_LINES}
+),
+lk AS (
+  SELECT lc.*, coalesce(r > 1, FALSE) AS gone FROM lc LEFT JOIN (SELECT doc_id, k, r FROM lr WHERE n > 1) USING (doc_id, k)
+),
+kept AS (
+  SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text,
+         CAST(sum(lines) AS BIGINT) AS n_lines, CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS n_removed
+  FROM lk GROUP BY doc_id
+),
+cleaned AS (
+  SELECT l.doc_id, kept.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed{extra}
+  FROM l LEFT JOIN kept USING (doc_id)
+)"""
+
+
+LINES = f"WITH {lines_sql()} SELECT doc_id, n_lines, n_removed, text FROM cleaned"
+
 LEAKS = f"""
 WITH items AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
 win AS (
