@@ -149,7 +149,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # the smallest hashes of a language, first within slices of it and then among their winners
-    narrow = labelled.select("lang", "h").distinct().withColumn("slice", F.pmod("h", F.lit(64)))
+    narrow = labelled.select("lang", "h").distinct().withColumn("slice", F.pmod("h", F.lit(16)))
     for keys in (["lang", "slice"], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
         narrow = narrow.withColumn("place", place).where(F.col("place") <= per_language)

@@ -41,6 +41,12 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return with_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    from noteforge.llm.neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
     from noteforge.llm.leaks import leak_report
 
@@ -78,7 +84,7 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_suffix_repeats, op2_curve_packing, op3_line_chunks, op4_language_id, op6_benchmark_leaks, op7_deleted_interpolation, op8_top_k, op9_url_filter, op10_warc)
+    f.__name__: f for f in (op1_suffix_repeats, op2_curve_packing, op3_line_chunks, op4_language_id, op5_order_minhash, op6_benchmark_leaks, op7_deleted_interpolation, op8_top_k, op9_url_filter, op10_warc)
 }
 SQL: dict[str, str] = {
     "op3_line_chunks": sql.LINES,
