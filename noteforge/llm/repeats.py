@@ -50,6 +50,7 @@ from noteforge.runtime import stage_table
 
 WIDTH, GRAM = 200, 64
 HOT = 20_000
+PARTS = 4  # parts of the key range for each block: they hold an entry for each position
 CHUNK = 1 << 20  # positions whose hashes are held at once
 PLACE_BITS = 24
 
@@ -103,6 +104,7 @@ class Segments:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
+        del texts
         found = [self._find(s, width, gram) for s in self._stretches()]
         columns = list(zip(*found)) if found else [[np.zeros(0, np.int64)]] * 2 + [[np.zeros(0, np.uint64)]] * 2
         self.first, self.last, self.anchor, name = (np.concatenate(c) for c in columns)
@@ -210,62 +212,84 @@ class Segments:
         return np.cumsum(change[:-1]) > 0
 
 
-def previous_factors(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def previous_factors(anchor: np.ndarray, name: np.ndarray, owner: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each position: has it an earlier match of full width, and any match at all?
 
-    Positions are put in suffix order, equal strings by position. The previous smaller
-    position of a member of a run is then its neighbour; a run's first has none in it.
+    Positions belong to the segment ``owner``, of which ``anchor`` and the document
+    order ``rank`` are given. They are put in suffix order, equal strings by position. The
+    previous smaller position of a member of a run is then its neighbour; a run's first
+    has none in it.
     """
-    order = np.lexsort((name, anchor))
-    same = (anchor[order][1:] == anchor[order][:-1]) & (name[order][1:] == name[order][:-1])
+    order = np.lexsort((name, anchor[owner]))
+    a, n = anchor[owner[order]], name[order]
+    same = (a[1:] == a[:-1]) & (n[1:] == n[:-1])
+    del a, n
     run = np.concatenate([[0], np.cumsum(~same)])
-    size = np.bincount(run)[run]
-    member = size > 1
+    member = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     some, runs = order[member], run[member]
-    some = some[np.lexsort((place[some], block[some], doc[some], runs))]
-    runs = np.sort(runs)
-    earlier = np.zeros(len(anchor), bool)
-    earlier[some] = np.concatenate([[False], runs[1:] == runs[:-1]]) if len(some) else False
-    matched = np.zeros(len(anchor), bool)
+    some = some[np.lexsort((place[some], rank[owner[some]], runs))]
+    earlier, matched = np.zeros(len(name), bool), np.zeros(len(name), bool)
     matched[some] = True
+    if len(some):
+        earlier[some] = np.concatenate([[False], runs[1:] == runs[:-1]])
     return earlier, matched
 
 
-def _expanded(row: dict, width: int) -> tuple[np.ndarray, ...]:
-    """One entry per position: anchor, name, document, place, segment, offset, several."""
-    anchors, sizes, docs, places, segments, several = (
-        B.unpack(row[c]) for c in ("anchors", "sizes", "docs", "places", "segments", "several")
-    )
-    if row["hot"]:
-        return anchors, np.frombuffer(row["bytes"], np.uint64), docs, places, segments, sizes.astype(np.int64), several
-    data = np.frombuffer(B.zstandard.ZstdDecompressor().decompress(row["bytes"]), np.uint8)
-    ends = np.cumsum(sizes.astype(np.int64))
-    name, count = [], sizes.astype(np.int64) - width + 1
-    step = max(1, CHUNK // 400)
-    for i in range(0, len(sizes), step):
-        a, b = (ends[i] - sizes[i]), ends[min(i + step, len(sizes)) - 1]
-        full = names(data[a:b], width, 1)[1]
-        starts = ends[i : i + step] - sizes[i : i + step] - a
-        n = count[i : i + step]
-        name.append(full[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    each = [np.repeat(x, count) for x in (anchors, docs, places, segments, several)]
-    return each[0], np.concatenate(name), each[1], each[2] + offset, each[3], offset, each[4]
+class Gathered:
+    """What blocks sent to a part: columns of segments, and of their positions."""
+
+    def __init__(self, rows: list[dict], width: int):
+        columns: dict[str, list[np.ndarray]] = {c: [] for c in ("anchors", "docs", "block", "places", "segments", "several", "owner", "offset", "name")}
+        base = 0
+        for row in rows:
+            found = {c: B.unpack(row[c]) for c in ("anchors", "sizes", "docs", "places", "segments", "several")}
+            sizes = found.pop("sizes")
+            many = len(sizes)
+            if row["hot"]:  # a segment entry for each position
+                owner, offset, name = np.arange(many), sizes, np.frombuffer(row["bytes"], np.uint64)
+                found["places"] = found["places"] - sizes
+            else:
+                owner, offset, name = self._positions(row["bytes"], sizes.astype(np.int64), width)
+            found |= {"block": np.full(many, row["block"]), "owner": (owner + base).astype(np.int32), "offset": offset.astype(np.int32), "name": name}
+            for c, v in found.items():
+                columns[c].append(v)
+            base += many
+        for c, v in columns.items():
+            setattr(self, c, np.concatenate(v))
+            v.clear()
+
+    @staticmethod
+    def _positions(data: bytes, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text = np.frombuffer(B.zstandard.ZstdDecompressor().decompress(data), np.uint8)
+        ends, count, found = np.cumsum(sizes), sizes - width + 1, []
+        step = max(1, CHUNK // (2 * width))
+        for i in range(0, len(sizes), step):
+            a, b = ends[i] - sizes[i], ends[min(i + step, len(sizes)) - 1]
+            n = count[i : i + step]
+            starts = ends[i : i + step] - sizes[i : i + step] - a
+            found.append(names(text[a:b], width, 1)[1][np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
+        return owner, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), np.concatenate(found)
+
+    def going(self, keep: str) -> np.ndarray:
+        order = np.lexsort((self.block, self.docs))  # documents by id, then by block
+        new = (np.diff(self.docs[order]) != 0) | (np.diff(self.block[order]) != 0)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(new)])
+        anchor = np.unique(self.anchors, return_inverse=True)[1].astype(np.int32)
+        place = self.places[self.owner] + self.offset
+        earlier, matched = previous_factors(anchor, self.name, self.owner, rank, place)
+        return earlier if keep == "first" else matched | (self.several > 0)[self.owner]
 
 
 def _ranges(width: int, keep: str):
     def run(group):
-        rows = group.to_pylist()
-        parts = [_expanded(r, width) for r in rows]
-        block = np.concatenate([np.full(len(p[0]), r["block"]) for r, p in zip(rows, parts)])
-        anchor, name, doc, place, segment, offset, several = (np.concatenate(c) for c in zip(*parts))
-        earlier, matched = previous_factors(anchor, name, doc, block, place)
-        goes = earlier if keep == "first" else matched | (several > 0)
-        out: dict[str, list] = {"block": [], "segments": [], "starts": [], "stops": []}
-        at = np.flatnonzero(goes)
-        b, s, o = block[at], segment[at], offset[at]
+        got = Gathered(group.to_pylist(), width)
+        at = np.flatnonzero(got.going(keep))
+        b, s, o = got.block[got.owner[at]], got.segments[got.owner[at]], got.offset[at]
         order = np.lexsort((o, s, b))
         b, s, o = b[order], s[order], o[order]
+        out: dict[str, list] = {"block": [], "segments": [], "starts": [], "stops": []}
         if len(b):
             new = np.concatenate([[True], (np.diff(b) != 0) | (np.diff(s) != 0) | (np.diff(o) != 1)])
             heads = np.flatnonzero(new)
@@ -309,7 +333,7 @@ def remove_repeats(
 
     def send(block: int, group: pa.Table, sent: pa.Table) -> dict[str, list]:
         segments = Segments(group, width, gram)
-        return segments.sent(block, segments.totals(sent), parts, hot)
+        return segments.sent(block, segments.totals(sent), PARTS * parts, hot)
 
     def finish(block: int, group: pa.Table, sent: pa.Table) -> dict[str, list]:
         segments = Segments(group, width, gram)
