@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from noteforge.llm.common import map_arrow, table_of
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 LEAST_BLOCKS = 8
 
 BLOCK_TYPE = "block bigint, data binary"

@@ -24,7 +24,7 @@ words are sent to ``SLOTS`` places at most, and its pairs are spread over these.
 Defined results: null texts and texts without a word are classes of their own. Texts of
 fewer words than a shingle are one shingle, so they are linked to equal ones only. A
 class is named by its smallest document id, nulls first; rows that share an id count as
-one document. An empty table gives an empty table. Other columns are ignored.
+one document, compared by the least of its texts where they differ. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -251,7 +251,7 @@ def near_duplicates(
     as_words = F.arrow_udf("binary")(lambda t: pa.array([word_bytes(x) for x in t.to_pylist()], pa.binary()))
     words = stage_table(
         rows.join(involved, "id").select(F.col("id").alias("node"), as_words("text").alias("words"))
-        .groupBy("node").agg(F.first("words").alias("words")) if _ids_repeat(sketched) else
+        .groupBy("node").agg(F.min("words").alias("words")) if _ids_repeat(sketched) else
         rows.join(involved, "id").select(F.col("id").alias("node"), as_words("text").alias("words")),
         "neardup-words",
     )
