@@ -37,6 +37,15 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     return counts.where(F.col("_n") > F.lit(total * share)).select(key, F.lit(True).alias("_hot"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key matches a null key. Key columns come from the left."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    matched = F.lit(True)
+    for c in on:
+        matched = matched & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(other, matched, how).drop(*[f"_r_{c}" for c in on])
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -58,7 +67,8 @@ def salted_join(
     salt = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
     left = (
         left.join(hot, key, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+        # a null key matches nothing, but all its rows would lie in one task
+        .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(0))
         .drop("_hot")
     )
     right = (

@@ -59,6 +59,7 @@ from noteforge.runtime import stage
 FEATURES, LABEL, PROBS, PREDICTION = "features", "label_idx", "probs", "prediction"
 PARALLEL_FITS = 8  # fits that run side by side
 FIT_PART_BYTES = 8 * 1024 * 1024  # vector bytes worth a task of their own
+ALL_WORDS = (1 << 31) - 1  # the vectoriser's largest dictionary: no word is left out
 
 # --------------------------------------------------------------------------
 # text -> features
@@ -111,11 +112,11 @@ class SmoothIdf(Estimator, HasInputCol, HasOutputCol):
         return ElementwiseProduct(scalingVec=scale, inputCol=self.getInputCol(), outputCol=self.getOutputCol())
 
 
-def freq_stages(vocab_size: int = 1 << 18, **_) -> list:
+def freq_stages(vocab_size: int = ALL_WORDS, **_) -> list:
     return [CountVectorizer(inputCol="tokens", outputCol=FEATURES, vocabSize=vocab_size, minDF=1.0)]
 
 
-def tfidf_stages(vocab_size: int = 1 << 18, **_) -> list:
+def tfidf_stages(vocab_size: int = ALL_WORDS, **_) -> list:
     return [
         CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size, minDF=1.0),
         SublinearTf("tf", "tf_log"),
@@ -124,13 +125,15 @@ def tfidf_stages(vocab_size: int = 1 << 18, **_) -> list:
     ]
 
 
-def pv_stages(dim: int = 600, window: int = 10, min_count: int = 1, parts: int = 8, iterations: int = 1,
-              seed: int = 42, **_) -> list:
+def pv_stages(dim: int = 600, window: int = 10, min_count: int = 1, parts: int | None = None,
+              iterations: int = 1, seed: int = 42, **_) -> list:
     return [word2vec(dim, window, min_count, parts, iterations, seed, output=FEATURES)]
 
 
-def word2vec(dim: int = 300, window: int = 5, min_count: int = 1, parts: int = 8, iterations: int = 1,
+def word2vec(dim: int = 300, window: int = 5, min_count: int = 1, parts: int | None = None, iterations: int = 1,
              seed: int = 42, output: str = "vec") -> Word2Vec:
+    """Skip-gram vectors, fitted in ``parts`` tasks: by default, one for each core of the session."""
+    parts = parts or SparkSession.active().sparkContext.defaultParallelism
     return Word2Vec(
         inputCol="tokens", outputCol=output, vectorSize=dim, windowSize=window, minCount=min_count,
         maxIter=max(iterations, 1), numPartitions=parts, seed=seed,
@@ -462,7 +465,7 @@ def _fit_svm_rbf(df: DataFrame, c: FitContext) -> Classifier:
 
 def _fit_forest(df: DataFrame, c: FitContext) -> Classifier:
     forest = RandomForestClassifier(
-        labelCol=LABEL, featuresCol=FEATURES, numTrees=c.get("trees", 100), maxDepth=c.get("depth", 8), seed=0
+        labelCol=LABEL, featuresCol=FEATURES, numTrees=c.get("trees", 100), maxDepth=c.get("depth", 30), seed=0
     )
     if c.balanced:
         df = df.withColumn("_w", _balanced(F.col(LABEL), class_counts(df)))
@@ -595,7 +598,7 @@ def fit_features(train: DataFrame, spec: Spec, **options) -> PipelineModel:
     return pipe.fit(with_feature(train, spec.feature))
 
 
-def fit_bundle(train: DataFrame, spec: Spec, key: str, label: str, labels: list | None = None,
+def fit_bundle(train: DataFrame, spec: Spec, key: str, label: str,
                features: PipelineModel | None = None, feature_options: dict | None = None, **options) -> Bundle:
     indexer = label_indexer(label).fit(train)
     labels = list(indexer.labels)

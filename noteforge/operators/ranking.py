@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteforge.operators.joins import null_safe_join
 from noteforge.runtime import stage
 
 HASH_DIGITS = 4  # 65,536 buckets per group
@@ -42,7 +43,7 @@ def running_in_buckets(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = df.join(offsets, [*group, bucket])
+    out = null_safe_join(df, offsets, [*group, bucket])
     out = out.withColumns({n: F.col(f"_o_{n}") + F.sum(f"_x_{n}").over(inside) for n in names})
     return out.drop(*[f"_{p}_{n}" for n in names for p in "xo"])
 
@@ -90,7 +91,7 @@ def running_totals(
     return running_in_buckets(parts, group, "_part", list(order), sums).drop("_part")
 
 
-SINGLE_TASK_ROWS = 100_000
+SINGLE_TASK_ROWS = 1_000
 
 
 def top_ranked(df: DataFrame, order: Sequence[Column], limit: int | None, out: str = "rank") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteforge.operators.joins import null_safe_join
 from noteforge.operators.ranking import HASH_DIGITS, hash_key, hash_rank
 from noteforge.runtime import stage
 
@@ -14,11 +15,19 @@ MAX_STRATA = 100_000
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int, reps: int = 1) -> DataFrame:
-    """Every row once per repeat with its ``fold`` in 0..k-1; strata differ by at most one row."""
+    """Every row once per repeat with its ``fold`` in 0..k-1; strata differ by at most one row.
+
+    Rows without a label are a stratum of their own, and rows of one key and label
+    share their folds. Only (key, label) is repeated and ranked; the rows get their folds in
+    one join and are repeated where they lie.
+    """
     numbers = F.array(*[F.lit(r).cast("bigint") for r in range(1, reps + 1)])
-    repeated = df.withColumn("rep", F.explode(numbers))
-    ranked = hash_rank(repeated, ["rep", label], [key], ["rep"])
-    return ranked.withColumn("fold", (F.col("rank") - 1) % k).drop("rank")
+    narrow = df.select(key, label).distinct().withColumn("rep", F.explode(numbers))
+    ranked = hash_rank(narrow, ["rep", label], [key], ["rep"])
+    fold = F.struct("rep", ((F.col("rank") - 1) % k).alias("fold"))
+    folds = ranked.groupBy(key, label).agg(F.collect_list(fold).alias("_folds"))
+    marked = null_safe_join(df, folds, [key, label])
+    return marked.withColumn("_f", F.explode("_folds")).select(*df.columns, "_f.rep", "_f.fold")
 
 
 def _first_share(df: DataFrame, key: str, fraction: float, strata: Sequence[str], seed: str) -> DataFrame:
@@ -44,7 +53,7 @@ def _first_share(df: DataFrame, key: str, fraction: float, strata: Sequence[str]
     on = [*strata, "_b"]
     inside = Window.partitionBy(*on).orderBy("_h", key)
     cuts = stage(
-        narrow.join(located, on)
+        null_safe_join(narrow, located, on)
         .withColumn("_rn", F.row_number().over(inside))
         .where(F.col("_rn") == F.col("_need"))
         .select(*strata, F.col("_h").alias("_cut_h"), F.col(key).alias("_cut_key"))
@@ -61,7 +70,7 @@ def _first_share(df: DataFrame, key: str, fraction: float, strata: Sequence[str]
     # one row per stratum
     side = F.broadcast(cuts) if cuts.count() <= MAX_STRATA else cuts
     return (
-        marked.join(side, list(strata), "left")
+        null_safe_join(marked, side, list(strata), "left")
         .withColumn("in_train", F.coalesce(at_most(F.col("_cut_h"), F.col("_cut_key")), F.lit(False)))
         .drop("_h", "_cut_h", "_cut_key")
     )

@@ -28,7 +28,8 @@ from noteforge.plans.inputs import (
 from noteforge.runtime import stage
 from noteforge.sources.readers import table
 
-VOCAB_SIZE = 10_000
+VOCAB_SIZE = 1_000_000
+DIMENSIONS = 200  # of the fitted word vectors
 
 NOTES = S.notes()
 WORDS = f"{NOTES}, {S.word_rows()}"
@@ -313,9 +314,9 @@ def chi2_selected(spark, sf):
 # --- fitted vectors -----------------------------------------------------------------
 
 
-def _word2vec(spark, sf, dim: int = 50):
+def _word2vec(spark, sf, dim: int = DIMENSIONS):
     notes = corpus_tokens(spark, sf)
-    return notes, M.word2vec(dim=dim, min_count=5).fit(notes)
+    return notes, M.word2vec(dim=dim).fit(notes)
 
 
 @query("word2vec")
@@ -323,7 +324,7 @@ def word2vec(spark, sf):
     """Skip-gram word vectors in wide form."""
     _, model = _word2vec(spark, sf)
     vectors = model.getVectors().select("word", M.vector_to_array("vector").alias("vec"))
-    return V.matrix_wide(vectors, "word", 50)
+    return V.matrix_wide(vectors, "word", DIMENSIONS)
 
 
 @query("doc_vectors")
@@ -351,7 +352,7 @@ def hashing_tf(spark, sf):
 def vectorised_counts(spark, sf):
     """Sparse count vectors, turned back into long form."""
     notes = corpus_tokens(spark, sf)
-    model = M.freq_stages(vocab_size=1 << 20)[0].fit(notes)
+    model = M.freq_stages()[0].fit(notes)
     words = spark.createDataFrame(list(enumerate(model.vocabulary)), "slot int, word string")
     rows = model.transform(notes).select("doc_id", F.unwrap_udt("features").alias("v")).select(
         "doc_id", F.explode(F.arrays_zip(F.col("v.indices").alias("slot"), F.col("v.values").alias("n"))).alias("x")

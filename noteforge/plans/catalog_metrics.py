@@ -75,6 +75,13 @@ def auc_hard(spark, sf):
     return E.class_report(rule_predictions(spark, sf)).select("class", "support", F.round("auc", 6).alias("auc"))
 
 
+@query("auc_macro", f"WITH {RULE}, {_report_sql('preds')} SELECT round(avg(auc), 6) AS auc FROM report WHERE support > 0")
+def auc_macro(spark, sf):
+    """Unweighted mean over the classes that occur."""
+    report = E.class_report(rule_predictions(spark, sf)).where("support > 0")
+    return report.agg(F.round(F.avg("auc"), 6).alias("auc"))
+
+
 @query(
     "metrics_binary",
     f"WITH {RULE}, {_report_sql('preds')} SELECT {_rounded(SCORES[1:4])} FROM report WHERE class = 'en'",

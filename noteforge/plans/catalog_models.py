@@ -21,10 +21,6 @@ from noteforge.sources.readers import table
 from noteforge.sources.writers import save_bundle
 from noteforge.streaming.score import note_stream, score_stream
 
-# dictionary sizes of the count vectoriser: for iterative solvers, and for one-pass models
-VOCAB = {"vocab_size": 20_000}
-WIDE_VOCAB = {"vocab_size": 1 << 18}
-
 
 def _texts(spark, sf):
     return documents(spark, sf).select("doc_id", F.col("text").alias("bow"), "lang")
@@ -41,8 +37,7 @@ def _text_fit(code: str, weighting: str = "freq", balanced: bool = False, **opti
     def run(spark, sf):
         train, test = _halves(_texts(spark, sf), "doc_id", "lang")
         spec = M.Spec("bow", code, weighting, balanced)
-        sizes = WIDE_VOCAB if code == "nb" else VOCAB
-        bundle = M.fit_bundle(train, spec, "doc_id", "lang", feature_options=sizes, **options)
+        bundle = M.fit_bundle(train, spec, "doc_id", "lang", **options)
         return _predictions(bundle.transform(test), "doc_id", "lang", bundle.labels)
 
     return run
@@ -84,9 +79,9 @@ query("fit_l2_balanced")(_text_fit("l2", "tfidf", balanced=True))
 query("fit_nb")(_text_fit("nb"))
 query("fit_svmlin")(_text_fit("svmlin", "tfidf"))
 query("fit_svmsgd")(_text_fit("svmsgd", "tfidf"))
-query("fit_svmrbf")(_vector_fit("svmrbf", fourier=128, max_iter=30))
+query("fit_svmrbf")(_vector_fit("svmrbf"))
 query("fit_rf")(_vector_fit("rf"))
-query("fit_adaboost")(_vector_fit("adaboost", rounds=20))
+query("fit_adaboost")(_vector_fit("adaboost"))
 query("fit_mlp")(_vector_fit("mlp"))
 
 
@@ -95,7 +90,7 @@ def fit_embed_mlp(spark, sf):
     """Word vectors, pooled per note, into a small network."""
     train, test = _halves(_texts(spark, sf), "doc_id", "lang")
     bundle = M.fit_bundle(train, M.Spec("bow", "dnn", "pv"), "doc_id", "lang",
-                          feature_options={"dim": 50, "min_count": 5}, max_iter=100)
+                          feature_options={"dim": 200})
     return _predictions(bundle.transform(test), "doc_id", "lang", bundle.labels)
 
 
@@ -104,7 +99,7 @@ def calibrated_probs(spark, sf):
     """Calibrated class shares of held-out vectors; they sum to one."""
     train, test = _halves(_vectors(spark, sf), "vec_id", M.LABEL)
     classes = int(train.agg(F.max(M.LABEL)).first()[0]) + 1
-    fitted = M.fit_classifier(train, "svmlin", classes, "vec_id", max_iter=30)
+    fitted = M.fit_classifier(train, "svmlin", classes, "vec_id")
     return fitted.transform(test).select("vec_id", F.posexplode(M.PROBS).alias("class", "share"))
 
 
@@ -112,21 +107,19 @@ def calibrated_probs(spark, sf):
 def cv_scores(spark, sf):
     """Two features x two algorithms under stratified folds."""
     notes = documents(spark, sf).select("doc_id", F.col("text").alias("bow"), "source", "lang")
-    result = jobs.cross_validate(notes, "doc_id", "lang", "bow+bow_source", "nb+l2", "freq", reps=1, k=3,
-                                 feature_options=VOCAB, max_iter=20)
+    result = jobs.cross_validate(notes, "doc_id", "lang", "bow+bow_source", "nb+l2", "freq", reps=1, k=5)
     return result.scores
 
 
 @query("cv_predictions")
 def cv_predictions(spark, sf):
     notes = _texts(spark, sf)
-    result = jobs.cross_validate(notes, "doc_id", "lang", "bow", "nb", "tfidf", reps=2, k=3,
-                                 feature_options=WIDE_VOCAB)
+    result = jobs.cross_validate(notes, "doc_id", "lang", "bow", "nb", "tfidf", reps=2, k=5)
     return result.predictions.withColumn("probs", F.to_json("probs"))
 
 
 def _saved_bundle(spark, sf):
-    bundle = M.fit_bundle(_texts(spark, sf), M.Spec("bow", "nb", "freq"), "doc_id", "lang", feature_options=WIDE_VOCAB)
+    bundle = M.fit_bundle(_texts(spark, sf), M.Spec("bow", "nb", "freq"), "doc_id", "lang")
     return save_bundle(bundle, scratch_path(spark, "model"), spark)
 
 
@@ -157,7 +150,7 @@ def probe(spark, sf):
     classes = int(train.agg(F.max(M.LABEL)).first()[0]) + 1
     out = None
     for code in ("l1", "svmlin"):
-        fitted = M.fit_classifier(train, code, classes, "vec_id", max_iter=30)
+        fitted = M.fit_classifier(train, code, classes, "vec_id")
         preds = fitted.transform(test).select(F.col(M.LABEL).alias("true"), F.col(M.PREDICTION).alias("pred"))
         row = weighted_scores(preds).withColumn("algorithm", F.lit(code))
         out = row if out is None else out.unionByName(row)
@@ -166,7 +159,7 @@ def probe(spark, sf):
 
 def _count_features(spark, sf, weighting="freq"):
     notes = _texts(spark, sf)
-    pipe = M.fit_features(notes, M.Spec("bow", "l2", weighting), **VOCAB)
+    pipe = M.fit_features(notes, M.Spec("bow", "l2", weighting))
     ready = pipe.transform(M.with_feature(notes, "bow"))
     return pipe, M.label_indexer("lang").fit(notes).transform(ready).select("doc_id", M.FEATURES, M.LABEL)
 
@@ -174,15 +167,14 @@ def _count_features(spark, sf, weighting="freq"):
 @query("fit_history")
 def fit_history(spark, sf):
     _, ready = _count_features(spark, sf, "tfidf")
-    model = LogisticRegression(labelCol=M.LABEL, featuresCol=M.FEATURES, maxIter=30, regParam=0.01).fit(ready)
+    model = LogisticRegression(labelCol=M.LABEL, featuresCol=M.FEATURES, maxIter=100, regParam=0.01).fit(ready)
     return M.history_table(spark, model)
 
 
 @query("top_features")
 def top_features(spark, sf):
     """The twenty heaviest terms per language in a linear model."""
-    bundle = M.fit_bundle(_texts(spark, sf), M.Spec("bow", "l2", "tfidf"), "doc_id", "lang",
-                          feature_options=VOCAB, max_iter=30)
+    bundle = M.fit_bundle(_texts(spark, sf), M.Spec("bow", "l2", "tfidf"), "doc_id", "lang")
     return M.top_features(spark, bundle)
 
 
@@ -204,7 +196,7 @@ def tuned(spark, sf):
 def lasso_terms(spark, sf):
     """Terms with a non-zero weight in an L1 regression on the class number."""
     pipe, ready = _count_features(spark, sf, "tfidf")
-    model = LinearRegression(labelCol=M.LABEL, featuresCol=M.FEATURES, elasticNetParam=1.0, regParam=0.01, maxIter=50,
+    model = LinearRegression(labelCol=M.LABEL, featuresCol=M.FEATURES, elasticNetParam=1.0, regParam=0.01, maxIter=100,
                              solver="l-bfgs").fit(ready)
     terms = next(s.vocabulary for s in pipe.stages if hasattr(s, "vocabulary"))
     weights = model.coefficients.toArray()
@@ -216,7 +208,7 @@ def lasso_terms(spark, sf):
 def topics(spark, sf):
     """Ten topics, the ten heaviest terms of each."""
     pipe, ready = _count_features(spark, sf)
-    model = LDA(featuresCol=M.FEATURES, k=10, maxIter=10, seed=42, optimizer="online").fit(ready)
+    model = LDA(featuresCol=M.FEATURES, k=10, maxIter=20, seed=42, optimizer="online").fit(ready)
     terms = next(s.vocabulary for s in pipe.stages if hasattr(s, "vocabulary"))
     described = model.describeTopics(10)
     rows = [

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteforge import fixed
@@ -28,8 +30,21 @@ def table(spark: SparkSession, folder: str, name: str, key: str | None = None) -
 
 
 def read_notes(spark: SparkSession, path: str, schema: str = fixed.NOTES_DDL) -> DataFrame:
-    """Tab-separated notes with a header."""
-    return spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"')
+    """Tab-separated notes with a header, as :func:`noteforge.sources.writers.write_tsv` writes them."""
+    rows = spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"')
+    return rows.select(*[
+        unescaped(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name)
+        for f in rows.schema.fields
+    ])
+
+
+def unescaped(value: Column) -> Column:
+    """Undo the sink's escapes; an escaped backslash is set aside first."""
+    (slash, slash_escaped), *breaks = fixed.TSV_ESCAPES
+    parts = F.split(value, re.escape(slash_escaped), -1)
+    for plain, escaped in breaks:
+        parts = F.transform(parts, lambda x, a=escaped, b=plain: F.replace(x, F.lit(a), F.lit(b)))
+    return F.array_join(parts, slash)
 
 
 def read_named(spark: SparkSession, path: str, schema: str = fixed.COHORT_DDL) -> DataFrame:
