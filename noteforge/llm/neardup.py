@@ -211,7 +211,7 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
@@ -255,7 +255,7 @@ def near_duplicates(
         rows.join(involved, "id").select(F.col("id").alias("node"), as_words("text").alias("words")),
         "neardup-words",
     )
-    links, tried, root = None, None, None
+    links, tried, root, late = None, None, None, False
     for turn in range(rounds):
         placed = members
         if root is not None:
@@ -270,6 +270,10 @@ def near_duplicates(
             break
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
+        late = root is not None
+        if not late:  # later rounds start from the classes of the first one
+            root = connected(links)
+    if late:
         root = connected(links)
     ids = nodes.select("e1", "e2", "node")
     classes = ids.withColumn("root", F.col("node")) if root is None else ids.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))

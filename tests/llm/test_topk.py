@@ -12,9 +12,9 @@ TABLE = "vec_id bigint, embedding array<float>, score int"
 
 def table(spark, n, seed=1, big=False):
     rng = random.Random(seed)
-    rows = [(i, [rng.gauss(0, 3e6 if big else 1) for _ in range(12)], i) for i in range(n)]
+    rows = [(i, [rng.gauss(0, 3e4 if big else 1) for _ in range(12)], i) for i in range(n)]
     rows += [(n, None, 0), (n + 1, [1.0, None], 0), (n + 2, [float("nan")] * 12, 0), (n + 3, [float("inf")], 0), (n + 4, [], 0),
-             (n + 5, [2.0] * 5, 0), (None, [1.0] * 12, 0), (3, rows[3][1], 0), (7, rows[3][1], 0), (0, [-1.0] * 12, 0)]
+             (n + 5, [2.0] * 5, 0), (None, [1.0] * 12, 0), (3, rows[2][1], 0), (7, rows[2][1], 0), (0, [-1.0] * 12, 0)]
     return spark.createDataFrame(rows, TABLE)
 
 
