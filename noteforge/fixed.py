@@ -123,3 +123,4 @@ EPSILON = 1e-7
 
 # What a field of a tab-separated file may not hold, and how it is written there; the backslash comes first.
 TSV_ESCAPES = [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")]
+TSV_NULL = "\\N"

@@ -31,7 +31,10 @@ def table(spark: SparkSession, folder: str, name: str, key: str | None = None) -
 
 def read_notes(spark: SparkSession, path: str, schema: str = fixed.NOTES_DDL) -> DataFrame:
     """Tab-separated notes with a header, as :func:`noteforge.sources.writers.write_tsv` writes them."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"')
+    # an absent field reads as the null mark, which no escaped text can be; a quoted empty one as empty
+    rows = spark.read.csv(
+        path, sep="\t", header=True, schema=schema, quote='"', escape='"', nullValue=fixed.TSV_NULL, emptyValue=""
+    )
     return rows.select(*[
         unescaped(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name)
         for f in rows.schema.fields
@@ -42,9 +45,13 @@ def unescaped(value: Column) -> Column:
     """Undo the sink's escapes; an escaped backslash is set aside first."""
     (slash, slash_escaped), *breaks = fixed.TSV_ESCAPES
     parts = F.split(value, re.escape(slash_escaped), -1)
-    for plain, escaped in breaks:
-        parts = F.transform(parts, lambda x, a=escaped, b=plain: F.replace(x, F.lit(a), F.lit(b)))
-    return F.array_join(parts, slash)
+
+    def broken(part: Column) -> Column:
+        for plain, escaped in breaks:
+            part = F.replace(part, F.lit(escaped), F.lit(plain))
+        return part
+
+    return F.array_join(F.transform(parts, broken), slash)
 
 
 def read_named(spark: SparkSession, path: str, schema: str = fixed.COHORT_DDL) -> DataFrame:

@@ -91,3 +91,23 @@ def test_match_counts(spark):
     a = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     b = spark.createDataFrame([(2,), (9,)], "id long")
     assert tuple(J.match_counts(a, b, "id").first()) == (1, 2, 1)
+
+
+def test_folds_and_splits_keep_rows_without_a_label(spark):
+    rows = [(i, None if i % 7 == 0 else f"c{i % 3}", "text" * 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, label string, text string")
+    got = S.stratified_folds(df, "id", "label", 5, 2).groupBy("label", "rep", "fold").count().collect()
+    assert sum(r["count"] for r in got) == 400
+    for label in (None, "c0", "c1", "c2"):
+        for rep in (1, 2):
+            sizes = [r["count"] for r in got if r["label"] == label and r["rep"] == rep]
+            assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+    train = S.stratified_split(df, "id", "label").where("label IS NULL AND in_train").count()
+    assert train == round(0.7 * sum(r[1] is None for r in rows))
+
+
+def test_salted_join_with_null_keys(spark):
+    left = spark.createDataFrame([(i, None if i % 2 else "k") for i in range(50)], "id long, key string")
+    right = spark.createDataFrame([("k", 1), (None, 2)], "key string, w int")
+    want = sorted(map(tuple, left.join(right, "key", "left").collect()), key=repr)
+    assert sorted(map(tuple, J.salted_join(left, right, "key", "left").collect()), key=repr) == want

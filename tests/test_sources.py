@@ -71,3 +71,10 @@ def test_cohort(spark, tmp_path):
 def test_output_order(spark):
     df = spark.createDataFrame([("b",), ("a",)], "fname string")
     assert [r[0] for r in writers.sorted_for_output(df, "fname").collect()] == ["a", "b"]
+
+
+def test_tsv_keeps_line_breaks_backslashes_and_empty_texts(spark, tmp_path):
+    rows = [("a", "one\ntwo\r\nthree"), ("b", ""), ("c", None), ("d", "back\\nslash \\\\ \"quoted\"\ttab\\")]
+    writers.write_tsv(spark.createDataFrame(rows, "fname string, bow string"), str(tmp_path / "t"))
+    back = readers.read_notes(spark, str(tmp_path / "t"), "fname string, bow string").orderBy("fname")
+    assert [tuple(r) for r in back.collect()] == rows
