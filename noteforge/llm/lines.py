@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteforge.functions.text import bound
 from noteforge.llm.common import free_name
 
 WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
@@ -36,29 +37,34 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
 
 
-def rolling(hashes: str, i: Column) -> Column:
+def rolling(hashes: Column, i: Column) -> Column:
     """Polynomial hash of the ``WINDOW`` line hashes up to place ``i``, as a number below 2**31."""
     value = F.lit(0).cast("bigint")
     for back in range(WINDOW - 1, -1, -1):
-        h = F.get(hashes, i - back)
-        value = F.pmod(value * F.lit(FACTOR) + h, F.lit((1 << 31) - 1))
+        value = F.pmod(value * F.lit(FACTOR) + F.get(hashes, i - back), F.lit((1 << 31) - 1))
     return value
 
 
-def with_chunks(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: array of (lines, body) in text order; null for a null text."""
-    df = df.withColumn("_lines", F.split(text, "\n", -1))
-    df = df.withColumn("_hashes", F.transform("_lines", line_hash))
-    places = F.sequence(F.lit(0), F.size("_lines") - 1)
-    ends_here = lambda i: (i == F.size("_lines") - 1) | ((i >= WINDOW - 1) & (rolling("_hashes", i) % DIVISOR == 0))
-    df = df.withColumn("_ends", F.filter(places, ends_here))
+def chunks_of_lines(text: Column) -> Column:
+    """Array of (lines, body) in text order; null for a null text. Every step is computed once for a text."""
 
-    def chunk(end: Column, k: Column) -> Column:
-        start = F.when(k == 0, 0).otherwise(F.get("_ends", k - 1) + 1)
-        body = F.array_join(F.slice("_lines", start + 1, end - start + 1), "\n")
-        return F.struct((end - start + 1).alias("lines"), body.alias("body"))
+    def ends(lines: Column, hashes: Column) -> Column:
+        last = F.size(lines) - 1
+        here = lambda i: (i == last) | ((i >= WINDOW - 1) & (rolling(hashes, i) % DIVISOR == 0))
+        return F.filter(F.sequence(F.lit(0), last), here)
 
-    return df.withColumn(out, F.transform("_ends", chunk)).drop("_lines", "_hashes", "_ends")
+    def cut(lines: Column, ends: Column) -> Column:
+        def chunk(end: Column, k: Column) -> Column:
+            start = F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
+            body = F.array_join(F.slice(lines, start + 1, end - start + 1), "\n")
+            return F.struct((end - start + 1).alias("lines"), body.alias("body"))
+
+        return F.transform(ends, chunk)
+
+    def of(lines: Column) -> Column:
+        return bound(F.transform(lines, line_hash), lambda hashes: bound(ends(lines, hashes), lambda e: cut(lines, e)))
+
+    return F.when(text.isNotNull(), bound(F.split(text, "\n", -1), of))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -75,8 +81,7 @@ def remove_repeated_lines(
     total, gone = (free_name(docs, c) for c in counts)
     keyed = _keyed(docs, doc_id, text)
     chunks = (
-        with_chunks(keyed.select("_id", "_row", F.col(text).alias("_text")), "_text", "_chunks")
-        .select("_id", "_row", F.posexplode("_chunks").alias("k", "c"))
+        keyed.select("_id", "_row", F.posexplode(chunks_of_lines(F.col(text))).alias("k", "c"))
         .where(F.col("c.lines") >= min_lines)
         .select("_id", "_row", "k", F.xxhash64("c.body").alias("h1"), F.xxhash64(F.lit(1), "c.body").alias("h2"), "c.body")
     )
@@ -91,13 +96,22 @@ def remove_repeated_lines(
         .withColumn("ks", F.when(F.col("first_id") == F.col("_id"), F.slice("ks", F.lit(2), F.size("ks"))).otherwise(F.col("ks")))
         .groupBy("_id", "_row").agg(F.flatten(F.collect_list("ks")).alias("_gone"))
     )
-    df = with_chunks(keyed.join(removed, ["_id", "_row"], "left"), text, "_chunks")
-    every = F.sequence(F.lit(0), F.size("_chunks") - 1)
-    df = df.withColumn("_kept", F.when(F.size("_gone") > 0, F.array_except(every, "_gone")).otherwise(every))
-    left = F.array_join(F.transform("_kept", lambda k: F.get("_chunks", k)["body"]), "\n")
-    lines = lambda places: F.aggregate(places, F.lit(0).cast("bigint"), lambda a, k: a + F.get("_chunks", k)["lines"])
+    df = keyed.join(removed, ["_id", "_row"], "left")
+
+    def left(chunks: Column) -> Column:
+        """What stays, with the numbers of all lines and of removed ones."""
+        kept = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.coalesce("_gone", F.array().cast("array<int>")))
+        lines = lambda rows: F.aggregate(rows, F.lit(0).cast("bigint"), lambda a, c: a + c["lines"])
+
+        def of(rows: Column) -> Column:
+            body = F.array_join(F.transform(rows, lambda c: c["body"]), "\n")
+            return F.struct(body.alias("body"), lines(chunks).alias("total"), (lines(chunks) - lines(rows)).alias("gone"))
+
+        return bound(F.transform(kept, lambda k: F.get(chunks, k)), of)
+
+    df = df.withColumn("_left", bound(chunks_of_lines(F.col(text)), left))
     return df.select(
-        *[(F.when(F.size("_gone") > 0, left).otherwise(F.col(text)).alias(c) if c == text else F.col(c)) for c in docs.columns],
-        F.coalesce(lines(every), F.lit(0)).alias(total),
-        F.coalesce(lines(F.col("_gone")), F.lit(0)).alias(gone),
+        *[F.col("_left.body").alias(c) if c == text else F.col(c) for c in docs.columns],
+        F.coalesce("_left.total", F.lit(0)).alias(total),
+        F.coalesce("_left.gone", F.lit(0)).alias(gone),
     )
