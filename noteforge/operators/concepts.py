@@ -123,6 +123,14 @@ def concept_best(matches: DataFrame, key: str) -> DataFrame:
     return matches.withColumn("_rn", F.row_number().over(span)).where(F.col("_rn") == 1).drop("_rn")
 
 
+def concept_longest(best: DataFrame, key: str) -> DataFrame:
+    """Matches that no longer match covers; ``best`` has one match per start position."""
+    before = Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.col("start") + F.col("words") - 1
+    covered = F.coalesce(F.max(last).over(before), F.lit(0)) >= last
+    return best.withColumn("_covered", covered).where(~F.col("_covered")).drop("_covered")
+
+
 def annotate(notes: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     """Attach matches to their notes as a ``concepts`` array; notes without any get an empty one."""
     lists = matches.groupBy(key).agg(

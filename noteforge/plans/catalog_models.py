@@ -16,6 +16,8 @@ from noteforge.operators.metrics import weighted_scores
 from noteforge.plans import jobs
 from noteforge.plans.catalog import query
 from noteforge.plans.inputs import documents
+from noteforge.plans.sqltext import CUES, content_tokens
+from noteforge.plans.sqltext import notes as notes_sql
 from noteforge.runtime import scratch_path
 from noteforge.sources.readers import table
 from noteforge.sources.writers import save_bundle
@@ -76,7 +78,66 @@ def _vector_fit(code: str, **options):
 query("fit_l1")(_text_fit("l1"))
 query("fit_l2")(_text_fit("l2", "tfidf"))
 query("fit_l2_balanced")(_text_fit("l2", "tfidf", balanced=True))
-query("fit_nb")(_text_fit("nb"))
+
+
+def _bayes_sql(train: str, test: str, key: str) -> str:
+    """CTE ``shares``: class shares of multinomial naive Bayes, smoothed counts and priors.
+
+    ``train`` gives lang and toks, ``test`` the key and toks.
+    """
+    return f"""
+tr AS ({train}), te AS ({test}),
+lik AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(toks) AS word FROM tr) GROUP BY lang, word),
+voc AS (SELECT DISTINCT word FROM lik),
+cls AS (
+  SELECT lang, docs, coalesce(words, 0) AS words FROM (SELECT lang, count(*) AS docs FROM tr GROUP BY lang)
+  LEFT JOIN (SELECT lang, sum(n) AS words FROM lik GROUP BY lang) USING (lang)
+),
+tw AS (SELECT {key}, word, count(*) AS tf FROM (SELECT {key}, unnest(toks) AS word FROM te) JOIN voc USING (word) GROUP BY {key}, word),
+ll AS (
+  SELECT tw.{key}, cls.lang, sum(tf * ln((coalesce(lik.n, 0) + 1.0::DOUBLE) / (cls.words + (SELECT count(*) FROM voc)))) AS ll
+  FROM tw CROSS JOIN cls LEFT JOIN lik ON lik.word = tw.word AND lik.lang = cls.lang GROUP BY tw.{key}, cls.lang
+),
+sc AS (
+  SELECT te.{key}, cls.lang, coalesce(ll.ll, 0)
+         + ln((cls.docs + 1.0::DOUBLE) / (SELECT sum(docs) + count(*) FROM cls)) AS s
+  FROM te CROSS JOIN cls LEFT JOIN ll ON ll.{key} = te.{key} AND ll.lang = cls.lang
+),
+shares AS (
+  SELECT {key}, lang, e / sum(e) OVER (PARTITION BY {key}) AS p
+  FROM (SELECT *, exp(s - max(s) OVER (PARTITION BY {key})) AS e FROM sc)
+)"""
+
+
+def _wide(key: str, prefix: str, pred: str) -> str:
+    columns = ", ".join(f"round(max(p) FILTER (lang = '{c}'), 4) AS {prefix}{c}" for c in sorted(CUES))
+    return f"SELECT {key}, arg_max(lang, p) AS {pred}, {columns} FROM shares GROUP BY {key}"
+
+
+HALVES = (
+    "halves AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) <= "
+    "round(0.7 * count(*) OVER (PARTITION BY lang)) AS in_train FROM documents)"
+)
+
+
+@query(
+    "fit_nb",
+    f"WITH {HALVES}, {notes_sql()}, "
+    + _bayes_sql(
+        "SELECT lang, toks FROM notes JOIN halves USING (doc_id) WHERE in_train",
+        "SELECT doc_id, toks FROM notes JOIN halves USING (doc_id) WHERE NOT in_train", "doc_id",
+    )
+    + f", w AS ({_wide('doc_id', 'p_', 'pred')}) SELECT d.lang AS true, w.* FROM w JOIN documents d USING (doc_id)",
+)
+def fit_nb(spark, sf):
+    """Naive Bayes fitted by the library, held against its closed form."""
+    return _rounded(_text_fit("nb")(spark, sf))
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
 query("fit_svmlin")(_text_fit("svmlin", "tfidf"))
 query("fit_svmsgd")(_text_fit("svmsgd", "tfidf"))
 query("fit_svmrbf")(_vector_fit("svmrbf"))
@@ -123,15 +184,22 @@ def _saved_bundle(spark, sf):
     return save_bundle(bundle, scratch_path(spark, "model"), spark)
 
 
-@query("predictions")
+SCORED = (
+    f"WITH {notes_sql()}, "
+    + _bayes_sql("SELECT lang, toks FROM notes", f"SELECT item_id, {content_tokens()} AS toks FROM benchmark", "item_id")
+    + f" {_wide('item_id', '', 'pred_class')}"
+)
+
+
+@query("predictions", SCORED)
 def predictions(spark, sf):
     """A saved model, loaded again, scores the benchmark texts."""
     path = _saved_bundle(spark, sf)
     notes = table(spark, sf, "benchmark", "item_id").select("item_id", F.col("text").alias("bow"))
-    return jobs.score(spark, path, notes, "item_id")
+    return _rounded(jobs.score(spark, path, notes, "item_id"))
 
 
-@query("stream_score")
+@query("stream_score", SCORED)
 def stream_score(spark, sf):
     """The same, with the benchmark file read as a stream."""
     bundle = M.Bundle.load(_saved_bundle(spark, sf), spark)
@@ -139,7 +207,7 @@ def stream_score(spark, sf):
     notes = note_stream(spark, sf, schema, "benchmark.parquet").select("item_id", F.col("text").alias("bow"))
     out = scratch_path(spark, "scored")
     score_stream(notes, bundle, "item_id", out, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out)
+    return _rounded(spark.read.parquet(out))
 
 
 @query("probe")

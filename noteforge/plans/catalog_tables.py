@@ -130,6 +130,31 @@ def kfold(spark, sf):
     return splits.stratified_folds(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "lang", 5, 2)
 
 
+@query(
+    "kfold_nulls",
+    "SELECT doc_id, g, rep, (row_number() OVER (PARTITION BY rep, g ORDER BY md5(doc_id || '|' || rep), doc_id) - 1) % 5 AS fold "
+    "FROM (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN lang END AS g FROM documents), (SELECT unnest([1, 2]::BIGINT[]) AS rep)",
+)
+def kfold_nulls(spark, sf):
+    """Rows without a label are a stratum of their own."""
+    return splits.stratified_folds(_partly_labelled(spark, sf), "doc_id", "g", 5, 2)
+
+
+def _partly_labelled(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("g"))
+
+
+@query(
+    "split_strat_nulls",
+    "SELECT doc_id, g, CAST(row_number() OVER (PARTITION BY g ORDER BY md5(doc_id || '|42'), doc_id) <= "
+    "round(0.7 * count(*) OVER (PARTITION BY g)) AS BIGINT) AS in_train "
+    "FROM (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN lang END AS g FROM documents)",
+)
+def split_strat_nulls(spark, sf):
+    docs = _partly_labelled(spark, sf)
+    return splits.stratified_split(docs, "doc_id", "g").withColumn("in_train", F.col("in_train").cast("bigint"))
+
+
 @query(
     "split_strat",
     "SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) <= "
