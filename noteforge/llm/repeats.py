@@ -142,7 +142,9 @@ class Segments:
         first, last = p[new], p[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(p) - 1]])]
         with np.errstate(over="ignore"):
             name = _blend(_blend(full[first], full[last]), (last - first).astype(np.uint64))
-        return first + a, last + a, grams[spot[first]], name
+            # least hashes are small: mixed once more, they spread over the range of parts
+            anchor = _blend(grams[spot[first]], np.uint64(0))
+        return first + a, last + a, anchor, name
 
     def anchor_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Different anchors, and their different segments (one more if one of these occurs again)."""
