@@ -100,3 +100,14 @@ def test_groups(spark):
     df = spark.createDataFrame([("T047",), ("T046",), ("T999",)], "tui string")
     got = [tuple(r) for r in df.select("tui", C.in_group(F.col("tui")), C.in_type(F.col("tui"))).collect()]
     assert got == [("T047", True, True), ("T046", True, False), ("T999", False, False)]
+
+
+def test_convert_masks_and_annotates_raw_text(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Heart failure since May, mail me@host.org")
+    (tmp_path / "b.txt").write_text("nothing here")
+    senses = [("heart failure", "C1", "T047", "10", "SNOMEDCT"), ("failure", "C2", "T033", "11", "SNOMEDCT")]
+    dictionary = spark.createDataFrame(senses, "phrase string, cui string, tui string, code string, scheme string")
+    got = {r["fname"]: r for r in jobs.convert(spark, str(tmp_path), "txt", deidentify=True, dictionary=dictionary).collect()}
+    assert got["a.txt"]["umls"] == "C1" and got["a.txt"]["snomed"] == "S10"
+    assert "host.org" not in got["a.txt"]["bow"]
+    assert got["b.txt"]["umls"] == "N"
