@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 
 from noteforge import fixed
 from noteforge.functions.arrays import argmax, normalise
+from noteforge.functions.stem import stem_word
 from noteforge.functions.text import WORD_GAP
 from noteforge.operators.splits import stratified_folds
 from noteforge.runtime import stage
@@ -99,6 +100,20 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return df.withColumn(self.getOutputCol(), damp(F.unwrap_udt(self.getInputCol())))
 
 
+class StemTokens(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Every token of an array becomes its stem."""
+
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        if inputCol:
+            self._set(inputCol=inputCol)
+        if outputCol:
+            self._set(outputCol=outputCol)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.getOutputCol(), F.transform(self.getInputCol(), stem_word))
+
+
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol):
     """Scales by ``ln((1 + n) / (1 + df)) + 1``; the fitted stage is built in."""
 
@@ -149,12 +164,15 @@ FEATURISERS: dict[str, Callable[..., list]] = {
 }
 
 
-def featuriser(vec: str, text: str, codes: bool = False, tokens_sql: str | None = None, **options) -> Pipeline:
+def featuriser(vec: str, text: str, codes: bool = False, tokens_sql: str | None = None, stem: bool = False,
+               **options) -> Pipeline:
+    """Tokens and their vectors. ``stem`` stems prose after stop words are gone; codes are never stemmed."""
     if vec not in FEATURISERS:
         raise ValueError(f"unknown vectoriser {vec!r}; one of {sorted(FEATURISERS)}")
     tokens_sql = tokens_sql or (CODE_TOKENS if codes else PROSE_TOKENS)
     stop_words = () if codes else tuple(fixed.STOP_WORDS)
-    return Pipeline(stages=[*token_stages(text, tokens_sql, stop_words), *FEATURISERS[vec](**options)])
+    stems = [StemTokens("tokens", "tokens")] if stem and not codes else []
+    return Pipeline(stages=[*token_stages(text, tokens_sql, stop_words), *stems, *FEATURISERS[vec](**options)])
 
 
 def label_indexer(label: str) -> StringIndexer:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noteforge import fixed
 from noteforge.functions import text as X
+from noteforge.functions.stem import stem_word
 from noteforge.operators import tokens as T
 from noteforge.plans import sqltext as S
 from noteforge.plans.catalog import query
@@ -288,6 +289,22 @@ def stem_counts(spark, sf):
     return T.stem_counts(corpus_words(spark, sf))
 
 
+@query(
+    "token_chain_stemmed",
+    "WITH pt AS (SELECT page_id, list_filter("
+    + S.words_ws(f"lower(regexp_replace(replace({_html_sql()}, chr(13) || chr(10), ' '), '[^a-zA-Z0-9_]', ' ', 'g'))")
+    + f", lambda t: t NOT IN ({S.STOP})) AS toks FROM pages), "
+    "words AS (SELECT page_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM pt), "
+    f"{_stem_sql()}, j AS (SELECT page_id, string_agg(CASE WHEN length(word) < 3 THEN word ELSE stem END, ' ' ORDER BY pos) AS tokens "
+    "FROM words JOIN stems USING (word) GROUP BY page_id) "
+    "SELECT p.page_id, coalesce(j.tokens, '') AS tokens FROM pages p LEFT JOIN j USING (page_id)",
+)
+def token_chain_stemmed(spark, sf):
+    """The chain with every switch on."""
+    chain = X.tokenization(stop_words=fixed.STOP_WORDS, stem=stem_word)
+    return table(spark, sf, "pages", "page_id").select("page_id", F.array_join(chain(F.col("html")), " ").alias("tokens"))
+
+
 @query(
     "stemmed_notes",
     f"WITH {S.notes()}, {S.word_rows()}, {_stem_sql()} "

@@ -135,3 +135,15 @@ def test_top_features_and_history(spark, notes):
     bundle = M.fit_bundle(notes, M.Spec("bow", "l2", "freq"), "fname", "label")
     heart = M.top_features(spark, bundle, 4).where("class = 'heart'")
     assert {r["word"] for r in heart.collect()} == set(WORDS["heart"])
+
+
+def test_stemmed_features_survive_saving(spark, tmp_path):
+    rows = [("a", "running cats run", "x"), ("b", "cat dogs dog", "y"), ("c", "the cats", "x")]
+    notes = spark.createDataFrame(rows, "fname string, bow string, label string")
+    bundle = M.fit_bundle(notes, M.Spec("bow", "nb"), "fname", "label", feature_options={"stem": True})
+    path = str(tmp_path / "model")
+    bundle.save(path, spark)
+    back = M.Bundle.load(path, spark)
+    words = next(s.vocabulary for s in back.features.stages if hasattr(s, "vocabulary"))
+    assert sorted(words) == ["cat", "dog", "run"]
+    assert back.transform(notes).where("fname = 'b'").first()["pred_class"] == "y"
