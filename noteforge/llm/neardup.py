@@ -11,15 +11,21 @@ Texts at ``THRESHOLD`` or more are linked, and classes are the connected texts.
    occurrence-labelled shingles; these, in text order, are a sketch. Texts with an equal
    sketch share a bucket. At similarity 0.8 a sketch agrees with probability of about
    one half, and all 24 differ in fewer than one pair in ten million.
-3. A bucket proposes its members against one of them, its centre, not all pairs. The
-   pairs are verified by alignment: shingle counts bound it first, then equal ends are
-   trimmed, and the rest is aligned within the band that the threshold leaves.
-4. Links are united by alternating large and small stars. Buckets whose members then
-   still lie in several classes propose once more, one member of each class against
-   another centre, until a round finds no link, in at most ``ROUNDS`` rounds.
-
-A large group of copies therefore costs a pair for each text and bucket. A centre's
-words are sent to ``SLOTS`` places at most, and its pairs are spread over these.
+3. A bucket first proposes its members against one of them, its centre: the one that
+   shares most buckets with others, as the original of many copies does. Pairs are
+   verified by alignment: shingle counts bound it first, then equal ends are trimmed, and
+   the rest is aligned within the band that the threshold leaves.
+4. Links are united by alternating large and small stars. While buckets still have many
+   pairs of members in different classes and links are found, they propose against
+   another centre, for up to ``ROUNDS`` rounds.
+5. Then every pair of a bucket's members that lie in different classes and were not
+   compared is compared, in blocks of ``BLOCK`` by ``BLOCK`` members. Only bounds that no
+   similar pair fails are applied before: sizes, and counts of shingles in ``BINS`` bins.
+
+So every pair that shares a sketch is compared or already in one class. A large group of
+copies costs a pair for each text and bucket; members that stay apart cost all their
+pairs. A centre's words are sent to ``SLOTS`` places at most, and its pairs are spread
+over these.
 
 Defined results: null texts and texts without a word are classes of their own. Texts of
 fewer words than a shingle are one shingle, so they are linked to equal ones only. A
@@ -43,6 +49,8 @@ from noteforge.runtime import stage_table
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKS = 24, 3
 SLOTS, ROUNDS = 256, 4
+BLOCK, BINS = 1024, 256
+FEW = 8  # pairs left for each bucket member at which no further centre is tried
 NO_ID = -(1 << 63)
 SKETCH_TYPE = "struct<e1:bigint,e2:bigint,bands:array<bigint>>"
 
@@ -193,6 +201,36 @@ def similar_udf(threshold: float):
     return similar
 
 
+def counts_udf():
+    """Number of shingles, and how many fall into each bin; no bins where a byte can't hold a count."""
+
+    @F.arrow_udf("struct<size:bigint,bins:binary>")
+    def counts(words: pa.Array) -> pa.Array:
+        size, bins = [], []
+        for w in words.to_pylist():
+            h = shingles(word_hashes(w))
+            n = np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+            size.append(len(h))
+            bins.append(n.astype(np.uint8).tobytes() if n.max() < 256 else None)
+        return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(bins, pa.binary())], ["size", "bins"])
+
+    return counts
+
+
+def reachable_udf(threshold: float):
+    """False only where the shingles that two texts can share are too few for the threshold."""
+
+    @F.arrow_udf("boolean")
+    def reachable(left: pa.Array, right: pa.Array, total: pa.Array) -> pa.Array:
+        need = np.ceil(threshold / (1 + threshold) * total.to_numpy(zero_copy_only=False) - 1e-9)
+        out = []
+        for a, b, n in zip(left.to_pylist(), right.to_pylist(), need.tolist()):
+            out.append(a is None or b is None or int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum()) >= n)
+        return pa.array(out, pa.bool_())
+
+    return reachable
+
+
 # --- classes -------------------------------------------------------------------
 
 
@@ -245,8 +283,10 @@ def near_duplicates(
         .agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
     )
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "value")
-    members = stage_table(buckets.join(shared, ["band", "value"]).select("band", "value", "node"), "neardup-buckets")
+    shared = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = buckets.join(shared, ["band", "value"])
+    weights = found.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = stage_table(found.join(weights, "node").select("band", "value", "node", "weight"), "neardup-buckets")
     involved = members.select(F.col("node").alias("id")).distinct()
     as_words = F.arrow_udf("binary")(lambda t: pa.array([word_bytes(x) for x in t.to_pylist()], pa.binary()))
     words = stage_table(
@@ -255,26 +295,23 @@ def near_duplicates(
         rows.join(involved, "id").select(F.col("id").alias("node"), as_words("text").alias("words")),
         "neardup-words",
     )
-    links, tried, root, late = None, None, None, False
-    for turn in range(rounds):
-        placed = members
-        if root is not None:
-            placed = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            placed = placed.groupBy("band", "value", "root").agg(_centre("node", turn))
-        pairs = _proposed(placed, turn)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage_table(pairs, "neardup-pairs")
+    links, tried, root = None, None, None
+    placed = members.withColumn("root", F.col("node"))
+    for _ in range(rounds):
+        pairs = stage_table(_proposed(placed, tried), "neardup-pairs")
         found = stage_table(_verified(pairs, words, threshold), "neardup-links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        late = root is not None
-        if not late:  # later rounds start from the classes of the first one
-            root = connected(links)
-    if late:
         root = connected(links)
+        placed = stage_table(_apart(members, root), "neardup-apart")
+        if _pairs_left(placed) <= FEW * placed.count():
+            break
+    pairs = stage_table(_others(placed, tried, words, threshold), "neardup-pairs")
+    found = stage_table(_verified(pairs, words, threshold), "neardup-links")
+    if not found.isEmpty():
+        root = connected(found if links is None else links.unionByName(found))
     ids = nodes.select("e1", "e2", "node")
     classes = ids.withColumn("root", F.col("node")) if root is None else ids.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     out = sketched.join(classes.select("e1", "e2", "root"), ["e1", "e2"], "left").select("id", F.coalesce("root", "id").alias("c"))
@@ -285,14 +322,56 @@ def _ids_repeat(sketched: DataFrame) -> bool:
     return not sketched.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def _centre(node: str, turn: int) -> Column:
-    """Which member of a group stands for it: the first in the first round, any other later."""
-    return F.min(node).alias("node") if turn == 0 else F.min_by(node, F.xxhash64(F.lit(turn), node)).alias("node")
-
-
-def _proposed(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``(a, b)`` of every bucket's centre with its other members."""
-    centres = placed.groupBy("band", "value").agg(_centre("node", turn), F.count(F.lit(1)).alias("n")).where("n > 1")
-    centres = centres.select("band", "value", F.col("node").alias("a"))
-    met = placed.join(centres, ["band", "value"]).where("node <> a")
-    return met.select("a", F.col("node").alias("b")).distinct()
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Pairs that were not compared yet, in either order."""
+    if tried is None:
+        return pairs
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    seen = tried.select(low.alias("low"), high.alias("high")).distinct()
+    return pairs.withColumns({"low": low, "high": high}).join(seen, ["low", "high"], "left_anti").select("a", "b")
+
+
+def _proposed(placed: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Pairs ``(a, b)`` of every bucket's centre with its members of other classes; earlier centres step back."""
+    may = placed if tried is None else placed.join(tried.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+    first = F.min(F.struct((-F.col("weight")).alias("w"), "node", "root"))
+    centres = may.groupBy("band", "value").agg(first.alias("c"))
+    centres = centres.select("band", "value", F.col("c.node").alias("a"), F.col("c.root").alias("own"))
+    met = placed.join(centres, ["band", "value"]).where("root <> own")
+    return _untried(met.select("a", F.col("node").alias("b")).distinct(), tried)
+
+
+def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several classes, with their classes."""
+    placed = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return placed.join(several.select("band", "value"), ["band", "value"])
+
+
+def _pairs_left(placed: DataFrame) -> float:
+    """Pairs of members of one bucket and different classes."""
+    sizes = placed.groupBy("band", "value", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    left = sizes.groupBy("band", "value").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left"))
+    return left.agg(F.coalesce(F.sum("left"), F.lit(0.0))).first()[0]
+
+
+def _others(placed: DataFrame, tried: DataFrame | None, words: DataFrame, threshold: float) -> DataFrame:
+    """All pairs ``(a, b)`` of members of one bucket and different classes that were not compared and can be similar."""
+    nodes = placed.select("node").distinct()
+    counts = stage_table(words.join(nodes, "node").withColumn("c", counts_udf()("words")).select("node", "c.size", "c.bins"), "neardup-counts")
+    n = placed.groupBy("band", "value").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    blocked = placed.join(counts.select("node", "size"), "node").join(n, ["band", "value"]).withColumn("own", own)
+
+    def side(name: str, own: str, other: str, others: Column) -> DataFrame:
+        fields = [F.col(c).alias(f"{name}_{c}") for c in ("root", "size")]
+        return blocked.select("band", "value", F.col("node").alias(name), *fields, F.col("own").alias(own), F.explode(others).alias(other))
+
+    left = side("a", "i", "j", F.sequence(F.col("own"), F.col("blocks") - 1))
+    right = side("b", "j", "i", F.sequence(F.lit(0).cast("bigint"), F.col("own")))
+    met = left.join(right, ["band", "value", "i", "j"]).where("a_root <> b_root AND (i <> j OR a < b)")
+    met = met.where(F.least("a_size", "b_size") + 1e-6 >= F.lit(threshold) * F.greatest("a_size", "b_size"))
+    pairs = _untried(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tried)
+    ends = [counts.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bins").alias(f"{c}_bins")) for c in "ab"]
+    sized = pairs.join(ends[0], "a").join(ends[1], "b")
+    return sized.where(reachable_udf(threshold)("a_bins", "b_bins", F.col("a_size") + F.col("b_size"))).select("a", "b")

@@ -76,6 +76,39 @@ def test_classes_of_a_table_and_a_large_group(spark, sf):
     assert {want[10_000 + i] for i in range(60)} == {10_000}
 
 
+def star(rng, n, size=400, changed=8):
+    """Copies that are near one original, which has the largest id, and not near each other."""
+    base = words(rng, size)
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(5, size - 5), changed):
+            own[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(own)))
+    return [*rows, (n, " ".join(base))]
+
+
+def test_star_shaped_groups(spark):
+    small, large = star(random.Random(2), 100), star(random.Random(4), 1000)
+    rows = small + [(10_000 + i, t) for i, t in large]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(spark, rows)).collect()}
+    assert {i: got[i] for i, _ in small} == classes(small)
+    hub = of(large[-1][1])  # copies with few links of their own: the hub's links make the class
+    linked = [i for i, t in large if similarity(hub, of(t))]
+    assert len(linked) > 900 and {got[10_000 + i] for i in linked} == {10_000 + min(linked)}
+
+
+def test_buckets_without_a_good_centre(spark):
+    """Pairs that share buckets with many unlike texts, each linked to its partner only."""
+    rng = random.Random(6)
+    common, rows = words(rng, 150), []
+    for i in range(60):
+        own = common + words(rng, 60)
+        rows += [(i, " ".join(own)), (100 + i, " ".join(own[:-1] + ["end"]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(spark, rows), rounds=1).collect()}
+    assert got == classes(rows)
+
+
 def test_labels_tell_repeats_apart():
     h = labelled(np.array([5, 7, 5, 5, 7], np.uint64))
     assert len(set(h.tolist())) == 5 and h[0] == 5 and h[1] == 7
