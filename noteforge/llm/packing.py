@@ -8,8 +8,9 @@ each task tokenises its documents in that order and cuts the stream of ids every
 last sequence of a task is padded (not at all, when its length is a power of two).
 
 The key breaks ties by document id and text hash, so copies, which share a key, spread
-over tasks when there are many. Ids are those of the ``tokenizers`` library;
-they are made here by the same merges in their rank form, which is several times faster.
+over tasks when there are many. Ids are those of the ``tokenizers`` library as it loads
+the vocabulary, so added tokens (``ADDED``) in a text are one id each; they are made here
+by the same merges in their rank form, which is several times faster.
 
 Defined results: a null or empty text is its end id alone, placed first on the
 curve. Rows that repeat a document id are packed each on their own. An empty table
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from noteforge.llm.common import map_arrow
 
 LENGTH, END_ID = 2048, 1
+ADDED = {"<|endoftext|>": 50256}  # the vocabulary file's added tokens
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
 PIECE_TYPE = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -57,11 +59,17 @@ class Tokens:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
     def ids(self, text: str) -> bytes:
+        """Added tokens are encoded like any text."""
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
+    def ids_with_added(self, text: str) -> bytes:
+        if not any(t in text for t in ADDED):
+            return self.ids(text)
+        return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+
 
 _TOKENS: dict[str, Tokens] = {}
 
@@ -179,7 +187,7 @@ def pack(
         packer, tokens = Packer(TaskContext.get().partitionId() << 32, length), tokens_of(path)
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(i, tokens.ids(t or "") + end)
+                packer.add(i, tokens.ids_with_added(t or "") + end)
             yield packer.taken()
 
     return map_arrow(curve_order(docs, doc_id, text).select("doc_id", "text"), run, PIECE_TYPE)

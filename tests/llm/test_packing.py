@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from noteforge.llm.packing import hilbert_key, pack, tokenizer_path, tokens_of
+from noteforge.llm.packing import ADDED, hilbert_key, pack, tokenizer_path, tokens_of
 from tests.llm.fixtures import DOCS, awkward, documents
 
 
@@ -46,6 +46,16 @@ def test_pieces_cover_documents_and_fill_sequences(spark):
     assert len(short) <= 4  # at most one for each task
 
 
+def test_added_tokens_in_texts_are_one_id(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {a.content: i for i, a in t.get_added_tokens_decoder().items()} == ADDED
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>\n <|endoftext|><|endoftext|> é", "<|endoftext|", "<<|endoftext|>>"]
+    want = [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+    got = {r["doc_id"]: r for r in pack(documents(spark, list(enumerate(texts)))).collect()}
+    for i, ids in enumerate(want):
+        assert got[i]["doc_tokens"] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_hilbert_neighbours_touch():
     cells = {}
     for x in range(8):
