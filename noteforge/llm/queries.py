@@ -83,8 +83,16 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op13_cover_tree_codes(spark: SparkSession, sf: str) -> DataFrame:
+    from noteforge.llm.codes import books_digest, vector_codes, with_label_errors
+
+    coded, books = vector_codes(read_table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+    out = with_label_errors(coded).withColumn("codebooks_sha256", F.lit(books_digest(books)))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_suffix_repeats, op2_curve_packing, op3_line_chunks, op4_language_id, op5_order_minhash, op6_benchmark_leaks, op7_deleted_interpolation, op8_top_k, op9_url_filter, op10_warc)
+    f.__name__: f for f in (op1_suffix_repeats, op2_curve_packing, op3_line_chunks, op4_language_id, op5_order_minhash, op6_benchmark_leaks, op7_deleted_interpolation, op8_top_k, op9_url_filter, op10_warc, op13_cover_tree_codes)
 }
 SQL: dict[str, str] = {
     "op3_line_chunks": sql.LINES,
@@ -92,4 +100,5 @@ SQL: dict[str, str] = {
     "op8_top_k": sql.TOP_K,
     "op9_url_filter": sql.URLS,
     "op10_warc": sql.WARC,
+    "op13_cover_tree_codes": sql.CODES,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noteforge.llm import leaks, lines, topk, urls
+from noteforge.llm import codes, leaks, lines, topk, urls
 
 ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -125,3 +125,44 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM m
 """
+
+
+def codes_sql(width: int = 4) -> str:
+    """Product codes of vectors of ``codes.PARTS * width`` components."""
+
+    def nearest(book: str) -> str:
+        square = " + ".join(f"(pts.x[{j}] - {book}.x[{j}]) * (pts.x[{j}] - {book}.x[{j}])" for j in range(1, width + 1))
+        return f"SELECT pts.vec_id, pts.p, any_value(pts.x) AS x, min(({square}) * 256 + e) AS m FROM pts JOIN {book} USING (p) GROUP BY pts.vec_id, pts.p"
+
+    def moved(book: str, found: str) -> str:
+        means = ", ".join(f"CAST(floor(sum(x[{j}]) / count(*)) AS BIGINT)" for j in range(1, width + 1))
+        return f"""SELECT {book}.p, {book}.e, coalesce(n.x, {book}.x) AS x FROM {book}
+  LEFT JOIN (SELECT p, m % 256 AS e, [{means}] AS x FROM {found} GROUP BY p, m % 256) n ON n.p = {book}.p AND n.e = {book}.e"""
+
+    rounds = ",\n".join(
+        f"a{i} AS ({nearest(f'c{i}')}),\nc{i + 1} AS ({moved(f'c{i}', f'a{i}')})"
+        for i in range(codes.ROUNDS)
+    )
+    last = f"c{codes.ROUNDS}"
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pts AS (SELECT vec_id, p, v[p * {width} + 1 : p * {width} + {width}] AS x FROM kept, range({codes.PARTS}) t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {codes.ENTRIES}),
+c0 AS (SELECT p, e, x FROM pts JOIN firsts USING (vec_id)),
+{rounds},
+done AS ({nearest(last)}),
+coded AS (
+  SELECT vec_id, string_agg(lower(lpad(to_hex(m % 256), 2, '0')), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error
+  FROM done GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM {last}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+CODES = codes_sql()
