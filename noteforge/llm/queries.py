@@ -83,6 +83,23 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from noteforge.llm.toxicity import train, with_toxicity
+
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    held_out = bucket_of("doc_id", 4) == 2
+    model = train(docs.where(~held_out), spark.read.parquet(f"{sf}/labels.parquet"))
+    return with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op12_target_resample(spark: SparkSession, sf: str) -> DataFrame:
+    from noteforge.llm.resample import resample
+
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    drawn = resample(docs, spark.read.parquet(f"{sf}/benchmark.parquet").select("text"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
 def op13_cover_tree_codes(spark: SparkSession, sf: str) -> DataFrame:
     from noteforge.llm.codes import books_digest, vector_codes, with_label_errors
 
@@ -92,7 +109,7 @@ def op13_cover_tree_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_suffix_repeats, op2_curve_packing, op3_line_chunks, op4_language_id, op5_order_minhash, op6_benchmark_leaks, op7_deleted_interpolation, op8_top_k, op9_url_filter, op10_warc, op13_cover_tree_codes)
+    f.__name__: f for f in (op1_suffix_repeats, op2_curve_packing, op3_line_chunks, op4_language_id, op5_order_minhash, op6_benchmark_leaks, op7_deleted_interpolation, op8_top_k, op9_url_filter, op10_warc, op11_toxicity, op12_target_resample, op13_cover_tree_codes)
 }
 SQL: dict[str, str] = {
     "op3_line_chunks": sql.LINES,
@@ -100,5 +117,6 @@ SQL: dict[str, str] = {
     "op8_top_k": sql.TOP_K,
     "op9_url_filter": sql.URLS,
     "op10_warc": sql.WARC,
+    "op12_target_resample": sql.RESAMPLE,
     "op13_cover_tree_codes": sql.CODES,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noteforge.llm import codes, leaks, lines, topk, urls
+from noteforge.llm import codes, leaks, lines, resample, topk, urls
 
 ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -166,3 +166,42 @@ FROM coded JOIN kept USING (vec_id)
 
 
 CODES = codes_sql()
+
+_B, _ONES = resample.BUCKETS, (1 << 32) - 1
+
+RESAMPLE = f"""
+WITH tab AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))
+),
+dw AS (SELECT doc_id, unnest({_words('text')}) AS w FROM documents),
+bw AS (SELECT unnest({_words('text')}) AS w FROM benchmark),
+seen AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+bucket AS (
+  SELECT w, xor(list_reduce(list_prepend({_ONES}, list_transform(range(length(x) // 2),
+           lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), {_ONES}) % {_B} AS k
+  FROM (SELECT w, hex(encode(w)) AS x FROM seen), tab
+),
+gain AS (
+  SELECT k, CAST(floor(1000 * ln(
+    CAST(coalesce(bn.n, 0) + 1 AS DOUBLE) * (sum(coalesce(dn.n, 0)) OVER () + {_B})
+    / (CAST(coalesce(dn.n, 0) + 1 AS DOUBLE) * (sum(coalesce(bn.n, 0)) OVER () + {_B})))) AS BIGINT) AS g
+  FROM (SELECT k, count(*) AS n FROM dw JOIN bucket USING (w) GROUP BY k) dn
+  FULL JOIN (SELECT k, count(*) AS n FROM bw JOIN bucket USING (w) GROUP BY k) bn USING (k)
+),
+weighed AS (
+  SELECT doc_id, count(k) AS n_features, coalesce(CAST(floor(CAST(sum(g) AS DOUBLE) / count(k)) AS BIGINT), 0) AS weight
+  FROM documents LEFT JOIN dw USING (doc_id) LEFT JOIN bucket USING (w) LEFT JOIN gain USING (k) GROUP BY doc_id
+),
+scored AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5)
+         / 4294967296))) AS BIGINT) AS score
+  FROM weighed
+),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n
+           FROM scored WHERE n_features >= {resample.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= {resample.PERCENT} * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
