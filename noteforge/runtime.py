@@ -60,3 +60,33 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Workspace:
+    """The tables of one job in the shared folder, each removed as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, scratch_path(spark, name), 0
+        self.paths: dict[str, str] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as table ``name``, in place of an older one, which ``df`` may read."""
+        old, self.count = self.paths.get(name), self.count + 1
+        path = self.paths[name] = os.path.join(self.root, f"{name}-{self.count}")
+        df.write.parquet(path)
+        if old:
+            self._delete(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                self._delete(path)
+
+    def keep_only(self, *names: str) -> None:
+        self.remove(*[n for n in self.paths if n not in names])
+
+    def _delete(self, path: str) -> None:
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
