@@ -1,56 +1,60 @@
 """Near-duplicate classes by order min-hash and banded alignment.
 
-A text is its sequence of shingles of ``SHINGLE`` words (words as in
-:mod:`noteforge.llm.leaks`). The similarity of two texts is their best alignment:
-M / (n1 + n2 - M) for M shingles matched in the same order, which is the Jaccard
-similarity of shingles with repeats where order agrees, and less where it does not.
+Words are those of :mod:`noteforge.llm.leaks`. The similarity of two texts is 1 - d / n for an
+edit distance of d words (insertions, deletions, replacements) and n words in the longer text.
 Texts at ``THRESHOLD`` or more are linked, and classes are the connected texts.
 
 1. Texts with the same words are one text from here on (grouped by 128 bits of hash).
-2. Order min-hash: each of ``SKETCHES`` hash functions picks the ``PICKS`` smallest
-   occurrence-labelled shingles; these, in text order, are a sketch. Texts with an equal
-   sketch share a bucket. At similarity 0.8 a sketch agrees with probability of about
-   one half, and all 24 differ in fewer than one pair in ten million.
-3. A bucket first proposes its members against one of them, its centre: the one that
-   shares most buckets with others, as the original of many copies does. Pairs are
-   verified by alignment: shingle counts bound it first, then equal ends are trimmed, and
-   the rest is aligned within the band that the threshold leaves.
-4. Links are united by alternating large and small stars. While buckets still have many
-   pairs of members in different classes and links are found, they propose against
-   another centre, for up to ``ROUNDS`` rounds.
-5. Then every pair of a bucket's members that lie in different classes and were not
-   compared is compared, in blocks of ``BLOCK`` by ``BLOCK`` members. Only bounds that no
-   similar pair fails are applied before: sizes, and counts of shingles in ``BINS`` bins.
-
-So every pair that shares a sketch is compared or already in one class. A large group of
-copies costs a pair for each text and bucket; members that stay apart cost all their
-pairs. A centre's words are sent to ``SLOTS`` places at most, and its pairs are spread
-over these.
-
-Defined results: null texts and texts without a word are classes of their own. Texts of
-fewer words than a shingle are one shingle, so they are linked to equal ones only. A
-class is named by its smallest document id, nulls first; rows that share an id count as
-one document, compared by the least of its texts where they differ. An empty table gives an empty table. Other columns are ignored.
+2. Order min-hash: each of ``SKETCHES`` hash functions picks the ``PICKS`` smallest of a text's
+   occurrence-labelled shingles (runs of ``SHINGLE`` words); these, in text order, are a sketch.
+   Texts with an equal sketch share a bucket. Where a tenth of the words differ, two texts
+   share about two shingles in five, and one sketch in thirteen agrees: with 40, all of them
+   differ in one pair of twenty; where a twentieth differs, in one of a hundred thousand.
+3. Each bucket proposes its members against its centre: the member that shares most buckets
+   with others, as the original of many copies does. Links that stand up to alignment are
+   united by alternating large and small stars; a group of copies is one class from here on,
+   at the cost of one pair for each text and centre.
+4. Then, in buckets that hold members of different classes, all such pairs are compared. Members
+   are cut into classes of size (no link crosses more than one border) and into blocks of
+   ``BLOCK``; a task holds the word pairs of two blocks as hashed counts, and a matrix product
+   bounds what two members can share: d edits leave n - 1 - 2 d word pairs alike. Only pairs
+   that pass leave the task, and are aligned if they were not before.
+
+So every pair that shares a sketch is compared or already in one class, and no bucket's pairs
+are written out. A centre's words are sent to ``SLOTS`` places at most, and its pairs are spread
+over these. Tables of a step are deleted once the next one stands.
+
+Alignment: bags of words bound the distance first, then equal ends are trimmed, and the rest is
+aligned in bit vectors of a band around the diagonal, which is widened until the distance fits.
+
+Defined results: null texts and texts without a word are classes of their own. Texts of fewer
+words than a shingle are linked to equal ones only. A class is named by its smallest document
+id, nulls first; rows that share an id count as one document, compared by the least of its texts
+where they differ. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteforge.llm.common import map_arrow
 from noteforge.llm.leaks import WORD_BYTES
-from noteforge.runtime import stage_table
+from noteforge.runtime import Workspace
 
 SHINGLE, THRESHOLD = 5, 0.8
-SKETCHES, PICKS = 24, 3
-SLOTS, ROUNDS = 256, 4
-BLOCK, BINS = 1024, 256
-FEW = 8  # pairs left for each bucket member at which no further centre is tried
+SKETCHES, PICKS = 40, 3
+SLOTS = 256
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+NARROW, WIDER = 32, 4  # the first band, and how much wider the next one is
+MANY = 64  # places of a word from which on they are one number
+LONG = 8192  # word pairs beyond which a text isn't bounded by them
 NO_ID = -(1 << 63)
 SKETCH_TYPE = "struct<e1:bigint,e2:bigint,bands:array<bigint>>"
 
@@ -143,48 +147,110 @@ def sketch_udf():
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Shingles that both have, with repeats."""
+    """Words that both have, with repeats."""
     x, n = np.unique(a, return_counts=True)
     y, m = np.unique(b, return_counts=True)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     return int(np.minimum(n[i], m[j]).sum())
 
 
-def _aligned(a: list[int], b: list[int], band: int) -> int:
-    """Longest common subsequence within ``band`` of the diagonal, a row of bits at a time."""
-    places: dict[int, list[int]] = defaultdict(list)
-    for i, x in enumerate(a):
-        places[x].append(i)
-    full = (1 << len(a)) - 1
-    row = full
-    for j, y in enumerate(b):
-        match = 0
-        for i in places.get(y, ()):
-            if -band <= i - j <= band:
-                match |= 1 << i
-        if match:
-            both = row & match
-            row = ((row + both) | (row - both)) & full
-    return len(a) - row.bit_count()
+def _places(rows: list[int]) -> dict[int, list[int] | int]:
+    """Places of each word: a list, or a number with a bit for each where there are many."""
+    out: dict[int, list[int] | int] = {}
+    for i, x in enumerate(rows):
+        out.setdefault(x, []).append(i)  # type: ignore[union-attr]
+    for x, places in out.items():
+        if len(places) > MANY:
+            bits = bytearray(len(rows) // 8 + 1)
+            for i in places:
+                bits[i >> 3] |= 1 << (i & 7)
+            out[x] = int.from_bytes(bits, "little")
+    return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Aligned similarity of two shingle sequences; 0 where it is below the threshold."""
-    total = len(a) + len(b)
-    if not len(a) or not len(b):
-        return 0.0
-    need = int(np.ceil(threshold / (1 + threshold) * total - 1e-9))  # matches at the threshold
-    if min(len(a), len(b)) < need or _shared(a, b) < need:
-        return 0.0
+def _banded(a: list[int], b: list[int], places: dict[int, list[int] | int], band: int) -> int:
+    """Edit distance of ``a`` and ``b`` if it is ``band`` or less, else ``band + 1``.
+
+    Bit ``i`` of a step's vectors stands for the row ``band`` above the diagonal plus ``i``; the
+    window moves down a row with each step. ``up`` and ``down`` are the places where the distance
+    rises or falls from row to row. The distance is followed along the lower edge of the band,
+    and then along the last row.
+    """
+    m, n = len(a), len(b)
+    if abs(m - n) > band:
+        return band + 1
+    width = 2 * band + 1
+    full, low = (1 << width) - 1, 1 << (width - 1)
+    up, down, distance = ((1 << (band + 1)) - 1) << band, 0, min(band, m)
+    if m <= band:  # the last row is in the window from the start
+        up &= (1 << (band + m)) - 1
+    for j in range(1, n + 1):
+        top = j - band - 1  # the word in the window's first row
+        found = places.get(b[j - 1])
+        if found is None:
+            same = 0
+        elif isinstance(found, int):
+            same = (found >> top if top >= 0 else found << -top) & full
+        else:
+            same = 0
+            for i in range(bisect_left(found, top), len(found)):
+                if found[i] >= top + width:
+                    break
+                same |= 1 << (found[i] - top)
+        zero = (((same & up) + up) ^ up) | same | down
+        right_up = down | (full & ~(zero | up))
+        right_down = zero & up
+        if j + band <= m:
+            distance += not zero & low
+        else:
+            last = 1 << (m - 1 - top)
+            if right_up & last:
+                distance += 1
+            elif right_down & last:
+                distance -= 1
+        if distance - max(0, min(n - j, n - m + band)) > band:
+            return band + 1
+        zero >>= 1
+        up = right_down | (full & ~(zero | right_up))
+        down = zero & right_up
+    return min(distance, band + 1)
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Words to insert, delete or replace; ``most + 1`` if these are more than ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
     n = min(len(a), len(b))
     unlike = np.flatnonzero(a[:n] != b[:n])
     head = int(unlike[0]) if len(unlike) else n
     unlike = np.flatnonzero(a[len(a) - n + head :][::-1] != b[len(b) - n + head :][::-1])
     tail = int(unlike[0]) if len(unlike) else n - head
     x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
-    matched = head + tail + (_aligned(x, y, total - 2 * need) if x and y else 0)
-    value = matched / (total - matched)
-    return value if matched >= need else 0.0
+    if not x or not y:
+        return min(max(len(x), len(y)), most + 1)
+    places, band = _places(x), min(NARROW, most)
+    while True:
+        found = _banded(x, y, places, band)
+        if found <= band or band >= most:
+            return min(found, most + 1)
+        band = min(band * WIDER, most)
+
+
+def edits_allowed(n: int, threshold: float) -> int:
+    """The largest distance at which two texts, the longer of ``n`` words, are linked."""
+    return int(np.floor((1 - threshold) * n + 1e-9))
+
+
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
+    """Edit similarity of two word sequences; 0 where it is below the threshold."""
+    n = max(len(a), len(b))
+    if not min(len(a), len(b)):
+        return 0.0
+    most = edits_allowed(n, threshold)
+    if n - min(len(a), len(b)) > most or n - _shared(a, b) > most:
+        return 0.0
+    found = edit_distance(a, b, most)
+    return 1 - found / n if found <= most else 0.0
 
 
 def similar_udf(threshold: float):
@@ -194,57 +260,66 @@ def similar_udf(threshold: float):
         out = []
         for a, b in zip(left.to_pylist(), right.to_pylist()):
             if a not in seen:  # a centre's pairs stand together
-                seen = {a: shingles(word_hashes(a))}
-            out.append(similarity(seen[a], shingles(word_hashes(b)), threshold))
+                seen = {a: word_hashes(a)}
+            out.append(similarity(seen[a], word_hashes(b), threshold))
         return pa.array(out, pa.float64())
 
     return similar
 
 
-def counts_udf():
-    """Number of shingles, and how many fall into each bin; no bins where a byte can't hold a count."""
+def pairs_udf():
+    """Number of words, and 16 bits of each word pair; none of very long texts."""
 
-    @F.arrow_udf("struct<size:bigint,bins:binary>")
-    def counts(words: pa.Array) -> pa.Array:
-        size, bins = [], []
+    @F.arrow_udf("struct<size:bigint,grams:binary>")
+    def pairs(words: pa.Array) -> pa.Array:
+        size, grams = [], []
         for w in words.to_pylist():
-            h = shingles(word_hashes(w))
-            n = np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+            h = word_hashes(w)
             size.append(len(h))
-            bins.append(n.astype(np.uint8).tobytes() if n.max() < 256 else None)
-        return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(bins, pa.binary())], ["size", "bins"])
+            grams.append((shingles(h, 2) >> np.uint64(48)).astype(np.uint16).tobytes() if 2 <= len(h) <= LONG else None)
+        return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(grams, pa.binary())], ["size", "grams"])
 
-    return counts
+    return pairs
 
 
-def reachable_udf(threshold: float):
-    """False only where the shingles that two texts can share are too few for the threshold."""
+def _counts(grams: list[bytes | None], slots: int) -> np.ndarray:
+    out = np.zeros((len(grams), slots), np.float32)
+    for i, g in enumerate(grams):
+        if g is not None:
+            out[i] = np.bincount(np.frombuffer(g, np.uint16) % slots, minlength=slots)
+    return out
 
-    @F.arrow_udf("boolean")
-    def reachable(left: pa.Array, right: pa.Array, total: pa.Array) -> pa.Array:
-        need = np.ceil(threshold / (1 + threshold) * total.to_numpy(zero_copy_only=False) - 1e-9)
-        out = []
-        for a, b, n in zip(left.to_pylist(), right.to_pylist(), need.tolist()):
-            out.append(a is None or b is None or int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum()) >= n)
-        return pa.array(out, pa.bool_())
 
-    return reachable
+def reachable(size: np.ndarray, grams: list[bytes | None], threshold: float) -> np.ndarray:
+    """Which members of a block can be similar, as a matrix: false only where sizes or shared word pairs forbid it."""
+    n = np.maximum(size[:, None], size[None, :])
+    allowed = np.floor((1 - threshold) * n + 1e-9)
+    fit = n - np.minimum(size[:, None], size[None, :]) <= allowed
+    known = np.array([g is not None for g in grams])
+    most = max((len(g) // 2 for g in grams if g is not None), default=0)
+    slots = 1024
+    while slots < 8 * most and slots < 16384:
+        slots *= 2
+    counts = _counts(grams, slots)
+    shared = counts @ counts.T  # at least as many as the word pairs that both have
+    return fit & ((shared >= n - 1 - 2 * allowed - 1e-3) | ~known[:, None] | ~known[None, :])
 
 
 # --- classes -------------------------------------------------------------------
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
     """``(node, root)`` of the nodes of ``(a, b)`` edges: the smallest node each is connected to.
 
     Alternating stars: hang every larger neighbour on the smallest one, then every
     node and its smaller neighbours, until nothing moves.
     """
+    work = work or Workspace(edges.sparkSession, "connected")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    links = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = work.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     seen = mark(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -255,7 +330,7 @@ def connected(edges: DataFrame) -> DataFrame:
             large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
             .select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
         )
-        links = stage_table(small, "links")
+        links = work.put(small, "stars")
         now = mark(links)
         if now == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -271,107 +346,119 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return met.withColumn("s", similar_udf(threshold)("left", "right")).where(F.col("s") > 0).select("a", "b")
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, rounds: int = ROUNDS
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, class_id)``: one row per row of ``docs``."""
+    work = Workspace(docs.sparkSession, "neardup")
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
     rows = docs.select(key.alias("id"), F.col(text).alias("text"))
-    sketched = stage_table(rows.withColumn("s", sketch_udf()("text")).select("id", "s.e1", "s.e2", "s.bands"), "neardup-sketches")
+    sketched = work.put(rows.withColumn("s", sketch_udf()("text")).select("id", "s.e1", "s.e2", "s.bands"), "sketches")
     nodes = (
         sketched.where("bands IS NOT NULL").groupBy("e1", "e2")
         .agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
     )
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = buckets.join(shared, ["band", "value"])
-    weights = found.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = stage_table(found.join(weights, "node").select("band", "value", "node", "weight"), "neardup-buckets")
+    buckets = nodes.select("node", F.explode("bands").alias("value"))  # a value tells its band
+    shared = buckets.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = work.put(buckets.join(shared, "value").select("value", "node", "n"), "members")
+    ids = work.put(nodes.select("e1", "e2", "node"), "ids")
     involved = members.select(F.col("node").alias("id")).distinct()
     as_words = F.arrow_udf("binary")(lambda t: pa.array([word_bytes(x) for x in t.to_pylist()], pa.binary()))
-    words = stage_table(
-        rows.join(involved, "id").select(F.col("id").alias("node"), as_words("text").alias("words"))
-        .groupBy("node").agg(F.min("words").alias("words")) if _ids_repeat(sketched) else
-        rows.join(involved, "id").select(F.col("id").alias("node"), as_words("text").alias("words")),
-        "neardup-words",
-    )
-    links, tried, root = None, None, None
-    placed = members.withColumn("root", F.col("node"))
-    for _ in range(rounds):
-        pairs = stage_table(_proposed(placed, tried), "neardup-pairs")
-        found = stage_table(_verified(pairs, words, threshold), "neardup-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        root = connected(links)
-        placed = stage_table(_apart(members, root), "neardup-apart")
-        if _pairs_left(placed) <= FEW * placed.count():
-            break
-    pairs = stage_table(_others(placed, tried, words, threshold), "neardup-pairs")
-    found = stage_table(_verified(pairs, words, threshold), "neardup-links")
-    if not found.isEmpty():
-        root = connected(found if links is None else links.unionByName(found))
-    ids = nodes.select("e1", "e2", "node")
-    classes = ids.withColumn("root", F.col("node")) if root is None else ids.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    out = sketched.join(classes.select("e1", "e2", "root"), ["e1", "e2"], "left").select("id", F.coalesce("root", "id").alias("c"))
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("c", F.lit(NO_ID)).alias("class_id"))
+    found = rows.join(involved, "id").select(F.col("id").alias("node"), as_words("text").alias("words"))
+    words = work.put(found.groupBy("node").agg(F.min("words").alias("words")) if _ids_repeat(sketched) else found, "words")
+    tried = work.put(_proposed(members), "tried")
+    links = work.put(_verified(tried, words, threshold), "links")
+    root = work.put(connected(links, work), "roots")
+    apart = work.put(_apart(members, root), "apart")
+    if not apart.isEmpty():
+        pairs = work.put(_untried(_within(apart, words, threshold, work), tried), "pairs")
+        more = work.put(_verified(pairs, words, threshold), "more")
+        if not more.isEmpty():
+            root = work.put(connected(links.unionByName(more), work), "roots")
+    classes = ids.join(root, "node", "left").select("e1", "e2", F.coalesce("root", "node").alias("root"))
+    out = sketched.join(classes, ["e1", "e2"], "left").select("id", F.coalesce("root", "id").alias("c"))
+    done = work.put(out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("c", F.lit(NO_ID)).alias("class_id")), "classes")
+    work.keep_only("classes")
+    return done
 
 
 def _ids_repeat(sketched: DataFrame) -> bool:
     return not sketched.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs that were not compared yet, in either order."""
-    if tried is None:
-        return pairs
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    seen = tried.select(low.alias("low"), high.alias("high")).distinct()
-    return pairs.withColumns({"low": low, "high": high}).join(seen, ["low", "high"], "left_anti").select("a", "b")
+    seen = tried.select(low.alias("a"), high.alias("b"))
+    return pairs.select(low.alias("a"), high.alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
 
 
-def _proposed(placed: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Pairs ``(a, b)`` of every bucket's centre with its members of other classes; earlier centres step back."""
-    may = placed if tried is None else placed.join(tried.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-    first = F.min(F.struct((-F.col("weight")).alias("w"), "node", "root"))
-    centres = may.groupBy("band", "value").agg(first.alias("c"))
-    centres = centres.select("band", "value", F.col("c.node").alias("a"), F.col("c.root").alias("own"))
-    met = placed.join(centres, ["band", "value"]).where("root <> own")
-    return _untried(met.select("a", F.col("node").alias("b")).distinct(), tried)
+def _proposed(members: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of every bucket's centre with its other members."""
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    first = F.min(F.struct((-F.col("weight")).alias("w"), "node"))
+    centres = members.select("value", "node").join(weights, "node").groupBy("value").agg(first.alias("c"))
+    met = members.join(centres.select("value", F.col("c.node").alias("a")), "value").where("a <> node")
+    return met.select("a", F.col("node").alias("b")).distinct()
 
 
 def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold several classes, with their classes."""
-    placed = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = placed.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return placed.join(several.select("band", "value"), ["band", "value"])
-
-
-def _pairs_left(placed: DataFrame) -> float:
-    """Pairs of members of one bucket and different classes."""
-    sizes = placed.groupBy("band", "value", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    left = sizes.groupBy("band", "value").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left"))
-    return left.agg(F.coalesce(F.sum("left"), F.lit(0.0))).first()[0]
-
-
-def _others(placed: DataFrame, tried: DataFrame | None, words: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``(a, b)`` of members of one bucket and different classes that were not compared and can be similar."""
-    nodes = placed.select("node").distinct()
-    counts = stage_table(words.join(nodes, "node").withColumn("c", counts_udf()("words")).select("node", "c.size", "c.bins"), "neardup-counts")
-    n = placed.groupBy("band", "value").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    blocked = placed.join(counts.select("node", "size"), "node").join(n, ["band", "value"]).withColumn("own", own)
-
-    def side(name: str, own: str, other: str, others: Column) -> DataFrame:
-        fields = [F.col(c).alias(f"{name}_{c}") for c in ("root", "size")]
-        return blocked.select("band", "value", F.col("node").alias(name), *fields, F.col("own").alias(own), F.explode(others).alias(other))
-
-    left = side("a", "i", "j", F.sequence(F.col("own"), F.col("blocks") - 1))
-    right = side("b", "j", "i", F.sequence(F.lit(0).cast("bigint"), F.col("own")))
-    met = left.join(right, ["band", "value", "i", "j"]).where("a_root <> b_root AND (i <> j OR a < b)")
-    met = met.where(F.least("a_size", "b_size") + 1e-6 >= F.lit(threshold) * F.greatest("a_size", "b_size"))
-    pairs = _untried(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tried)
-    ends = [counts.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bins").alias(f"{c}_bins")) for c in "ab"]
-    sized = pairs.join(ends[0], "a").join(ends[1], "b")
-    return sized.where(reachable_udf(threshold)("a_bins", "b_bins", F.col("a_size") + F.col("b_size"))).select("a", "b")
+    """Members of the buckets that hold several classes, with their classes."""
+    placed = members.select("value", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return placed.join(several.select("value"), "value")
+
+
+def _within(apart: DataFrame, words: DataFrame, threshold: float, work: Workspace) -> DataFrame:
+    """Pairs ``(a, b)`` of members of one bucket and different classes that can be similar."""
+    nodes = apart.select("node").distinct()
+    grams = work.put(words.join(nodes, "node").withColumn("c", pairs_udf()("words")).select("node", "c.size", "c.grams"), "grams")
+    # a link joins neighbouring classes of size at most: members are guests in the next one
+    border = float(np.log(1 / threshold) * (1 + 1e-9)) if threshold < 1 else 1.0
+    classed = apart.join(grams.select("node", "size"), "node").withColumn("k", F.floor(F.log("size") / F.lit(border)))
+    homes = F.array(F.struct("k", F.lit(False).alias("guest")), F.struct((F.col("k") + 1).alias("k"), F.lit(True).alias("guest")))
+    placed = classed.select("value", "node", "root", "size", F.explode(homes).alias("h")).select("value", "node", "root", "size", "h.k", "h.guest")
+    need = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum(F.least("size", F.lit(LONG)) * 2) / F.lit(BLOCK_BYTES))
+    # a group whose members are all guests or of one class has nothing to compare
+    groups = placed.groupBy("value", "k").agg(
+        F.ceil(need).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("guest").alias("guests")
+    ).where("low <> high AND NOT guests")
+    met = placed.join(groups.select("value", "k", "blocks"), ["value", "k"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # two blocks meet in one group, and a block's own pairs are compared where it meets the next one
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
+    dealt = met.withColumn("other", F.explode(others)).select(
+        "value", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "guest", "own",
+        (F.col("other") == (F.col("own") + 1) % F.col("blocks")).alias("inside"),
+    )
+    keys = ["value", "k", "i", "j"]
+    blocks = dealt.join(grams, "node").repartition(*keys).sortWithinPartitions(*keys)
+    return map_arrow(blocks.select(*keys, "node", "root", "guest", "own", "inside", "size", "grams"), _compare(threshold), "a bigint, b bigint")
+
+
+def _compare(threshold: float):
+    def pairs_of(group: list[tuple]) -> tuple[list[int], list[int]]:
+        node, root, own, size = (np.array([r[i] for r in group], np.int64) for i in (4, 5, 7, 9))
+        guest, inside = (np.array([r[i] for r in group]) for i in (6, 8))
+        fit = (root[:, None] != root[None, :]) & ((own[:, None] != own[None, :]) | inside[:, None])
+        fit &= ~(guest[:, None] & guest[None, :]) & (node[:, None] < node[None, :])
+        if not fit.any():
+            return [], []
+        fit &= reachable(size, [r[10] for r in group], threshold)
+        a, b = np.nonzero(fit)
+        return node[a].tolist(), node[b].tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[int]]]:
+        group: list[tuple] = []
+        a: list[int] = []
+        b: list[int] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[:4] != group[0][:4]:
+                    x, y = pairs_of(group)
+                    a, b, group = a + x, b + y, []
+                group.append(row)
+            yield {"a": a, "b": b}
+            a, b = [], []
+        if group:
+            x, y = pairs_of(group)
+            yield {"a": x, "b": y}
+
+    return run

@@ -1,28 +1,42 @@
 """Near-duplicate classes against all pairs."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
+import pytest
 
-from noteforge.llm.neardup import connected, labelled, near_duplicates, shingles, similarity, word_bytes, word_hashes
+from noteforge.llm import neardup
+from noteforge.llm.neardup import connected, edit_distance, labelled, near_duplicates, reachable, shingles, similarity, sketches, word_bytes, word_hashes
 from tests.llm.fixtures import DOCS, awkward, documents, words
 
 
 def of(text):
-    return shingles(word_hashes(word_bytes(text)))
+    return word_hashes(word_bytes(text))
 
 
-def lcs(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b):
-            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+def distance(a, b):
+    """Edit distance, the plain way."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
     return row[-1]
 
 
+def near(a, b):
+    """Linked by the plain distance: 0.8 or more of the longer text's words stay."""
+    x, y = a.split(), b.split()
+    n = max(len(x), len(y))
+    if 5 * abs(len(x) - len(y)) > n or 5 * (n - sum((Counter(x) & Counter(y)).values())) > n:
+        return False  # no distance is less than what sizes or bags differ in
+    return 5 * distance(x, y) <= n
+
+
 def classes(rows):
-    """Smallest id connected by links of 0.8 or more, over all pairs."""
+    """Smallest id connected by links, over all pairs with an equal sketch; equal texts are linked always."""
     keys = sorted({i for i, _ in rows}, key=lambda i: (i is not None, i or 0))
     root = {k: k for k in keys}
 
@@ -31,27 +45,100 @@ def classes(rows):
             k = root[k]
         return k
 
-    shingled = [(i, of(t)) for i, t in rows]
-    for n, (i, a) in enumerate(shingled):
-        for j, b in shingled[:n]:
-            if len(a) and len(b) and similarity(a, b):
+    made = []
+    for i, t in rows:
+        w = word_bytes(t)
+        made.append((i, w, set(sketches(labelled(shingles(word_hashes(w)))).tolist()) if w else set()))
+    for n, (i, a, s) in enumerate(made):
+        for j, b, t in made[:n]:
+            if a and b and (a == b or (s & t and top(i) != top(j) and near(a, b))):
                 x, y = sorted((top(i), top(j)), key=keys.index)
                 root[y] = x
     return {k: top(k) for k in keys}
 
 
-def test_similarity_is_the_best_alignment():
+def changed(rng, text, share):
+    """A copy with that share of its words replaced, dropped or doubled."""
+    out = list(text)
+    for at in sorted(rng.sample(range(len(out)), round(share * len(out))), reverse=True):
+        kind = rng.random()
+        if kind < 0.6:
+            out[at] = f"new{rng.randrange(10**9)}"
+        elif kind < 0.8:
+            del out[at]
+        else:
+            out.insert(at, f"more{rng.randrange(10**9)}")
+    return out
+
+
+def test_distance_against_the_plain_one():
     rng = random.Random(5)
-    for _ in range(60):
-        a = np.array([rng.randrange(40) for _ in range(rng.randint(1, 60))], np.uint64)
-        b = a.copy() if rng.random() < 0.8 else np.array([rng.randrange(40) for _ in range(50)], np.uint64)
-        for _ in range(rng.randint(0, 4)):
-            at = rng.randrange(len(b) + 1)
-            b = np.insert(b, at, rng.randrange(40)) if rng.random() < 0.5 or len(b) < 2 else np.delete(b, min(at, len(b) - 1))
-        m = lcs(a.tolist(), b.tolist())
-        value = m / (len(a) + len(b) - m)
-        got = similarity(a, b)
-        assert abs(got - value) < 1e-9 if value >= 0.8 else got == 0
+    for _ in range(600):
+        letters = rng.choice([2, 4, 30])
+        a = [rng.randrange(letters) for _ in range(rng.randint(1, 90))]
+        b = list(a) if rng.random() < 0.8 else [rng.randrange(letters) for _ in range(rng.randint(1, 90))]
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.randrange(letters)] * rng.randint(0, 2)
+            b = b or [0]
+        want = distance(a, b)
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        for most in (0, 2, 7, 200):
+            assert edit_distance(x, y, most) == min(want, most + 1)
+        n = max(len(a), len(b))
+        value = 1 - want / n
+        assert abs(similarity(x, y) - value) < 1e-9 if 5 * want <= n else similarity(x, y) == 0
+
+
+@pytest.mark.parametrize("narrow,many", [(1, 2), (3, 10**9)])
+def test_widening_bands_and_both_kinds_of_places(monkeypatch, narrow, many):
+    monkeypatch.setattr(neardup, "NARROW", narrow)
+    monkeypatch.setattr(neardup, "MANY", many)
+    rng = random.Random(6)
+    for _ in range(200):
+        a = [rng.randrange(6) for _ in range(70)]
+        b = [int(x) if not isinstance(x, str) else 9 for x in changed(rng, a, 0.2)]
+        want = distance(a, b)
+        assert edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), 60) == min(want, 61)
+
+
+def test_long_repetitive_texts_take_no_square_of_time():
+    a = np.arange(20_000, dtype=np.uint64) % 2
+    b = a.copy()
+    b[::17] = 7
+    began = time.time()
+    assert similarity(a, b) == pytest.approx(1 - len(b[::17]) / 20_000)
+    assert time.time() - began < 5
+
+
+def test_block_bound_never_hides_a_link():
+    rng = random.Random(7)
+    base = [words(rng, rng.choice([30, 60, 300])) for _ in range(12)]
+    texts = [" ".join(t) for b in base for t in [b, changed(rng, b, 0.1), changed(rng, b, 0.19), b[: len(b) // 2]]] + ["one", "", "two words"]
+    hashes = [word_hashes(word_bytes(t)) for t in texts]
+    grams = [(shingles(h, 2) >> np.uint64(48)).astype(np.uint16).tobytes() if len(h) > 1 else None for h in hashes]
+    grams[5] = None  # as of a very long text
+    fit = reachable(np.array([len(h) for h in hashes]), grams, 0.8)
+    for i, a in enumerate(hashes):
+        for j, b in enumerate(hashes):
+            assert fit[i, j] or not similarity(a, b)
+    assert fit[:48, :48].mean() < 0.2
+
+
+@pytest.mark.parametrize("share", [0.02, 0.05, 0.1])
+def test_recall_of_edited_copies(spark, share):
+    """Pairs at an edit similarity of 0.9 or more, by the plain distance: nine of ten are linked at least."""
+    rng = random.Random(int(share * 100))
+    rows = []
+    for i in range(60):
+        text = words(rng, rng.choice([120, 300, 600]))
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(changed(rng, text, share)))]
+    texts = dict(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(spark, rows)).collect()}
+    true = [i for i in range(60) if near(word_bytes(texts[i]), word_bytes(texts[1000 + i]))]
+    assert len(true) >= 58
+    assert sum(got[i] == got[1000 + i] for i in true) >= 0.9 * len(true)
+    assert len({got[i] for i in range(60)}) == 60
 
 
 def test_classes_of_awkward_rows(spark):
@@ -76,39 +163,54 @@ def test_classes_of_a_table_and_a_large_group(spark, sf):
     assert {want[10_000 + i] for i in range(60)} == {10_000}
 
 
-def star(rng, n, size=400, changed=8):
-    """Copies that are near one original, which has the largest id, and not near each other."""
+def star(rng, n, size=300, share=0.12):
+    """Copies that are near one original, which has the largest id, and seldom near each other."""
     base = words(rng, size)
     rows = []
     for i in range(n):
         own = list(base)
-        for at in rng.sample(range(5, size - 5), changed):
+        for at in rng.sample(range(size), int(size * share)):
             own[at] = f"new{i}x{at}"
         rows.append((i, " ".join(own)))
     return [*rows, (n, " ".join(base))]
 
 
 def test_star_shaped_groups(spark):
-    small, large = star(random.Random(2), 100), star(random.Random(4), 1000)
-    rows = small + [(10_000 + i, t) for i, t in large]
+    rows = star(random.Random(2), 80)
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(spark, rows)).collect()}
-    assert {i: got[i] for i, _ in small} == classes(small)
-    hub = of(large[-1][1])  # copies with few links of their own: the hub's links make the class
-    linked = [i for i, t in large if similarity(hub, of(t))]
-    assert len(linked) > 900 and {got[10_000 + i] for i in linked} == {10_000 + min(linked)}
+    assert got == classes(rows)
+    assert sum(c == got[80] for c in got.values()) > 60
 
 
-def test_buckets_without_a_good_centre(spark):
-    """Pairs that share buckets with many unlike texts, each linked to its partner only."""
+def test_buckets_of_unlike_texts(spark, monkeypatch):
+    """Pairs that share buckets with many unlike texts, each linked to its partner only, over many blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = random.Random(6)
-    common, rows = words(rng, 150), []
+    common, rows = words(rng, 120), []
     for i in range(60):
         own = common + words(rng, 60)
         rows += [(i, " ".join(own)), (100 + i, " ".join(own[:-1] + ["end"]))]
-    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(spark, rows), rounds=1).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(spark, rows)).collect()}
     assert got == classes(rows)
 
 
+def test_sizes_on_both_sides_of_a_border(spark):
+    rng = random.Random(9)
+    rows = []
+    for i, n in enumerate(range(40, 120, 2)):
+        text = words(rng, n)
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(text[: n - int(0.19 * n)]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(spark, rows)).collect()}
+    assert got == classes(rows) and sum(got[1000 + i] == i for i in range(40)) >= 38
+
+
+def test_clashing_columns_and_scratch(spark):
+    docs = documents(spark, awkward())
+    wide = docs.selectExpr("*", "1 AS id", "2 AS node", "3 AS value", "'x' AS words", "4 AS class_id")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["class_id"] or 0)
+    assert sorted(near_duplicates(wide).collect(), key=key) == sorted(near_duplicates(docs).collect(), key=key)
+
+
 def test_labels_tell_repeats_apart():
     h = labelled(np.array([5, 7, 5, 5, 7], np.uint64))
     assert len(set(h.tolist())) == 5 and h[0] == 5 and h[1] == 7
