@@ -14,6 +14,7 @@ Texts at ``THRESHOLD`` or more are linked, and classes are the connected texts.
    with others, as the original of many copies does. Links that stand up to alignment are
    united by alternating large and small stars; a group of copies is one class from here on,
    at the cost of one pair for each text and centre.
+   Members hang on their smallest centre first, so that stars are made of centres only.
 4. Then, in buckets that hold members of different classes, all such pairs are compared. Members
    are cut into classes of size (no link crosses more than one border) and into blocks of
    ``BLOCK``; a task holds the word pairs of two blocks as hashed counts, and a matrix product
@@ -337,6 +338,40 @@ def connected(edges: DataFrame, work: Workspace | None = None) -> DataFrame:
         seen = now
 
 
+def united(links: DataFrame, work: Workspace) -> DataFrame:
+    """``(node, root)`` of links ``(a, b)`` of centres and members; a root is the smallest node of its class.
+
+    A member hangs on its smallest centre; what is left to connect are centres that share a
+    member, of which there are few.
+    """
+    low = links.groupBy("b").agg(F.min("a").alias("m"))
+    own = work.put(links.join(low, "b").select("a", "b", "m"), "hung")
+    centres = own.select(F.col("a").alias("b")).distinct()
+    edges = own.where("a <> m").select("a", F.col("m").alias("b")).unionByName(
+        low.join(centres, "b", "left_semi").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    )
+    tops = work.put(connected(edges.distinct(), work), "tops")
+    hung = own.select(F.col("b").alias("node"), "m").distinct().join(centres, F.col("node") == F.col("b"), "left_anti")
+    hung = hung.unionByName(centres.select(F.col("b").alias("node"), F.col("b").alias("m")))
+    named = work.put(hung.join(tops.withColumnRenamed("node", "m"), "m", "left").select("node", F.coalesce("root", "m").alias("top")), "named")
+    least = named.groupBy("top").agg(F.least(F.min("node"), F.col("top")).alias("root"))
+    out = work.put(named.join(least, "top").select("node", "root"), "roots")
+    work.remove("hung", "tops", "named", "stars")
+    return out
+
+
+def joined(root: DataFrame, more: DataFrame, work: Workspace) -> DataFrame:
+    """``root`` with the classes united that the links ``more`` join; nodes that had no link yet get a row."""
+    end = lambda df, c: df.join(root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    met = end(end(more, "a"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    tops = work.put(connected(met, work), "tops").withColumnRenamed("root", "top")
+    old = root.join(tops.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = tops.join(root.select("node"), "node", "left_anti").select("node", F.col("top").alias("root"))
+    out = work.put(old.unionByName(new), "roots")
+    work.remove("tops", "stars")
+    return out
+
+
 def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` whose texts reach the threshold."""
     pairs = pairs.withColumn("slot", F.pmod(F.xxhash64("b"), F.lit(SLOTS)))
@@ -366,13 +401,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words = work.put(found.groupBy("node").agg(F.min("words").alias("words")) if _ids_repeat(sketched) else found, "words")
     tried = work.put(_proposed(members), "tried")
     links = work.put(_verified(tried, words, threshold), "links")
-    root = work.put(connected(links, work), "roots")
+    root = united(links, work)
     apart = work.put(_apart(members, root), "apart")
     if not apart.isEmpty():
         pairs = work.put(_untried(_within(apart, words, threshold, work), tried), "pairs")
         more = work.put(_verified(pairs, words, threshold), "more")
         if not more.isEmpty():
-            root = work.put(connected(links.unionByName(more), work), "roots")
+            root = joined(root, more, work)
     classes = ids.join(root, "node", "left").select("e1", "e2", F.coalesce("root", "node").alias("root"))
     out = sketched.join(classes, ["e1", "e2"], "left").select("id", F.coalesce("root", "id").alias("c"))
     done = work.put(out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("c", F.lit(NO_ID)).alias("class_id")), "classes")

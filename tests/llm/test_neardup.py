@@ -8,7 +8,20 @@ import numpy as np
 import pytest
 
 from noteforge.llm import neardup
-from noteforge.llm.neardup import connected, edit_distance, labelled, near_duplicates, reachable, shingles, similarity, sketches, word_bytes, word_hashes
+from noteforge.llm.neardup import (
+    connected,
+    edit_distance,
+    joined,
+    labelled,
+    near_duplicates,
+    reachable,
+    shingles,
+    similarity,
+    sketches,
+    united,
+    word_bytes,
+    word_hashes,
+)
 from tests.llm.fixtures import DOCS, awkward, documents, words
 
 
@@ -222,5 +235,34 @@ def test_connected(spark):
     assert got == {2: 1, 3: 1, 8: 7, 9: 7, 6: 5} | {i: 100 for i in range(101, 161)}
 
 
+def components(edges):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    return {x: top(x) for x in root}
+
+
+def test_classes_of_centres_and_members(spark):
+    """Random links of centres and members, then links between their classes, against plain union."""
+    rng = random.Random(11)
+    first = [(rng.randrange(40), rng.randrange(300)) for _ in range(150)] + [(400, 3), (5, 400), (350, 351)]
+    first = [(a, b) for a, b in first if a != b]
+    more = [(rng.randrange(300), rng.randrange(500, 520)) for _ in range(10)] + [(600, 601), (601, 602), (351, 2)]
+    work = neardup.Workspace(spark, "test")
+    root = united(spark.createDataFrame(first, "a bigint, b bigint").distinct(), work)
+    assert {r["node"]: r["root"] for r in root.collect()} == components(first)
+    both = joined(root, spark.createDataFrame(more, "a bigint, b bigint"), work)
+    want = components(first + more)
+    got = {r["node"]: r["root"] for r in both.collect()}
+    assert {x: got.get(x, x) for x in want} == want
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
