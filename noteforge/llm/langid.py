@@ -16,6 +16,11 @@ Scoring is linear in the presence of n-grams, so landmarks and weights fold into
 matrix with a row for each slot, and a batch of documents is scored as a sparse
 presence matrix times that matrix. Whole texts are used.
 
+Whether a text is in one of the learned languages at all is told by ``known``, the share of its
+different three-byte n-grams that any training row has; scores can't tell, as they sum to one.
+A model's ``floor`` is ``FLOOR_SHARE`` of what all but one in a hundred training rows reach when
+their own n-grams are not counted: texts in other scripts, and random letters, stay below.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0.
 Without a single labelled training document all are ``und``. Ties go to the language
 that comes first in the alphabet. Rows are scored one by one; the input's columns are
@@ -33,12 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteforge.llm.common import free_name
+
 TRIPLE_BITS = 17
-SLOTS = 256 + 65536 + (1 << TRIPLE_BITS)
+TRIPLES = 256 + 65536  # the first slot of a triple
+SLOTS = TRIPLES + (1 << TRIPLE_BITS)
 PER_LANGUAGE, LANDMARKS, RIDGE = 300, 400, 0.1
 MAX_LANGUAGES = 1000
+FLOOR_SHARE = 0.8
 UNKNOWN = "und"
-LANG_TYPE = "struct<lang_pred:string,score:double>"
+LANG_TYPE = "struct<lang_pred:string,score:double,known:double>"
 
 #: Letters, and what lies beyond ASCII, stay; the rest becomes blank.
 _LETTER_BYTES = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -66,7 +75,7 @@ def slots_of(text: bytes, flags: np.ndarray) -> np.ndarray:
     triples >>= np.uint32(32 - TRIPLE_BITS)
     flags[:256][a] = True
     flags[256 : 256 + 65536][pairs] = True
-    flags[256 + 65536 :][triples] = True
+    flags[TRIPLES:][triples] = True
     found = np.flatnonzero(flags)
     flags[found] = False
     return found.astype(np.int32)
@@ -77,6 +86,13 @@ class Model:
     languages: tuple[str, ...]
     weights: np.ndarray  # SLOTS x languages
     bias: np.ndarray
+    seen: np.ndarray  # which slots of triples any training row has
+    floor: float = 0.0
+
+    def known(self, slots: np.ndarray) -> float:
+        """Share of a text's triples that training rows have; 1 for a text without one."""
+        triples = slots[slots >= TRIPLES] - TRIPLES
+        return float(self.seen[triples].mean()) if len(triples) else 1.0
 
     def scores(self, presence: Sequence[np.ndarray]) -> np.ndarray:
         """One row per text: presence matrix times weights, each row divided by the root of its n-grams."""
@@ -112,7 +128,7 @@ def fit(presence: Sequence[np.ndarray], langs: Sequence[str], landmarks: int = L
     """Nyström features and one-versus-rest ridge regression; targets are 1 and 0."""
     languages = tuple(sorted(set(langs)))
     if not languages:
-        return Model((), np.zeros((SLOTS, 0)), np.zeros(0))
+        return Model((), np.zeros((SLOTS, 0)), np.zeros(0), np.zeros(SLOTS - TRIPLES, bool))
     step = max(1, -(-len(presence) // landmarks))
     marks = list(presence[::step])
     to_marks, own = kernel(presence, marks), kernel(marks, marks)
@@ -128,7 +144,10 @@ def fit(presence: Sequence[np.ndarray], langs: Sequence[str], landmarks: int = L
     weights = np.zeros((SLOTS, len(languages)))
     for m, row in zip(marks, per_mark):
         weights[m] += row / np.sqrt(max(1, len(m)))
-    return Model(languages, weights, mean_y - mean_x @ w)
+    rows = np.bincount(np.concatenate([p[p >= TRIPLES] - TRIPLES for p in presence]), minlength=SLOTS - TRIPLES)
+    shares = [(rows[p[p >= TRIPLES] - TRIPLES] > 1).mean() for p in presence if (p >= TRIPLES).any()]
+    floor = FLOOR_SHARE * float(np.quantile(shares, 0.01)) if shares else 0.0
+    return Model(languages, weights, mean_y - mean_x @ w, rows > 0, floor)
 
 
 def presence_udf():
@@ -167,15 +186,16 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def language_udf(sent):
-    """``struct(lang_pred, score)`` of a text column, with a broadcast model."""
+    """``struct(lang_pred, score, known)`` of a text column, with a broadcast model."""
 
     @F.arrow_udf(LANG_TYPE)
     def language(texts: pa.Array) -> pa.Array:
         model, flags = sent.value, np.zeros(SLOTS, bool)
-        names, scores = [], []
+        names, scores, known = [], [], []
         values = texts.to_pylist()
         for at in range(0, len(values), 64):
             presence = [slots_of(letters(t), flags) for t in values[at : at + 64]]
+            known += [model.known(p) for p in presence]
             if not model.languages:
                 names += [UNKNOWN] * len(presence)
                 scores += [0.0] * len(presence)
@@ -185,7 +205,8 @@ def language_udf(sent):
                 i = int(row.argmax())
                 names.append(model.languages[i] if len(p) else UNKNOWN)
                 scores.append(float(min(1.0, max(0.0, row[i]))) if len(p) else 0.0)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "known"])
 
     return language
 
@@ -196,5 +217,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
 def with_language(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score``. A projection: no shuffle."""
-    df = docs.withColumn("_language", identify(docs, model, text))
-    return df.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    own = free_name(docs, "_language")
+    df = docs.withColumn(own, identify(docs, model, text))
+    return df.withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "score": F.col(f"{own}.score")}).drop(own)

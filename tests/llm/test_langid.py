@@ -1,5 +1,8 @@
 """Language identification: held-out accuracy and defined results."""
 
+import base64
+import random
+
 from pyspark.sql import functions as F
 
 from noteforge.llm.common import bucket_of
@@ -47,3 +50,30 @@ def test_kernel_and_folded_weights_agree():
     assert isinstance(model, Model)
     assert [model.languages[i] for i in model.scores(p).argmax(axis=1)] == ["en", "en", "es", "es"]
     assert not flags.any()
+
+
+OTHERS = {
+    "zh": "在这个世界上有很多不同的语言和文化我们应该尊重它们", "ru": "В этом мире много разных языков и культур, и мы должны их уважать",
+    "ar": "هذا نص باللغة العربية لاختبار النظام", "pl": "Litwo, Ojczyzno moja! ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił",
+}
+
+
+def test_the_floor_rejects_what_was_not_learned(spark):
+    """Other scripts, random letters and base64 stay below the floor of a trained model; nearly all labelled texts above it."""
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL")
+    model = train(docs)
+    flags = np.zeros(SLOTS, bool)
+    texts = [r["text"] for r in docs.where(bucket_of("doc_id", 5) == 0).collect() if letters(r["text"])]
+    known = np.array([model.known(slots_of(letters(t), flags)) for t in texts])
+    assert (known >= model.floor).mean() >= 0.99
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(60)), base64.b64encode(rng.randbytes(400)).decode()]
+    for t in [*OTHERS.values(), *noise]:
+        assert model.known(slots_of(letters(t), flags)) < model.floor, t
+    assert model.known(slots_of(letters("der die und"), flags)) >= model.floor
+
+
+def test_scores_do_not_hang_on_the_language_column(spark):
+    docs = documents(spark, awkward()).withColumn("_language", F.lit("kept"))
+    out = with_language(docs, train(documents(spark, [(1, "the cat"), (2, "el gato")]).withColumn("lang", F.col("doc_id").cast("string"))))
+    assert {r["_language"] for r in out.collect()} == {"kept"}
