@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteforge.llm.common import read_table
+from noteforge.llm.common import free_name, read_table
 from noteforge.llm.langid import UNKNOWN, identify, train
 from noteforge.llm.leaks import find_leaks
 from noteforge.llm.lines import remove_repeated_lines
@@ -22,14 +22,15 @@ from noteforge.llm.neardup import near_duplicates
 from noteforge.llm.packing import pack
 from noteforge.runtime import stage_table
 
-#: A text like none of the learned languages scores below this; real text, even mixed, well above.
-LEAST_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages that the labelled ones teach."""
-    found = docs.withColumn("_language", identify(docs, train(docs)))
-    known = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= LEAST_SCORE)
+    """Documents whose text is in one of the languages that the labelled ones teach.
+
+    A text in another script or of random letters shares too few n-grams with any of them.
+    """
+    model, own = train(docs), free_name(docs, "_language")
+    found = docs.withColumn(own, identify(docs, model))
+    known = (F.col(f"{own}.lang_pred") != UNKNOWN) & (F.col(f"{own}.known") >= model.floor)
     return found.where(known).select(*docs.columns)
 
 
