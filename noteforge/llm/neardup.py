@@ -10,11 +10,11 @@ Texts at ``THRESHOLD`` or more are linked, and classes are the connected texts.
    Texts with an equal sketch share a bucket. Where a tenth of the words differ, two texts
    share about two shingles in five, and one sketch in thirteen agrees: with 40, all of them
    differ in one pair of twenty; where a twentieth differs, in one of a hundred thousand.
-3. Each bucket proposes its members against its centre: the member that shares most buckets
-   with others, as the original of many copies does. Links that stand up to alignment are
-   united by alternating large and small stars; a group of copies is one class from here on,
-   at the cost of one pair for each text and centre.
-   Members hang on their smallest centre first, so that stars are made of centres only.
+3. A bucket's centre is the member that shares most buckets with others, as the original of
+   many copies does. Each text is proposed to the heaviest centre among its buckets. Links that
+   stand up to alignment are united by alternating large and small stars (of centres only, as
+   other members just hang on one); a group of copies is one class from here on, at the cost of
+   one pair for each text.
 4. Then, in buckets that hold members of different classes, all such pairs are compared. Members
    are cut into classes of size (no link crosses more than one border) and into blocks of
    ``BLOCK``; a task holds the word pairs of two blocks as hashed counts, and a matrix product
@@ -427,12 +427,12 @@ def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
 
 
 def _proposed(members: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of every bucket's centre with its other members."""
+    """Pairs ``(a, b)``: every member with the heaviest centre that it meets in a bucket; one pair for a member."""
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
     first = F.min(F.struct((-F.col("weight")).alias("w"), "node"))
     centres = members.select("value", "node").join(weights, "node").groupBy("value").agg(first.alias("c"))
-    met = members.join(centres.select("value", F.col("c.node").alias("a")), "value").where("a <> node")
-    return met.select("a", F.col("node").alias("b")).distinct()
+    met = members.select("value", "node").join(centres, "value").where("c.node <> node")
+    return met.groupBy("node").agg(F.min("c").alias("c")).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
 
 
 def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
