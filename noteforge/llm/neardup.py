@@ -15,11 +15,12 @@ Texts at ``THRESHOLD`` or more are linked, and classes are the connected texts.
    stand up to alignment are united by alternating large and small stars (of centres only, as
    other members just hang on one); a group of copies is one class from here on, at the cost of
    one pair for each text.
-4. Then, in buckets that hold members of different classes, all such pairs are compared. Members
-   are cut into classes of size (no link crosses more than one border) and into blocks of
-   ``BLOCK``; a task holds the word pairs of two blocks as hashed counts, and a matrix product
-   bounds what two members can share: d edits leave n - 1 - 2 d word pairs alike. Only pairs
-   that pass leave the task, and are aligned if they were not before.
+4. Then members of different classes in one bucket are compared. Members are cut into classes of
+   size (no link crosses more than one border) and into blocks of ``BLOCK``; a task holds the word
+   pairs of two blocks as hashed counts, and a matrix product bounds what two members can share:
+   d edits leave n - 1 - 2 d word pairs alike. Of the pairs that pass, each class names its most
+   promising one, these are aligned, and classes united. As most classes are one then, few pairs
+   remain; the next round names ``MORE`` times as many of each class, until none has any left.
 
 So every pair that shares a sketch is compared or already in one class, and no bucket's pairs
 are written out. A centre's words are sent to ``SLOTS`` places at most, and its pairs are spread
@@ -53,6 +54,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKS = 40, 3
 SLOTS = 256
 BLOCK, BLOCK_BYTES = 512, 4 << 20
+MORE = 8  # times as many pairs of a class in the next round
 NARROW, WIDER = 32, 4  # the first band, and how much wider the next one is
 MANY = 64  # places of a word from which on they are one number
 LONG = 8192  # word pairs beyond which a text isn't bounded by them
@@ -292,7 +294,10 @@ def _counts(grams: list[bytes | None], slots: int) -> np.ndarray:
 
 
 def reachable(size: np.ndarray, grams: list[bytes | None], threshold: float) -> np.ndarray:
-    """Which members of a block can be similar, as a matrix: false only where sizes or shared word pairs forbid it."""
+    """How many more word pairs than needed two members of a block can share, as a share of the longer one's words.
+
+    Minus infinity only where sizes or shared word pairs forbid that they are similar.
+    """
     n = np.maximum(size[:, None], size[None, :])
     allowed = np.floor((1 - threshold) * n + 1e-9)
     fit = n - np.minimum(size[:, None], size[None, :]) <= allowed
@@ -303,7 +308,9 @@ def reachable(size: np.ndarray, grams: list[bytes | None], threshold: float) ->
         slots *= 2
     counts = _counts(grams, slots)
     shared = counts @ counts.T  # at least as many as the word pairs that both have
-    return fit & ((shared >= n - 1 - 2 * allowed - 1e-3) | ~known[:, None] | ~known[None, :])
+    shared[~known[:, None] | ~known[None, :]] = np.inf
+    spare = np.minimum(shared - (n - 1 - 2 * allowed), n)
+    return np.where(fit & (spare >= -1e-3), spare / np.maximum(n, 1), -np.inf)
 
 
 # --- classes -------------------------------------------------------------------
@@ -402,12 +409,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tried = work.put(_proposed(members), "tried")
     links = work.put(_verified(tried, words, threshold), "links")
     root = united(links, work)
-    apart = work.put(_apart(members, root), "apart")
-    if not apart.isEmpty():
-        pairs = work.put(_untried(_within(apart, words, threshold, work), tried), "pairs")
+    left, grams, keep = members, None, 1
+    while True:
+        left = work.put(_apart(left, root), "apart")
+        if left.isEmpty():
+            break
+        if grams is None:
+            nodes = left.select("node").distinct()
+            grams = work.put(words.join(nodes, "node").withColumn("c", pairs_udf()("words")).select("node", "c.size", "c.grams"), "grams")
+        found = work.put(_within(left, grams, threshold, keep), "found")
+        pairs = work.put(_untried(found, tried), "pairs")
         more = work.put(_verified(pairs, words, threshold), "more")
         if not more.isEmpty():
             root = joined(root, more, work)
+        if found.where("cut").isEmpty():  # every class has had all its candidates
+            break
+        tried = work.put(tried.unionByName(pairs), "tried")
+        keep *= MORE
     classes = ids.join(root, "node", "left").select("e1", "e2", F.coalesce("root", "node").alias("root"))
     out = sketched.join(classes, ["e1", "e2"], "left").select("id", F.coalesce("root", "id").alias("c"))
     done = work.put(out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("c", F.lit(NO_ID)).alias("class_id")), "classes")
@@ -442,10 +460,11 @@ def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
     return placed.join(several.select("value"), "value")
 
 
-def _within(apart: DataFrame, words: DataFrame, threshold: float, work: Workspace) -> DataFrame:
-    """Pairs ``(a, b)`` of members of one bucket and different classes that can be similar."""
-    nodes = apart.select("node").distinct()
-    grams = work.put(words.join(nodes, "node").withColumn("c", pairs_udf()("words")).select("node", "c.size", "c.grams"), "grams")
+def _within(apart: DataFrame, grams: DataFrame, threshold: float, keep: int) -> DataFrame:
+    """``(a, b, cut)``: pairs of members of one bucket and different classes that can be similar.
+
+    In each group of members a class names its ``keep`` most promising pairs; ``cut`` tells that it had more.
+    """
     # a link joins neighbouring classes of size at most: members are guests in the next one
     border = float(np.log(1 / threshold) * (1 + 1e-9)) if threshold < 1 else 1.0
     classed = apart.join(grams.select("node", "size"), "node").withColumn("k", F.floor(F.log("size") / F.lit(border)))
@@ -465,35 +484,54 @@ def _within(apart: DataFrame, words: DataFrame, threshold: float, work: Workspac
     )
     keys = ["value", "k", "i", "j"]
     blocks = dealt.join(grams, "node").repartition(*keys).sortWithinPartitions(*keys)
-    return map_arrow(blocks.select(*keys, "node", "root", "guest", "own", "inside", "size", "grams"), _compare(threshold), "a bigint, b bigint")
+    rows = blocks.select(*keys, "node", "root", "guest", "own", "inside", "size", "grams")
+    return map_arrow(rows, _compare(threshold, keep), "a bigint, b bigint, cut boolean")
 
 
-def _compare(threshold: float):
-    def pairs_of(group: list[tuple]) -> tuple[list[int], list[int]]:
+def promising(score: np.ndarray, first: np.ndarray, second: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs between the classes ``first`` and ``second``: places of those that either class has among its ``keep``
+    best, and whether one of their classes has more."""
+    pair = np.tile(np.arange(len(score)), 2)
+    of = np.concatenate([first, second])
+    order = np.lexsort((pair, -score[pair], of))
+    classes, starts, counts = np.unique(of[order], return_index=True, return_counts=True)
+    place = np.arange(len(order)) - np.repeat(starts, counts)
+    kept = np.unique(pair[order[place < keep]])
+    more = classes[counts > keep]
+    return kept, np.isin(first[kept], more) | np.isin(second[kept], more)
+
+
+def _compare(threshold: float, keep: int):
+    def pairs_of(group: list[tuple]) -> tuple[list[int], list[int], list[bool]]:
         node, root, own, size = (np.array([r[i] for r in group], np.int64) for i in (4, 5, 7, 9))
         guest, inside = (np.array([r[i] for r in group]) for i in (6, 8))
         fit = (root[:, None] != root[None, :]) & ((own[:, None] != own[None, :]) | inside[:, None])
         fit &= ~(guest[:, None] & guest[None, :]) & (node[:, None] < node[None, :])
         if not fit.any():
-            return [], []
-        fit &= reachable(size, [r[10] for r in group], threshold)
-        a, b = np.nonzero(fit)
-        return node[a].tolist(), node[b].tolist()
+            return [], [], []
+        score = np.where(fit, reachable(size, [r[10] for r in group], threshold), -np.inf)
+        a, b = np.nonzero(score > -np.inf)
+        kept, cut = promising(score[a, b], root[a], root[b], keep)
+        return node[a[kept]].tolist(), node[b[kept]].tolist(), cut.tolist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[int]]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         group: list[tuple] = []
-        a: list[int] = []
-        b: list[int] = []
+        out: dict[str, list] = {"a": [], "b": [], "cut": []}
+
+        def close() -> None:
+            for values, more in zip(out.values(), pairs_of(group)):
+                values += more
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and row[:4] != group[0][:4]:
-                    x, y = pairs_of(group)
-                    a, b, group = a + x, b + y, []
+                    close()
+                    group.clear()
                 group.append(row)
-            yield {"a": a, "b": b}
-            a, b = [], []
+            yield out
+            out = {"a": [], "b": [], "cut": []}
         if group:
-            x, y = pairs_of(group)
-            yield {"a": x, "b": y}
+            close()
+            yield out
 
     return run

@@ -76,9 +76,9 @@ def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
-    from noteforge.llm.warc import round_trip
+    from noteforge.llm.warc import intact, round_trip
 
-    return round_trip(read_table(spark, sf, "pages")).select(
+    return intact(round_trip(read_table(spark, sf, "pages"))).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 

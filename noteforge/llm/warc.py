@@ -330,6 +330,14 @@ def _soundness(pieces: DataFrame, starts: DataFrame, cut: DataFrame) -> DataFram
     )
 
 
+def intact(records: DataFrame) -> DataFrame:
+    """The records as they are; one whose payload isn't what its header states fails the job."""
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit("without an id"))
+    damaged = F.raise_error(F.concat(F.lit("damaged payload of page "), page))
+    sound = F.coalesce(F.col("sound"), F.lit(False))
+    return records.withColumn("payload_bytes", F.when(sound, F.col("payload_bytes")).otherwise(damaged))
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write the archives into the shared folder and read them back."""
     spark = pages.sparkSession

@@ -131,7 +131,7 @@ def test_block_bound_never_hides_a_link():
     hashes = [word_hashes(word_bytes(t)) for t in texts]
     grams = [(shingles(h, 2) >> np.uint64(48)).astype(np.uint16).tobytes() if len(h) > 1 else None for h in hashes]
     grams[5] = None  # as of a very long text
-    fit = reachable(np.array([len(h) for h in hashes]), grams, 0.8)
+    fit = reachable(np.array([len(h) for h in hashes]), grams, 0.8) > -np.inf
     for i, a in enumerate(hashes):
         for j, b in enumerate(hashes):
             assert fit[i, j] or not similarity(a, b)
@@ -264,5 +264,14 @@ def test_classes_of_centres_and_members(spark):
     assert {x: got.get(x, x) for x in want} == want
 
 
+def test_classes_name_their_best_pairs():
+    score = np.array([0.9, 0.5, 0.7, 0.1])
+    first, second = np.array([1, 1, 2, 3]), np.array([2, 3, 3, 4])
+    kept, cut = neardup.promising(score, first, second, 1)
+    assert kept.tolist() == [0, 2, 3] and cut.tolist() == [True, True, True]
+    kept, cut = neardup.promising(score, first, second, 3)
+    assert kept.tolist() == [0, 1, 2, 3] and not cut.any()
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []

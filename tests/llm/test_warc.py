@@ -1,11 +1,13 @@
 """Round trips, also with magic lines inside payloads and over many splits."""
 
 import base64
+import glob
 import hashlib
+import os
 
 import pytest
 
-from noteforge.llm.warc import round_trip, write_archives, read_archives
+from noteforge.llm.warc import intact, read_archives, round_trip, write_archives
 from noteforge.runtime import scratch_path
 
 PAGES = "page_id bigint, url string, html string, record_type string"
@@ -62,3 +64,19 @@ def test_threshold(spark):
 
 def test_empty_table(spark):
     assert round_trip(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_a_damaged_payload_fails_the_job(spark):
+    path = scratch_path(spark, "warc-damaged")
+    write_archives(spark.createDataFrame([(i, "u", f"<p>page {i}</p>", "") for i in range(20)], PAGES).repartition(2), path)
+    assert intact(read_archives(spark, path)).count() == 20
+    for name in glob.glob(f"{path}/part-*"):
+        with open(name, "rb") as f:
+            data = f.read()
+        with open(name, "wb") as f:
+            f.write(data.replace(b"<p>page 7</p>", b"<p>page 8</p>"))
+        if os.path.exists(crc := os.path.join(os.path.dirname(name), f".{os.path.basename(name)}.crc")):
+            os.remove(crc)
+    assert [r["page_id"] for r in read_archives(spark, path).collect() if not r["sound"]] == [7]
+    with pytest.raises(Exception, match="damaged payload of page 7"):
+        intact(read_archives(spark, path)).collect()
