@@ -33,34 +33,34 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
-    ElementwiseProduct,
     HashingTF,
-    Normalizer,
     SQLTransformer,
     StopWordsRemover,
     StringIndexer,
     Word2Vec,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteforge import fixed
 from noteforge.functions.arrays import argmax, normalise
 from noteforge.functions.stem import stem_word
 from noteforge.functions.text import WORD_GAP
+from noteforge.operators.dictionary import FEATURES, TERMS, TableFeatures, TableFeaturiser, named, term_rows
+from noteforge.operators.joins import lookup_join
+from noteforge.operators.paragraphs import ParagraphFeatures, ParagraphFeaturiser, Settings
+from noteforge.operators.selection import Stump, boost_terms, chi2_dictionary, votes
 from noteforge.operators.splits import stratified_folds
-from noteforge.runtime import stage
+from noteforge.runtime import stage, stage_table
 
-FEATURES, LABEL, PROBS, PREDICTION = "features", "label_idx", "probs", "prediction"
+LABEL, PROBS, PREDICTION = "label_idx", "probs", "prediction"
+DENSE_WIDTH = 4096  # up to here a projection is a plain matrix
+SLOTS = 1024  # of hashed places beyond
 PARALLEL_FITS = 8  # fits that run side by side
 FIT_PART_BYTES = 8 * 1024 * 1024  # vector bytes worth a task of their own
-ALL_WORDS = (1 << 31) - 1  # the vectoriser's largest dictionary: no word is left out
 
 # --------------------------------------------------------------------------
 # text -> features
@@ -82,24 +82,6 @@ def token_stages(text: str, tokens_sql: str = PROSE_TOKENS, stop_words=tuple(fix
     return [split, StopWordsRemover(inputCol=made, outputCol="tokens", stopWords=list(stop_words))]
 
 
-class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Term counts ``n`` become ``1 + ln n``."""
-
-    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
-        super().__init__()
-        if inputCol:
-            self._set(inputCol=inputCol)
-        if outputCol:
-            self._set(outputCol=outputCol)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        @F.pandas_udf(VectorUDT())
-        def damp(counts: pd.DataFrame) -> pd.DataFrame:
-            return counts.assign(values=[1.0 + np.log(v) for v in counts["values"]])
-
-        return df.withColumn(self.getOutputCol(), damp(F.unwrap_udt(self.getInputCol())))
-
-
 class StemTokens(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Every token of an array becomes its stem."""
 
@@ -114,32 +96,6 @@ class StemTokens(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return df.withColumn(self.getOutputCol(), F.transform(self.getInputCol(), stem_word))
 
 
-class SmoothIdf(Estimator, HasInputCol, HasOutputCol):
-    """Scales by ``ln((1 + n) / (1 + df)) + 1``; the fitted stage is built in."""
-
-    def __init__(self, inputCol: str, outputCol: str):
-        super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol)
-
-    def _fit(self, df: DataFrame) -> Transformer:
-        model = IDF(inputCol=self.getInputCol(), outputCol="_idf").fit(df)
-        scale = Vectors.dense(np.asarray(model.idf.toArray()) + 1.0)
-        return ElementwiseProduct(scalingVec=scale, inputCol=self.getInputCol(), outputCol=self.getOutputCol())
-
-
-def freq_stages(vocab_size: int = ALL_WORDS, **_) -> list:
-    return [CountVectorizer(inputCol="tokens", outputCol=FEATURES, vocabSize=vocab_size, minDF=1.0)]
-
-
-def tfidf_stages(vocab_size: int = ALL_WORDS, **_) -> list:
-    return [
-        CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size, minDF=1.0),
-        SublinearTf("tf", "tf_log"),
-        SmoothIdf("tf_log", "tf_idf"),
-        Normalizer(inputCol="tf_idf", outputCol=FEATURES, p=2.0),
-    ]
-
-
 def pv_stages(dim: int = 600, window: int = 10, min_count: int = 1, parts: int | None = None,
               iterations: int = 1, seed: int = 42, **_) -> list:
     return [word2vec(dim, window, min_count, parts, iterations, seed, output=FEATURES)]
@@ -159,20 +115,52 @@ def hashing_stages(width: int = 1 << 18, **_) -> list:
     return [HashingTF(inputCol="tokens", outputCol=FEATURES, numFeatures=width)]
 
 
-FEATURISERS: dict[str, Callable[..., list]] = {
-    "freq": freq_stages, "tfidf": tfidf_stages, "pv": pv_stages, "hash": hashing_stages,
-}
+#: Fitted as word tables, as trained paragraph vectors, or as stages that need no dictionary.
+TABLE_WEIGHTINGS = ("freq", "tfidf")
+PARAGRAPHS = "d2v"
+STAGES: dict[str, Callable[..., list]] = {"pv": pv_stages, "hash": hashing_stages}
+FEATURISERS = (*TABLE_WEIGHTINGS, PARAGRAPHS, *STAGES)
 
 
 def featuriser(vec: str, text: str, codes: bool = False, tokens_sql: str | None = None, stem: bool = False,
-               **options) -> Pipeline:
-    """Tokens and their vectors. ``stem`` stems prose after stop words are gone; codes are never stemmed."""
+               vocab_size: int | None = None, key: str | None = None, label: str | None = None, select: str | None = None,
+               alpha: float = 0.05, **options) -> TableFeaturiser | ParagraphFeaturiser | Pipeline:
+    """Tokens and their vectors. ``stem`` stems prose after stop words are gone; codes are never stemmed.
+
+    ``select="chi2"`` keeps the words that differ between the values of ``label``; paragraph
+    vectors need the ``key`` that names a note.
+    """
     if vec not in FEATURISERS:
         raise ValueError(f"unknown vectoriser {vec!r}; one of {sorted(FEATURISERS)}")
     tokens_sql = tokens_sql or (CODE_TOKENS if codes else PROSE_TOKENS)
     stop_words = () if codes else tuple(fixed.STOP_WORDS)
     stems = [StemTokens("tokens", "tokens")] if stem and not codes else []
-    return Pipeline(stages=[*token_stages(text, tokens_sql, stop_words), *stems, *FEATURISERS[vec](**options)])
+    stages = [*token_stages(text, tokens_sql, stop_words), *stems]
+    if select not in (None, "chi2") or select and (vec not in TABLE_WEIGHTINGS or label is None):
+        raise ValueError(f"can't select by {select!r} here: 'chi2' needs a dictionary and a label")
+    if vec in TABLE_WEIGHTINGS:
+        choose = (lambda notes, dictionary: chi2_dictionary(notes, label, dictionary, alpha)) if select else None
+        return TableFeaturiser(stages, vec, vocab_size, choose)
+    if vec == PARAGRAPHS:
+        if key is None:
+            raise ValueError("paragraph vectors need a key")
+        return ParagraphFeaturiser(stages, Settings(**options), key, vocab_size)
+    return Pipeline(stages=[*stages, *STAGES[vec](**options)])
+
+
+KEYED = {"terms": TableFeatures, "paragraphs": ParagraphFeatures}
+Features = TableFeatures | ParagraphFeatures | PipelineModel
+
+
+def with_vectors(features: Features, notes: DataFrame, key: str) -> DataFrame:
+    """Add ``features`` (and ``terms``, of a dictionary) to notes named by ``key``."""
+    return features.transform(notes) if isinstance(features, PipelineModel) else features.transform(notes, key)
+
+
+def vector_columns(df: DataFrame, codes: list[str]) -> list[str]:
+    """The columns that the given algorithms read."""
+    terms = TERMS in df.columns
+    return [*([FEATURES] if not terms or set(codes) - READS_TERMS else []), *([TERMS] if terms and set(codes) & READS_TERMS else [])]
 
 
 def label_indexer(label: str) -> StringIndexer:
@@ -197,7 +185,7 @@ def _sigmoid(x: Column) -> Column:
 
 
 def fourier_map(seed: int, inputs: int, outputs: int, gamma: float) -> Callable[[Column], Column]:
-    """Random Fourier features of the RBF kernel; the projection follows from the seed."""
+    """Random Fourier features of the RBF kernel of dense vectors; the projection follows from the seed."""
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(inputs, outputs))
     b = rng.uniform(0.0, 2.0 * math.pi, size=outputs)
@@ -211,13 +199,78 @@ def fourier_map(seed: int, inputs: int, outputs: int, gamma: float) -> Callable[
     return lambda features: array_to_vector(project(vector_to_array(features)))
 
 
+def mixed(ids: np.ndarray, seed: int) -> np.ndarray:
+    """64 well mixed bits of each number."""
+    with np.errstate(over="ignore"):
+        h = (ids.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """Walsh-Hadamard transform of every row; the width is a power of two."""
+    n, width = x.shape
+    half = 1
+    while half < width:
+        x = x.reshape(n, -1, 2, half)
+        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2)
+        half *= 2
+    return x.reshape(n, width)
+
+
+def sparse_fourier(rows: list[tuple[np.ndarray, np.ndarray]], seed: int, outputs: int, gamma: float, slots: int) -> np.ndarray:
+    """Fourier features of the RBF kernel of sparse rows (places, values), without a matrix of their width.
+
+    Places are hashed, with signs, into ``slots``. A block of ``slots`` projections is signs,
+    Hadamard transform, permutation, Gaussian scales, Hadamard transform and chi-distributed
+    lengths; as many blocks are made as ``outputs`` need. All of it follows from the seed.
+    """
+    x = np.zeros((len(rows), slots))
+    for i, (places, values) in enumerate(rows):
+        h = mixed(places, seed)
+        sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+        x[i] = np.bincount((h % np.uint64(slots)).astype(np.int64), sign * values, slots)
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(-(-outputs // slots)):
+        sign, order, scale = rng.choice([-1.0, 1.0], slots), rng.permutation(slots), rng.normal(size=slots)
+        lengths = np.sqrt(rng.chisquare(slots, slots)) / np.linalg.norm(scale)
+        y = hadamard(hadamard(x * sign)[:, order] * scale) * lengths / math.sqrt(slots)
+        out.append(np.cos(math.sqrt(2.0 * gamma) * y + rng.uniform(0.0, 2.0 * math.pi, slots)))
+    return np.concatenate(out, axis=1)[:, :outputs] * math.sqrt(2.0 / outputs)
+
+
+def sparse_fourier_map(seed: int, outputs: int, gamma: float, slots: int) -> Callable[[Column], Column]:
+    @F.pandas_udf("array<double>")
+    def project(ids: pd.Series, values: pd.Series) -> pd.Series:
+        parts = []
+        for at in range(0, len(ids), 256):
+            rows = [(np.asarray(i, np.int64), np.asarray(v, np.float64)) for i, v in zip(ids[at : at + 256], values[at : at + 256])]
+            parts += list(sparse_fourier(rows, seed, outputs, gamma, slots))
+        return pd.Series(parts, dtype=object)
+
+    def of(features: Column) -> Column:
+        inner = F.unwrap_udt(features)
+        ids = F.coalesce(inner["indices"], F.sequence(F.lit(0), F.size(inner["values"]) - 1))  # of dense vectors
+        return array_to_vector(project(ids, inner["values"]))
+
+    return of
+
+
+def kernel_map(settings: dict) -> Callable[[Column], Column]:
+    return sparse_fourier_map(**settings) if "slots" in settings else fourier_map(**settings)
+
+
 @dataclass
 class Classifier:
-    """A fitted classifier of one of four kinds.
+    """A fitted classifier of one of six kinds.
 
     ``native``: one multiclass model; ``one_vs_rest``: a logistic model per
     class; ``calibrated``: a margin model per class with a sigmoid each;
-    ``boosted``: weighted votes of small trees.
+    ``boosted``: weighted votes of small trees; ``stumps``: weighted votes of
+    single terms; ``bayes``: naive Bayes as a table of word weights, which is
+    joined and never leaves the executors.
     """
 
     kind: str
@@ -226,12 +279,19 @@ class Classifier:
     sigmoids: list[tuple[float, float]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     fourier: dict | None = None
-
-    def transform(self, df: DataFrame) -> DataFrame:
+    lifts: DataFrame | None = None  # (id, lifts): of the classes a word occurs in
+    priors: list[float] = field(default_factory=list)
+    floors: list[float] = field(default_factory=list)
+    stumps: list[Stump] = field(default_factory=list)
+
+    def transform(self, df: DataFrame, key: str) -> DataFrame:
+        """Add ``probs`` and ``prediction``; ``key`` names a row of ``df``."""
+        if self.kind == "bayes":
+            return self._bayes(df, key)
         keep = df.columns
         if self.fourier:
             df = df.withColumn("_plain", F.col(FEATURES)).withColumn(
-                FEATURES, fourier_map(**self.fourier)(F.col(FEATURES))
+                FEATURES, kernel_map(self.fourier)(F.col(FEATURES))
             )
         df, probs = self._probs(df)
         df = df.withColumn(PROBS, probs).withColumn(PREDICTION, argmax(PROBS).cast("double"))
@@ -239,6 +299,20 @@ class Classifier:
             df = df.withColumn(FEATURES, F.col("_plain"))
         return df.select(*keep, PROBS, PREDICTION)
 
+    def _bayes(self, df: DataFrame, key: str) -> DataFrame:
+        """Class sums of a note's terms by one join and one aggregate; what a class lacks adds its floor."""
+        terms = lookup_join(term_rows(df, key), self.lifts, "id", spread_by=["_key", "id"], staged=True)
+        known = F.sum("w").alias("_mass")
+        hits = terms.withColumn("x", F.map_from_entries("lifts"))
+        sums = [F.coalesce(F.sum(F.col("w") * F.col("x")[c]), F.lit(0.0)).alias(f"_s{c}") for c in range(self.classes)]
+        found = hits.groupBy("_key").agg(known, *sums)
+        joined = df.join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
+        mass = F.coalesce("_mass", F.lit(0.0))
+        score = [F.lit(p) + mass * F.lit(f) + F.coalesce(f"_s{c}", F.lit(0.0)) for c, (p, f) in enumerate(zip(self.priors, self.floors))]
+        joined = joined.withColumn("_score", F.array(*score)).withColumn("_top", F.array_max("_score"))
+        shares = normalise(F.transform("_score", lambda s: F.exp(s - F.col("_top"))))
+        return joined.withColumn(PROBS, shares).withColumn(PREDICTION, argmax("_score").cast("double")).select(*df.columns, PROBS, PREDICTION)
+
     def margins(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
         out = []
         for i, model in enumerate(self.models):
@@ -260,15 +334,17 @@ class Classifier:
             df, margins = self.margins(df)
             shares = [_sigmoid(m * a + b) for m, (a, b) in zip(margins, self.sigmoids)]
             return df, normalise(F.array(*shares))
+        if self.kind == "stumps":
+            return df, votes(self.stumps, self.classes)
         if self.kind == "boosted":
-            votes = [F.lit(0.0)] * self.classes
+            tallies = [F.lit(0.0)] * self.classes
             for i, (tree, alpha) in enumerate(zip(self.models, self.weights)):
                 tree = tree.copy().setPredictionCol(f"_t{i}").setRawPredictionCol("").setProbabilityCol("")
                 df = tree.transform(df)
             for c in range(self.classes):
                 for i, alpha in enumerate(self.weights):
-                    votes[c] = votes[c] + F.when(F.col(f"_t{i}") == c, alpha).otherwise(0.0)
-            return df, normalise(F.array(*votes))
+                    tallies[c] = tallies[c] + F.when(F.col(f"_t{i}") == c, alpha).otherwise(0.0)
+            return df, normalise(F.array(*tallies))
         raise ValueError(self.kind)
 
     def save(self, path: str, spark: SparkSession) -> None:
@@ -277,15 +353,20 @@ class Classifier:
         meta = {
             "kind": self.kind, "classes": self.classes, "sigmoids": self.sigmoids, "weights": self.weights,
             "fourier": self.fourier, "models": [type(m).__name__ for m in self.models],
+            "priors": self.priors, "floors": self.floors, "stumps": [asdict(x) for x in self.stumps],
         }
+        if self.lifts is not None:
+            self.lifts.write.mode("overwrite").parquet(f"{path}/lifts")
         write_json(spark, f"{path}/classifier", meta)
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> Classifier:
         meta = read_json(spark, f"{path}/classifier")
         models = [MODEL_CLASSES[name].load(f"{path}/model_{i:03d}") for i, name in enumerate(meta["models"])]
+        lifts = spark.read.parquet(f"{path}/lifts") if meta["kind"] == "bayes" else None
         return cls(meta["kind"], models, meta["classes"], [tuple(s) for s in meta["sigmoids"]],
-                   meta["weights"], meta["fourier"])
+                   meta["weights"], meta["fourier"], lifts, meta["priors"], meta["floors"],
+                   [Stump(**x) for x in meta["stumps"]])
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
@@ -458,6 +539,28 @@ def _fit_linear(l1: float):
     return fit
 
 
+def fit_term_bayes(df: DataFrame, classes: int, width: int, smoothing: float = 1.0) -> Classifier:
+    """Multinomial naive Bayes on terms: word weights as a table, two numbers a class on the driver.
+
+    A word's likelihood in a class is its lift over a word the class never saw; so a word has
+    entries for the classes it occurs in only. Priors are smoothed as the counts are.
+    """
+    mass = F.aggregate(TERMS, F.lit(0.0), lambda s, t: s + t["w"])
+    totals = {int(r[0]): (r["n"], r["mass"]) for r in df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"), F.sum(mass).alias("mass")).collect()}
+    if not totals:
+        raise ValueError("nothing to fit on")
+    notes = sum(n for n, _ in totals.values())
+    n, words = zip(*[totals.get(c, (0, 0.0)) for c in range(classes)])
+    counts = df.select(F.col(LABEL).cast("int").alias("class"), F.inline(TERMS)).groupBy("id", "class").agg(F.sum("w").alias("n"))
+    lift = F.log((F.col("n") + F.lit(smoothing)) / F.lit(smoothing))
+    lifts = counts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("class", lift.alias("lift")))).alias("lifts"))
+    return Classifier(
+        "bayes", [], classes, lifts=stage_table(lifts, "lifts"),
+        priors=[math.log((x + smoothing) / (notes + smoothing * classes)) for x in n],
+        floors=[math.log(smoothing / (x + smoothing * width)) for x in words],
+    )
+
+
 def _fit_bayes(df: DataFrame, c: FitContext) -> Classifier:
     model = NaiveBayes(labelCol=LABEL, featuresCol=FEATURES, modelType="multinomial", smoothing=1.0).fit(df)
     return Classifier("native", [model], c.classes)
@@ -473,8 +576,9 @@ def _fit_svm_short(df: DataFrame, c: FitContext) -> Classifier:
 
 
 def _fit_svm_rbf(df: DataFrame, c: FitContext) -> Classifier:
-    fourier = {"seed": 0, "inputs": c.width, "outputs": c.get("fourier", 256), "gamma": 1.0 / c.width}
-    mapped = df.withColumn(FEATURES, fourier_map(**fourier)(F.col(FEATURES)))
+    fourier = {"seed": 0, "outputs": c.get("fourier", 256), "gamma": c.get("gamma", 1.0 / c.width)}
+    fourier |= {"slots": c.get("slots", SLOTS)} if c.width > DENSE_WIDTH else {"inputs": c.width}
+    mapped = df.withColumn(FEATURES, kernel_map(fourier)(F.col(FEATURES)))
     fitted = calibrate(mapped, _margin(1.0 / max(c.rows, 1), c.get("max_iter", 100)), c.classes, c.key,
                        c.get("folds", 5), c.balanced)
     fitted.fourier = fourier
@@ -516,6 +620,7 @@ ALGORITHMS: dict[str, Callable[[DataFrame, FitContext], Classifier]] = {
     "dnn": _fit_perceptron,
 }
 NEEDS_COUNTS = {"nb"}
+READS_TERMS = {"nb", "adaboost"}  # of features with a dictionary
 
 
 def algorithm(code: str) -> Callable[[DataFrame, FitContext], Classifier]:
@@ -524,9 +629,17 @@ def algorithm(code: str) -> Callable[[DataFrame, FitContext], Classifier]:
     return ALGORITHMS[code]
 
 
-def fit_classifier(df: DataFrame, code: str, classes: int, key: str, balanced: bool = False, **options) -> Classifier:
-    """Fit ``code`` on ``(key, features, label_idx)``; the rows are cached while it runs."""
+def fit_classifier(df: DataFrame, code: str, classes: int, key: str, balanced: bool = False, width: int | None = None,
+                   **options) -> Classifier:
+    """Fit ``code`` on ``(key, features, label_idx)``; the rows are cached while it runs.
+
+    Where ``terms`` of a dictionary of ``width`` words are at hand, naive Bayes and boosting read these.
+    """
     trainer = algorithm(code)
+    if code in READS_TERMS and TERMS in df.columns and width is not None:
+        if code == "nb":
+            return fit_term_bayes(df, classes, width)
+        return Classifier("stumps", [], classes, stumps=boost_terms(df, LABEL, classes, options.get("rounds", 100)))
     wide = df.select(key, FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
     held = F.size(F.unwrap_udt(FEATURES)["values"])
     rows, values = wide.agg(F.count(F.lit(1)), F.sum(held)).first()
@@ -562,7 +675,7 @@ class Spec:
         algorithm(self.algorithm)
         if self.weighting not in FEATURISERS:
             raise ValueError(f"unknown vectoriser {self.weighting!r}")
-        if self.algorithm in NEEDS_COUNTS and self.weighting == "pv":
+        if self.algorithm in NEEDS_COUNTS and self.weighting in ("pv", PARAGRAPHS):
             raise ValueError(f"{self.algorithm} needs non-negative features")
 
     @property
@@ -575,28 +688,37 @@ class Bundle:
     """Everything needed to score new notes, saved under one folder."""
 
     spec: Spec
-    features: PipelineModel
+    features: Features
     classifier: Classifier
     labels: list[str]
+    key: str
 
-    def transform(self, notes: DataFrame) -> DataFrame:
-        """Adds ``probs``, ``prediction`` and ``pred_class``; other columns stay."""
-        ready = self.features.transform(with_feature(notes, self.spec.feature))
+    def transform(self, notes: DataFrame, key: str | None = None) -> DataFrame:
+        """Adds ``probs``, ``prediction`` and ``pred_class``; other columns stay. ``key`` names a note."""
+        key = key or self.key
+        ready = with_vectors(self.features, with_feature(notes, self.spec.feature), key)
         names = F.array(*[F.lit(x) for x in self.labels])
-        scored = self.classifier.transform(ready)
+        scored = self.classifier.transform(ready, key)
         scored = scored.withColumn("pred_class", names[F.col(PREDICTION).cast("int")])
         return scored.select(*notes.columns, PROBS, PREDICTION, "pred_class")
 
     def save(self, path: str, spark: SparkSession) -> None:
-        self.features.write().overwrite().save(f"{path}/features")
+        tables = None
+        if isinstance(self.features, PipelineModel):
+            self.features.write().overwrite().save(f"{path}/features")
+        else:
+            tables = self.features.save(f"{path}/features")
         self.classifier.save(path, spark)
-        write_json(spark, f"{path}/metadata", {"spec": asdict(self.spec), "labels": self.labels})
+        write_json(spark, f"{path}/metadata", {"spec": asdict(self.spec), "labels": self.labels, "key": self.key, "tables": tables})
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> Bundle:
         meta = read_json(spark, f"{path}/metadata")
-        return cls(Spec(**meta["spec"]), PipelineModel.load(f"{path}/features"),
-                   Classifier.load(path, spark), meta["labels"])
+        if meta["tables"]:
+            features = KEYED[meta["tables"]["kind"]].load(spark, f"{path}/features", meta["tables"])
+        else:
+            features = PipelineModel.load(f"{path}/features")
+        return cls(Spec(**meta["spec"]), features, Classifier.load(path, spark), meta["labels"], meta["key"])
 
 
 def with_feature(notes: DataFrame, feature: str) -> DataFrame:
@@ -610,20 +732,25 @@ def with_feature(notes: DataFrame, feature: str) -> DataFrame:
     return notes.withColumn("feature_text", F.concat_ws(" ", *parts))
 
 
-def fit_features(train: DataFrame, spec: Spec, **options) -> PipelineModel:
+def fit_features(train: DataFrame, spec: Spec, **options) -> Features:
+    """Fit on the training notes; ``options`` of :func:`featuriser`."""
     codes = not spec.feature.startswith(("bow", "text"))
     pipe = featuriser(spec.weighting, "feature_text", codes, **options)
     return pipe.fit(with_feature(train, spec.feature))
 
 
+def feature_width(features: Features) -> int | None:
+    return None if isinstance(features, PipelineModel) else features.width
+
+
 def fit_bundle(train: DataFrame, spec: Spec, key: str, label: str,
-               features: PipelineModel | None = None, feature_options: dict | None = None, **options) -> Bundle:
+               features: Features | None = None, feature_options: dict | None = None, **options) -> Bundle:
     indexer = label_indexer(label).fit(train)
     labels = list(indexer.labels)
-    features = features or fit_features(train, spec, **(feature_options or {}))
-    ready = indexer.transform(features.transform(with_feature(train, spec.feature)))
-    fitted = fit_classifier(ready, spec.algorithm, len(labels), key, spec.balanced, **options)
-    return Bundle(spec, features, fitted, labels)
+    features = features or fit_features(train, spec, key=key, label=label, **(feature_options or {}))
+    ready = indexer.transform(with_vectors(features, with_feature(train, spec.feature), key))
+    fitted = fit_classifier(ready, spec.algorithm, len(labels), key, spec.balanced, feature_width(features), **options)
+    return Bundle(spec, features, fitted, labels, key)
 
 
 # --------------------------------------------------------------------------
@@ -637,20 +764,44 @@ def history_table(spark: SparkSession, model: LogisticRegressionModel) -> DataFr
     return spark.createDataFrame(rows, "iteration bigint, loss double")
 
 
+def _class_weights(bundle: Bundle) -> list[tuple[str, np.ndarray]]:
+    """Term weights by class of linear models; of trees, one list for all classes."""
+    models, kind = bundle.classifier.models, bundle.classifier.kind
+    if kind == "stumps":
+        values = np.zeros(bundle.features.width)
+        for stump in bundle.classifier.stumps:
+            values[stump.id] += stump.vote
+        return [("*", values / values.sum())]
+    if kind in ("one_vs_rest", "calibrated") and bundle.classifier.fourier is None:
+        values = [m.coefficients.toArray() for m in models]
+        return list(zip(bundle.labels, [-values[0], values[0]] if len(bundle.labels) == 2 else values))
+    if hasattr(models[0], "featureImportances"):
+        votes = bundle.classifier.weights or [1.0] * len(models)
+        total = sum(w * m.featureImportances.toArray() for w, m in zip(votes, models))
+        return [("*", total / sum(votes))]
+    raise ValueError(f"{bundle.spec.algorithm} has no term weights")
+
+
 def top_features(spark: SparkSession, bundle: Bundle, n: int = 20) -> DataFrame:
-    """The ``n`` heaviest terms per class (linear models) or over all classes (trees)."""
-    terms = next(s.vocabulary for s in bundle.features.stages if hasattr(s, "vocabulary"))
-    rows = []
-    if bundle.classifier.kind in ("one_vs_rest", "calibrated"):
-        values = [m.coefficients.toArray() for m in bundle.classifier.models]
-        if len(bundle.labels) == 2:
-            values = [-values[0], values[0]]
-        weights = list(zip(bundle.labels, values))
-    elif hasattr(bundle.classifier.models[0], "featureImportances"):
-        weights = [("*", bundle.classifier.models[0].featureImportances.toArray())]
+    """The ``n`` heaviest terms per class, over all classes for trees. Words come from the dictionary by a join.
+
+    Linear models weigh by coefficient, boosted trees by importance times vote, naive Bayes by
+    log likelihood. Equal weights go to the more frequent word.
+    """
+    if not isinstance(bundle.features, TableFeatures):
+        raise ValueError(f"{bundle.spec.weighting!r} features have no words")
+    if bundle.classifier.kind == "bayes":
+        names = F.array(*[F.lit(x) for x in bundle.labels])
+        floors = F.array(*[F.lit(x) for x in bundle.classifier.floors])
+        rows = bundle.classifier.lifts.select("id", F.inline("lifts"))
+        rows = rows.select(F.get(names, F.col("class")).alias("class"), "id", (F.col("lift") + F.get(floors, F.col("class"))).alias("weight"))
+        # each task keeps its own first n of a class before anything is shuffled
+        place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("weight"), "id"))
+        top = rows.withColumn("place", place.cast("bigint")).where(F.col("place") <= n)
     else:
-        raise ValueError(f"{bundle.spec.algorithm} has no term weights")
-    for label, values in weights:
-        order = np.argsort(-values, kind="stable")[:n]
-        rows += [(label, place + 1, terms[i], float(values[i])) for place, i in enumerate(order)]
-    return spark.createDataFrame(rows, "class string, place bigint, word string, weight double")
+        best = []
+        for label, values in _class_weights(bundle):
+            order = np.argsort(-values, kind="stable")[:n]
+            best += [(label, place + 1, int(i), float(values[i])) for place, i in enumerate(order)]
+        top = spark.createDataFrame(best, "class string, place bigint, id int, weight double")
+    return named(top, bundle.features.dictionary, ["class", "id"]).select("class", "place", "word", "weight")

@@ -11,7 +11,7 @@ from noteforge.operators import cohort as K
 from noteforge.operators import features as V
 from noteforge.operators import models as M
 from noteforge.operators import tokens as T
-from noteforge.operators.joins import lookup_join
+from noteforge.operators.dictionary import named
 from noteforge.plans import sqltext as S
 from noteforge.plans.catalog import query
 from noteforge.plans.inputs import (
@@ -345,16 +345,39 @@ def hashing_tf(spark, sf):
     ).select("doc_id", F.col("x.slot").cast("bigint").alias("slot"), F.col("x.n").cast("bigint").alias("n"))
 
 
+def _vectorised(spark, sf, weighting: str):
+    """A dictionary fitted on the documents, and their sparse vectors in long form."""
+    notes = documents(spark, sf).select("doc_id", "text")
+    fitted = M.featuriser(weighting, "text").fit(notes)
+    rows = fitted.transform(notes, "doc_id").select("doc_id", F.unwrap_udt("features").alias("v")).select(
+        "doc_id", F.explode(F.arrays_zip(F.col("v.indices").alias("id"), F.col("v.values").alias("w"))).alias("x")
+    )
+    return fitted.dictionary, rows.select("doc_id", F.col("x.id").alias("id"), F.col("x.w").alias("w"))
+
+
+IDS_FROM_0 = f"{COUNTS}, ids AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS id FROM (SELECT word, sum(n) AS n FROM tf GROUP BY word))"
+
+
+@query("vectorised_counts", f"WITH {COUNTS} SELECT doc_id, word, n FROM tf")
+def vectorised_counts(spark, sf):
+    """Sparse count vectors, turned back into words."""
+    dictionary, rows = _vectorised(spark, sf, "freq")
+    return named(rows, dictionary, ["doc_id", "id"]).select("doc_id", "word", F.col("w").cast("bigint").alias("n"))
+
+
+@query("vector_counts", f"WITH {IDS_FROM_0} SELECT doc_id, id, n FROM tf JOIN ids USING (word)")
+def vector_counts(spark, sf):
+    """Sparse count vectors: word numbers and counts."""
+    _, rows = _vectorised(spark, sf, "freq")
+    return rows.select("doc_id", F.col("id").cast("bigint").alias("id"), F.col("w").cast("bigint").alias("n"))
+
+
 @query(
-    "vectorised_counts",
-    f"WITH {COUNTS} SELECT doc_id, word, n FROM tf",
+    "vector_tfidf",
+    f"WITH {TFIDF}, ids AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS id FROM (SELECT word, sum(n) AS n FROM tf GROUP BY word)) "
+    "SELECT doc_id, id, round(weight, 6) AS weight FROM weights JOIN ids USING (word)",
 )
-def vectorised_counts(spark, sf):
-    """Sparse count vectors, turned back into long form."""
-    notes = corpus_tokens(spark, sf)
-    model = M.freq_stages()[0].fit(notes)
-    words = spark.createDataFrame(list(enumerate(model.vocabulary)), "slot int, word string")
-    rows = model.transform(notes).select("doc_id", F.unwrap_udt("features").alias("v")).select(
-        "doc_id", F.explode(F.arrays_zip(F.col("v.indices").alias("slot"), F.col("v.values").alias("n"))).alias("x")
-    ).select("doc_id", F.col("x.slot").alias("slot"), F.col("x.n").cast("bigint").alias("n"))
-    return lookup_join(rows, words, "slot", spread_by=["doc_id", "slot"]).select("doc_id", "word", "n")
+def vector_tfidf(spark, sf):
+    """Sparse tf-idf vectors of unit length: word numbers and weights."""
+    _, rows = _vectorised(spark, sf, "tfidf")
+    return rows.select("doc_id", F.col("id").cast("bigint").alias("id"), F.round("w", 6).alias("weight"))

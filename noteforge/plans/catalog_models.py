@@ -11,17 +11,20 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import functions as F
 
 from noteforge.operators import models as M
-from noteforge.operators import splits
+from noteforge.operators import paragraphs, selection, solver, splits
+from noteforge.operators.attention import Shape, fit_attention
+from noteforge.operators.dictionary import named, term_rows
+from noteforge.operators.features import matrix_rows
 from noteforge.operators.metrics import weighted_scores
 from noteforge.plans import jobs
 from noteforge.plans.catalog import query
-from noteforge.plans.inputs import documents
+from noteforge.plans.inputs import DIM, corpus_tokens, corpus_words, doc_counts, documents, word_vectors
 from noteforge.plans.sqltext import CUES, content_tokens
 from noteforge.plans.sqltext import notes as notes_sql
-from noteforge.runtime import scratch_path
+from noteforge.runtime import scratch_path, stage_table
 from noteforge.sources.readers import table
 from noteforge.sources.writers import save_bundle
-from noteforge.streaming.score import note_stream, score_stream
+from noteforge.streaming.score import note_stream, score_stream, scored_notes
 
 
 def _texts(spark, sf):
@@ -67,7 +70,7 @@ def _vector_fit(code: str, **options):
         train, test = _halves(_vectors(spark, sf), "vec_id", M.LABEL)
         classes = int(train.agg(F.max(M.LABEL)).first()[0]) + 1
         fitted = M.fit_classifier(train, code, classes, "vec_id", **options)
-        return fitted.transform(test).select(
+        return fitted.transform(test, "vec_id").select(
             "vec_id", F.col(M.LABEL).alias("true"), F.col(M.PREDICTION).alias("pred"),
             F.array_max(M.PROBS).alias("share"),
         )
@@ -141,6 +144,7 @@ def _rounded(df):
 query("fit_svmlin")(_text_fit("svmlin", "tfidf"))
 query("fit_svmsgd")(_text_fit("svmsgd", "tfidf"))
 query("fit_svmrbf")(_vector_fit("svmrbf"))
+query("fit_svmrbf_text")(_text_fit("svmrbf", "tfidf", gamma=1.0, fourier=512))
 query("fit_rf")(_vector_fit("rf"))
 query("fit_adaboost")(_vector_fit("adaboost"))
 query("fit_mlp")(_vector_fit("mlp"))
@@ -155,13 +159,124 @@ def fit_embed_mlp(spark, sf):
     return _predictions(bundle.transform(test), "doc_id", "lang", bundle.labels)
 
 
+@query("doc_vectors_pv")
+def doc_vectors_pv(spark, sf):
+    """Paragraph vectors of the documents, trained on rotating blocks, in long form."""
+    _, vectors = paragraphs.fit(corpus_tokens(spark, sf), "doc_id", paragraphs.Settings(dim=50, passes=4))
+    return matrix_rows(vectors.withColumnRenamed("_key", "doc_id"), "doc_id")
+
+
+def _attention(spark, sf):
+    """A pool trained on 70 % of the documents against the language, judged on the rest; notes' counts, labels and word vectors."""
+    labels = M.label_indexer("lang").fit(_texts(spark, sf).where("lang IS NOT NULL"))
+    named = labels.setHandleInvalid("skip").transform(_texts(spark, sf)).select("doc_id", F.col(M.LABEL).cast("int").alias("y"))
+    marked = splits.stratified_split(named, "doc_id", "y")
+    counts, vectors = doc_counts(spark, sf), word_vectors(corpus_words(spark, sf))
+    shape = Shape(DIM, len(labels.labels), contexts=4)
+    pool, state = fit_attention(counts, "doc_id", named, vectors, shape, check=marked.where("NOT in_train"), steps=15)
+    return pool, state, counts, vectors, marked
+
+
+@query("attention_fit")
+def attention_fit(spark, sf):
+    """Documents pooled by trained attention, in long form."""
+    pool, _, counts, vectors, _ = _attention(spark, sf)
+    return matrix_rows(pool.pool(counts, "doc_id", vectors), "doc_id")
+
+
+@query("fit_attention_mlp")
+def fit_attention_mlp(spark, sf):
+    """Trained attention pools the notes, a small network classifies them."""
+    pool, _, counts, vectors, marked = _attention(spark, sf)
+    pooled = pool.pool(counts, "doc_id", vectors, marked.select("doc_id")).withColumn(M.FEATURES, array_to_vector("vec"))
+    ready = pooled.join(marked.select("doc_id", F.col("y").cast("double").alias(M.LABEL), "in_train"), "doc_id")
+    train, test = ready.where("in_train"), ready.where("NOT in_train")
+    fitted = M.fit_classifier(train, "dnn", pool.shape.classes, "doc_id")
+    return fitted.transform(test, "doc_id").select("doc_id", F.col(M.LABEL).alias("true"), F.col(M.PREDICTION).alias("pred"))
+
+
+@query("early_stop")
+def early_stop(spark, sf):
+    """History of a softmax regression that stops when the held-back vectors gain nothing."""
+    train, check = _halves(_vectors(spark, sf), "vec_id", M.LABEL)
+    classes = int(train.agg(F.max(M.LABEL)).first()[0]) + 1
+    rows = [stage_table(df.select(F.col(M.LABEL).cast("int").alias("y"), M.vector_to_array(M.FEATURES).alias("x")), "early") for df in (train, check)]
+    width = len(rows[0].first()["x"])
+    return solver.history_table(spark, solver.fit_softmax(rows[0], classes, width, rows[1], l2=1e-3))
+
+
+BOOST_ROUNDS = 3
+
+
+def _boost_sql() -> str:
+    """Boosted single words, then every document's vote shares."""
+    classes = sorted(CUES)
+    k = len(classes)
+    p = [f"sum(CASE WHEN y = {c} THEN w ELSE 0.0 END)" for c in range(k)]
+    first = lambda x: "CASE " + " ".join(f"WHEN {x}{c} = greatest({', '.join(f'{x}{j}' for j in range(k))}) THEN {c}" for c in range(k)) + " END"
+    best = lambda x: f"greatest({', '.join(f'{x}{j}' for j in range(k))})"
+    steps = []
+    for r in range(BOOST_ROUNDS):
+        sums = ", ".join(f"round({e}, {selection.DIGITS}) AS a{c}, round(any_value(t{c}) - {e}, {selection.DIGITS}) AS b{c}" for c, e in enumerate(p))
+        steps.append(f"""
+t{r} AS (SELECT {', '.join(f'{e} AS t{c}' for c, e in enumerate(p))}, sum(w) AS total FROM w{r}),
+s{r} AS (SELECT id, any_value(total) AS total, {sums} FROM post JOIN w{r} USING (doc_id) CROSS JOIN t{r} GROUP BY id),
+g{r} AS (SELECT id, total, {first('a')} AS x, {first('b')} AS z, round(total - {best('a')} - {best('b')}, {selection.DIGITS}) / total AS e FROM s{r} ORDER BY round(total - {best('a')} - {best('b')}, {selection.DIGITS}), id LIMIT 1),
+v{r} AS (SELECT *, ln((1 - e) / greatest(e, 1e-10)) + ln({k - 1}) AS vote FROM g{r}),
+c{r} AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM post JOIN v{r} USING (id)) THEN x ELSE z END AS said, vote FROM labels_ CROSS JOIN v{r}),
+w{r + 1} AS (SELECT doc_id, y, w * exp(CASE WHEN said <> y THEN vote ELSE 0 END) / (total * ((1 - e) + e * exp(vote))) AS w
+  FROM w{r} JOIN (SELECT doc_id, said FROM c{r}) USING (doc_id) CROSS JOIN v{r})""")
+    names = "CASE lang " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(classes)) + " END"
+    shares = [" + ".join(f"CASE WHEN c{r}.said = {c} THEN c{r}.vote ELSE 0 END" for r in range(BOOST_ROUNDS)) for c in range(k)]
+    total = " + ".join(f"c{r}.vote" for r in range(BOOST_ROUNDS))
+    return f"""WITH {notes_sql()},
+tf AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(toks) AS word FROM notes) GROUP BY doc_id, word),
+ids AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS id FROM (SELECT word, sum(n) AS n FROM tf GROUP BY word)),
+post AS (SELECT doc_id, id FROM tf JOIN ids USING (word)),
+labels_ AS (SELECT doc_id, {names} AS y FROM documents),
+w0 AS (SELECT doc_id, y, 1.0::DOUBLE / count(*) OVER () AS w FROM labels_),
+{",".join(steps)}
+SELECT doc_id, {", ".join(f"round(({e}) / ({total}), 6) AS p_{x}" for x, e in zip(classes, shares))}
+FROM {' JOIN '.join(f'c{r}' if not r else f'c{r} USING (doc_id)' for r in range(BOOST_ROUNDS))}"""
+
+
+@query("adaboost_text", _boost_sql())
+def adaboost_text(spark, sf):
+    """Three rounds of boosting over single words: vote shares of every document."""
+    bundle = M.fit_bundle(_texts(spark, sf), M.Spec("bow", "adaboost"), "doc_id", "lang", rounds=BOOST_ROUNDS)
+    scored = bundle.transform(_texts(spark, sf))
+    return scored.select("doc_id", *[F.round(F.col(M.PROBS)[i], 6).alias(f"p_{x}") for i, x in enumerate(bundle.labels)])
+
+
+SIZE_CLASS = "CASE WHEN n_chars < 1000 THEN 's' WHEN n_chars < 3000 THEN 'm' ELSE 'l' END"
+
+
+@query(
+    "chi2_features",
+    f"WITH {notes_sql()}, d AS (SELECT doc_id, {SIZE_CLASS} AS size FROM documents), "
+    "rows_ AS (SELECT doc_id, size, unnest(toks) AS word FROM notes JOIN d USING (doc_id)), "
+    "obs AS (SELECT word, size, count(*) AS o FROM rows_ GROUP BY word, size), tot AS (SELECT word, sum(o) AS t FROM obs GROUP BY word), "
+    "share AS (SELECT size, count(*) * 1.0::DOUBLE / sum(count(*)) OVER () AS p FROM d GROUP BY size), "
+    "stat AS (SELECT t.word, exp(-sum((coalesce(o.o, 0) - t.t * s.p) * (coalesce(o.o, 0) - t.t * s.p) / (t.t * s.p)) / 2) AS p "
+    "FROM tot t CROSS JOIN share s LEFT JOIN obs o ON o.word = t.word AND o.size = s.size GROUP BY t.word), "
+    "bound AS (SELECT max(p) AS b FROM (SELECT p, row_number() OVER (ORDER BY p, word) AS r, count(*) OVER () AS m FROM stat) WHERE p <= r * (0.05 / m)) "
+    "SELECT doc_id, word, count(*) AS n FROM rows_ JOIN stat USING (word) WHERE p <= (SELECT b FROM bound) GROUP BY doc_id, word",
+)
+def chi2_features(spark, sf):
+    """Counts of the words that differ between short, middle and long documents; three classes, so the tail is exp(-x / 2)."""
+    notes = documents(spark, sf).select("doc_id", F.col("text").alias("bow"), F.expr(SIZE_CLASS).alias("size"))
+    fitted = M.fit_features(notes, M.Spec("bow", "nb"), label="size", select="chi2")
+    rows = term_rows(M.with_vectors(fitted, M.with_feature(notes, "bow"), "doc_id"), "doc_id")
+    return named(rows, fitted.dictionary, ["_key", "id"]).select(F.col("_key").alias("doc_id"), "word", F.col("w").cast("bigint").alias("n"))
+
+
 @query("calibrated_probs")
 def calibrated_probs(spark, sf):
     """Calibrated class shares of held-out vectors; they sum to one."""
     train, test = _halves(_vectors(spark, sf), "vec_id", M.LABEL)
     classes = int(train.agg(F.max(M.LABEL)).first()[0]) + 1
     fitted = M.fit_classifier(train, "svmlin", classes, "vec_id")
-    return fitted.transform(test).select("vec_id", F.posexplode(M.PROBS).alias("class", "share"))
+    return fitted.transform(test, "vec_id").select("vec_id", F.posexplode(M.PROBS).alias("class", "share"))
 
 
 @query("cv_scores")
@@ -207,7 +322,7 @@ def stream_score(spark, sf):
     notes = note_stream(spark, sf, schema, "benchmark.parquet").select("item_id", F.col("text").alias("bow"))
     out = scratch_path(spark, "scored")
     score_stream(notes, bundle, "item_id", out, scratch_path(spark, "progress")).awaitTermination()
-    return _rounded(spark.read.parquet(out))
+    return _rounded(scored_notes(spark, out))
 
 
 @query("probe")
@@ -219,7 +334,7 @@ def probe(spark, sf):
     out = None
     for code in ("l1", "svmlin"):
         fitted = M.fit_classifier(train, code, classes, "vec_id")
-        preds = fitted.transform(test).select(F.col(M.LABEL).alias("true"), F.col(M.PREDICTION).alias("pred"))
+        preds = fitted.transform(test, "vec_id").select(F.col(M.LABEL).alias("true"), F.col(M.PREDICTION).alias("pred"))
         row = weighted_scores(preds).withColumn("algorithm", F.lit(code))
         out = row if out is None else out.unionByName(row)
     return out
@@ -228,7 +343,7 @@ def probe(spark, sf):
 def _count_features(spark, sf, weighting="freq"):
     notes = _texts(spark, sf)
     pipe = M.fit_features(notes, M.Spec("bow", "l2", weighting))
-    ready = pipe.transform(M.with_feature(notes, "bow"))
+    ready = M.with_vectors(pipe, M.with_feature(notes, "bow"), "doc_id")
     return pipe, M.label_indexer("lang").fit(notes).transform(ready).select("doc_id", M.FEATURES, M.LABEL)
 
 
@@ -246,6 +361,21 @@ def top_features(spark, sf):
     return M.top_features(spark, bundle)
 
 
+@query(
+    "top_features_nb",
+    f"WITH {notes_sql()}, "
+    + _bayes_sql("SELECT lang, toks FROM notes WHERE lang IS NOT NULL", "SELECT doc_id, toks FROM notes WHERE FALSE", "doc_id")
+    + ", wt AS (SELECT lang, lik.word, ln((lik.n + 1.0::DOUBLE) / (cls.words + (SELECT count(*) FROM voc))) AS weight, lik.n, "
+    "sum(lik.n) OVER (PARTITION BY lik.word) AS all_n FROM lik JOIN cls USING (lang)) "
+    "SELECT lang AS class, row_number() OVER (PARTITION BY lang ORDER BY n DESC, all_n DESC, word) AS place, word, round(weight, 6) AS weight "
+    "FROM wt QUALIFY place <= 20",
+)
+def top_features_nb(spark, sf):
+    """The twenty likeliest words of each language in naive Bayes."""
+    bundle = M.fit_bundle(_texts(spark, sf).where("lang IS NOT NULL"), M.Spec("bow", "nb"), "doc_id", "lang")
+    return M.top_features(spark, bundle).withColumn("weight", F.round("weight", 6))
+
+
 @query("tuned")
 def tuned(spark, sf):
     """Regularisation chosen on a validation share."""
@@ -266,10 +396,9 @@ def lasso_terms(spark, sf):
     pipe, ready = _count_features(spark, sf, "tfidf")
     model = LinearRegression(labelCol=M.LABEL, featuresCol=M.FEATURES, elasticNetParam=1.0, regParam=0.01, maxIter=100,
                              solver="l-bfgs").fit(ready)
-    terms = next(s.vocabulary for s in pipe.stages if hasattr(s, "vocabulary"))
     weights = model.coefficients.toArray()
-    rows = [(terms[i], float(weights[i])) for i in weights.nonzero()[0]]
-    return spark.createDataFrame(rows, "word string, weight double")
+    rows = spark.createDataFrame([(int(i), float(weights[i])) for i in weights.nonzero()[0]], "id int, weight double")
+    return named(rows, pipe.dictionary, ["id"]).select("word", "weight")
 
 
 @query("topics")
@@ -277,11 +406,6 @@ def topics(spark, sf):
     """Ten topics, the ten heaviest terms of each."""
     pipe, ready = _count_features(spark, sf)
     model = LDA(featuresCol=M.FEATURES, k=10, maxIter=20, seed=42, optimizer="online").fit(ready)
-    terms = next(s.vocabulary for s in pipe.stages if hasattr(s, "vocabulary"))
-    described = model.describeTopics(10)
-    rows = [
-        (int(r["topic"]), place + 1, terms[i], float(w))
-        for r in described.collect()
-        for place, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]))
-    ]
-    return spark.createDataFrame(rows, "topic bigint, place bigint, word string, weight double")
+    heavy = model.describeTopics(10).select(F.col("topic").cast("bigint").alias("topic"), F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("i", "x"))
+    rows = heavy.select("topic", (F.col("i") + 1).cast("bigint").alias("place"), F.col("x.termIndices").alias("id"), F.col("x.termWeights").alias("weight"))
+    return named(rows, pipe.dictionary, ["topic", "id"]).select("topic", "place", "word", "weight")

@@ -122,6 +122,61 @@ def dictionary_sql() -> str:
     )
 
 
+SENSE_WORDS = 40  # words with two senses each; as many words stand for either sense alone
+
+
+def sense_dictionary(notes: DataFrame) -> DataFrame:
+    """``(phrase, cui, freq)``: frequent words with two senses, and for either sense a word that has no other."""
+    words = T.words_of(notes).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = stage(top_ranked(words, [F.desc("n"), F.asc("word")], 3 * SENSE_WORDS, "r"))
+    place = (F.col("r") - 1) % SENSE_WORDS + 1
+    first = top.where(F.col("r") <= 2 * SENSE_WORDS).select(F.col("word").alias("phrase"), _cui(place).alias("cui"), F.col("n").alias("freq"))
+    second = top.where((F.col("r") <= SENSE_WORDS) | (F.col("r") > 2 * SENSE_WORDS)).select(
+        F.col("word").alias("phrase"), _cui(place + 5000).alias("cui"), F.floor(F.col("n") / 2).cast("bigint").alias("freq")
+    )
+    return stage(first.unionByName(second))
+
+
+def sense_dictionary_sql() -> str:
+    """CTEs ``notes``, ``dict``."""
+    from noteforge.plans.sqltext import notes
+
+    k = SENSE_WORDS
+    return (
+        notes(content=False)
+        + ", uni AS (SELECT w, n, row_number() OVER (ORDER BY n DESC, w) AS r FROM "
+        f"(SELECT w, count(*) AS n FROM (SELECT unnest(toks) AS w FROM notes) GROUP BY w) QUALIFY r <= {3 * k})"
+        f", dict AS (SELECT w AS phrase, 'C' || lpad(CAST((r - 1) % {k} + 1 AS VARCHAR), 7, '0') AS cui, n AS freq FROM uni WHERE r <= {2 * k} "
+        f"UNION ALL SELECT w, 'C' || lpad(CAST((r - 1) % {k} + 5001 AS VARCHAR), 7, '0'), n // 2 FROM uni WHERE r <= {k} OR r > {2 * k})"
+    )
+
+
+LONGEST_PHRASE = 8
+
+
+def long_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """``(phrase, cui)``: runs of 1 to 8 words of the benchmark passages, each run of two to eight words by the place it starts at."""
+    items = table(spark, sf, "benchmark").select("item_id", X.tokenize("text").alias("toks"))
+    starts = F.sequence(F.lit(1), F.size("toks"))
+    run = F.transform(starts, lambda i: F.struct((i - 1).alias("at"), F.slice("toks", i, (i - 1) % LONGEST_PHRASE + 1).alias("w")))
+    rows = items.select("item_id", F.inline(run)).where(F.size("w") == F.col("at") % LONGEST_PHRASE + 1)
+    phrases = rows.groupBy(F.array_join("w", " ").alias("phrase")).agg(F.min(F.struct("item_id", "at")).alias("first"))
+    return phrases.select("phrase", F.concat_ws("-", F.lit("B"), "first.item_id", "first.at").alias("cui"))
+
+
+def long_phrases_sql() -> str:
+    """CTEs ``notes``, ``phr``."""
+    from noteforge.plans.sqltext import notes, tokens
+
+    n = LONGEST_PHRASE
+    return (
+        notes(content=False)
+        + f", items AS (SELECT item_id, {tokens()} AS toks FROM benchmark)"
+        f", cuts AS (SELECT item_id, i - 1 AS spot, toks[i : i + (i - 1) % {n}] AS w FROM (SELECT item_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM items))"
+        f", phr AS (SELECT array_to_string(w, ' ') AS phrase, arg_min('B-' || item_id || '-' || spot, (item_id, spot)) AS cui FROM cuts WHERE len(w) = spot % {n} + 1 GROUP BY 1)"
+    )
+
+
 def matched(spark: SparkSession, sf: str) -> DataFrame:
     dictionary = concept_dictionary(corpus_tokens(spark, sf, stop=False))
     return C.concept_match(doc_tokens(spark, sf, stop=False), "doc_id", dictionary, staged=True)

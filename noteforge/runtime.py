@@ -37,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:  # the warehouse is on the session's own file system
+    if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         path = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)

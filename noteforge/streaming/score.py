@@ -24,18 +24,22 @@ def note_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 def score_stream(notes: DataFrame, bundle: Bundle, key: str, out: str, checkpoint: str,
                  once: bool = True, partition_by: Iterable[str] = ()) -> StreamingQuery:
-    """Append scored notes to ``out``.
+    """Write scored notes to ``out``, a folder ``batch=<number>`` for each batch.
 
-    Scoring keeps no state, so progress is the file log alone; the file sink
-    writes each batch exactly once.
+    A batch joins its terms with the model's tables, as in a batch job. Scoring keeps no state,
+    so progress is the file log alone; a batch that is repeated after a failure replaces its folder.
     """
-    writer = (
-        scored_columns(bundle, notes, key)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+
+    def write(batch: DataFrame, number: int) -> None:
+        writer = scored_columns(bundle, batch, key).write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(f"{out}/batch={number}")
+
+    writer = notes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def scored_notes(spark: SparkSession, out: str) -> DataFrame:
+    """All that a stream has written, without the number of the batch."""
+    return spark.read.parquet(out).drop("batch")

@@ -9,7 +9,7 @@ from noteforge.operators import bayes
 from noteforge.operators import models as M
 from noteforge.plans import jobs
 from noteforge.sources.writers import feature_of
-from noteforge.streaming.score import note_stream, score_stream
+from noteforge.streaming.score import note_stream, score_stream, scored_notes
 
 WORDS = {"heart": ["cardiac", "artery", "valve", "rhythm"], "lung": ["airway", "cough", "asthma", "oxygen"], "skin": ["rash", "itch", "lesion", "mole"]}
 
@@ -68,8 +68,9 @@ def test_feature_columns(notes):
 
 
 def test_own_tokenizer(notes):
-    pipe = M.featuriser("freq", "bow", tokens_sql="split(upper({text}), ' ')").fit(notes)
-    assert all(w == w.upper() for w in next(s for s in pipe.stages if hasattr(s, "vocabulary")).vocabulary)
+    fitted = M.featuriser("freq", "bow", tokens_sql="split(upper({text}), ' ')").fit(notes)
+    words = [r["word"] for r in fitted.dictionary.terms.collect()]
+    assert words and all(w == w.upper() for w in words)
 
 
 def test_tfidf_vectors_match_the_long_form(spark, notes):
@@ -78,8 +79,8 @@ def test_tfidf_vectors_match_the_long_form(spark, notes):
     from noteforge.plans.inputs import content
 
     pipe = M.fit_features(notes, M.Spec("bow", "l2", "tfidf"))
-    vocab = next(s for s in pipe.stages if hasattr(s, "vocabulary")).vocabulary
-    rows = pipe.transform(M.with_feature(notes, "bow")).select("fname", vector_to_array("features").alias("v")).collect()
+    vocab = {r["id"]: r["word"] for r in pipe.dictionary.terms.collect()}
+    rows = M.with_vectors(pipe, M.with_feature(notes, "bow"), "fname").select("fname", vector_to_array("features").alias("v")).collect()
     dense = {(r["fname"], vocab[i]): x for r in rows for i, x in enumerate(r["v"]) if x}
     tokens = notes.select("fname", content(F.col("bow")).alias("tokens"))
     long = tfidf(term_counts(tokens, "fname"), "fname", document_frequency(tokens), 90).collect()
@@ -126,9 +127,9 @@ def test_stream_equals_batch(spark, notes, tmp_path):
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     score_stream(stream, bundle, "fname", out, progress).awaitTermination()
     batch = jobs.scored_columns(bundle, notes, "fname").collect()
-    assert {tuple(r) for r in spark.read.parquet(out).collect()} == {tuple(r) for r in batch}
+    assert {tuple(r) for r in scored_notes(spark, out).collect()} == {tuple(r) for r in batch}
     score_stream(stream, bundle, "fname", out, progress).awaitTermination()
-    assert spark.read.parquet(out).count() == 90
+    assert scored_notes(spark, out).count() == 90
 
 
 def test_top_features_and_history(spark, notes):
@@ -144,6 +145,6 @@ def test_stemmed_features_survive_saving(spark, tmp_path):
     path = str(tmp_path / "model")
     bundle.save(path, spark)
     back = M.Bundle.load(path, spark)
-    words = next(s.vocabulary for s in back.features.stages if hasattr(s, "vocabulary"))
+    words = [r["word"] for r in back.features.dictionary.terms.collect()]
     assert sorted(words) == ["cat", "dog", "run"]
     assert back.transform(notes).where("fname = 'b'").first()["pred_class"] == "y"
