@@ -13,9 +13,9 @@ BAD = ["grumble", "snarl", "hiss", "growl"]
 
 
 def corpus(n, seed, share=0.4):
-    """Documents of random words; those with label 1 hold a few bad words."""
+    """Documents of the words of one language; those with label 1 hold a few bad words."""
     rng, out = random.Random(seed), []
-    pool = words(rng, 300)
+    pool = words(random.Random(0), 300)
     for i in range(n):
         text = [rng.choice(pool) for _ in range(rng.choice([5, 40, 150, 300]))]
         toxic = int(rng.random() < share)
@@ -28,7 +28,7 @@ def corpus(n, seed, share=0.4):
 
 @pytest.fixture(scope="module")
 def model():
-    taught = corpus(400, 1)
+    taught = corpus(1000, 1)
     return T.fit([t for t, _ in taught], [y for _, y in taught], 0.4)
 
 
