@@ -1,6 +1,7 @@
 """Features whose dictionary is a table."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from noteforge.operators import joins
 from noteforge.operators import models as M
-from noteforge.operators.dictionary import fit_dictionary, note_terms, sparse_vector, word_counts
+from noteforge.operators.dictionary import TERM_TYPE, fit_dictionary, note_terms, sparse_vector, unit_length, word_counts
 
 NOTES = "id string, word string, tokens array<string>"
 
@@ -83,3 +84,21 @@ def test_top_features_of_every_kind(spark):
         top = M.top_features(spark, bundle, 2).where("place = 1").collect()
         names = {"a": "apple", "b": "pear"}
         assert top and all(r["word"] == names[r["class"]] if r["class"] in names else r["word"] in names.values() for r in top), code
+
+
+def test_a_long_note_is_counted_in_proportion(spark):
+    """The sort of a note's tokens runs once, not for each token: 200,000 tokens took hours."""
+    long = spark.range(1).select(F.lit("long").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(199_999)), lambda i: F.concat(F.lit("w"), i % 1000)).alias("tokens"))
+    started = time.time()
+    got = word_counts(long).collect()
+    assert {(r["n"], r["df"]) for r in got} == {(200, 1)} and len(got) == 1000
+    assert time.time() - started < 60
+
+
+def test_unit_length_of_a_long_note_in_proportion(spark):
+    """The norm of a note is summed once, not for each term."""
+    ids = F.sequence(F.lit(0), F.lit(29_999))
+    long = spark.range(1).select(F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(2.0).alias("w"))).cast(TERM_TYPE).alias("terms"))
+    started = time.time()
+    got = long.repartition(1).select(F.explode(unit_length(F.col("terms"))).alias("t")).agg(F.sum(F.col("t.w") * F.col("t.w"))).first()[0]
+    assert got == pytest.approx(1.0) and time.time() - started < 15
