@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteforge import fixed
-from noteforge.operators.joins import lookup_join
+from noteforge.operators.joins import is_small, lookup_join
+from noteforge.runtime import stage
 
 MAX_PHRASE_WORDS = 3
 CONCEPT_TYPE = "array<struct<cui:string,tui:string,code:string,scheme:string>>"
@@ -96,8 +97,36 @@ def concept_match(notes: DataFrame, key: str, dictionary: DataFrame, tokens: str
 
     ``dictionary`` has ``(phrase, cui, tui, code, scheme)`` and optionally ``freq``.
     """
-    runs = phrases(notes, key, tokens, max_words)
-    return lookup_join(runs, dictionary, "phrase", spread_by=[key, "start", "words"], staged=staged)
+    dictionary = dictionary if staged else stage(dictionary)
+    runs = _likely_runs(notes, key, dictionary, tokens, max_words)
+    return lookup_join(runs, dictionary, "phrase", spread_by=[key, "start", "words"], staged=True)
+
+
+def _likely_runs(notes: DataFrame, key: str, dictionary: DataFrame, tokens: str, max_words: int) -> DataFrame:
+    """The runs of :func:`phrases` that may be a phrase of the dictionary, by the first word and the number of words.
+
+    Only for these a text is put together. A phrase may hold more blanks than its run has gaps,
+    as tokens may hold some, and fewer, as null tokens are left out; such runs stay in.
+    """
+    first = F.substring_index("phrase", " ", 1)
+    firsts = dictionary.groupBy(first.alias("_first")).agg(F.max(F.size(F.split("phrase", " "))).alias("_most"))
+    none = dictionary.sparkSession.range(1).select(F.lit(None).cast("string").alias("_first"), F.lit(max_words).alias("_most"))
+    firsts = stage(firsts.where(F.col("_first").isNotNull()).unionByName(none))
+    if not is_small(firsts):
+        return phrases(notes, key, tokens, max_words)
+    t = F.col(tokens)
+    rest = [F.get(t, F.col("_i") + n).alias(f"_w{n}") for n in range(1, max_words)]
+    # outer, so that no filter is inferred that computes the tokens again
+    places = notes.select(key, t, F.posexplode_outer(t).alias("_i", "_w0")).where(F.col("_i").isNotNull())
+    places = places.join(F.broadcast(firsts), F.substring_index("_w0", " ", 1).eqNullSafe(F.col("_first")))
+    places = places.select(key, (F.col("_i") + 1).cast("bigint").alias("start"), (F.size(t) - F.col("_i")).alias("_room"), "_most", "_w0", *rest)
+    runs, gap = [], F.lit(False)
+    for n in range(1, max_words + 1):
+        gap = gap | F.col(f"_w{n - 1}").isNull()
+        run = F.struct(F.lit(n).cast("bigint").alias("words"), F.concat_ws(" ", *[f"_w{i}" for i in range(n)]).alias("phrase"))
+        runs.append(F.when((F.col("_room") >= n) & ((F.col("_most") >= n) | gap), run))
+    rows = places.select(key, "start", F.explode_outer(F.array(*runs)).alias("_r")).where(F.col("_r").isNotNull())
+    return rows.select(key, "start", "_r.words", "_r.phrase")
 
 
 def concept_score(max_words: int = MAX_PHRASE_WORDS) -> Column:
