@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ from noteforge.operators.joins import lookup_join
 from noteforge.runtime import stage_table
 
 PART_NODES = 4_000_000  # nine bytes each
+SLICE_WORDS, REMEMBERED = 200_000, 250_000  # words that are Python objects at a time; words whose hash is kept
 NODE_TYPE = "depth int, node bigint, ends boolean"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,19 +128,31 @@ def walk(words: np.ndarray, room: np.ndarray, levels: list[Level]) -> tuple[np.n
     return np.concatenate([none, *places]), np.concatenate([none, *lengths])
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``SLICE_WORDS`` tokens or a little more: a batch has a number of notes, whatever their length."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = min(int(np.searchsorted(ends, before + SLICE_WORDS)) + 1, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _hits(notes: DataFrame, key: str, tokens: str, sent: Broadcast) -> DataFrame:
     rows = notes.select(F.col(key), F.col(tokens))
     schema = StructType([rows.schema[0]]).add("start", LongType()).add("words", LongType()).add("phrase", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered: dict[str | None, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
             if lists.null_count:
                 sizes[lists.is_null().to_numpy(zero_copy_only=False)] = 0
             flat = lists.flatten().to_pylist()
-            if len(remembered) > 1_000_000:
+            if len(remembered) > REMEMBERED:
                 remembered.clear()
             for word in set(flat) - remembered.keys():
                 remembered[word] = word_hash(word) if word is not None else 0
