@@ -102,3 +102,11 @@ def test_unit_length_of_a_long_note_in_proportion(spark):
     started = time.time()
     got = long.repartition(1).select(F.explode(unit_length(F.col("terms"))).alias("t")).agg(F.sum(F.col("t.w") * F.col("t.w"))).first()[0]
     assert got == pytest.approx(1.0) and time.time() - started < 15
+
+
+def test_sorts_of_the_dictionary_step_have_no_interpreted_comparator(notes):
+    """``array_sort`` calls a lambda for each comparison of two tokens; ``sort_array`` compares natively."""
+    fitted = fit_dictionary(notes)
+    for df in (word_counts(notes), note_terms(notes, "id", fitted, "freq")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_sort(" not in plan and "sort_array(" in plan
