@@ -148,3 +148,18 @@ def test_stemmed_features_survive_saving(spark, tmp_path):
     words = [r["word"] for r in back.features.dictionary.terms.collect()]
     assert sorted(words) == ["cat", "dog", "run"]
     assert back.transform(notes).where("fname = 'b'").first()["pred_class"] == "y"
+
+
+def test_a_forest_keeps_the_nodes_of_its_rows(spark, monkeypatch):
+    """Deep trees don't send the forest with each pass; the trees are those of a fit without kept nodes."""
+    fitted, fit = [], M.RandomForestClassifier.fit
+    monkeypatch.setattr(M.RandomForestClassifier, "fit", lambda self, df: fitted.append(self) or fit(self, df))
+    rng = random.Random(5)
+    rows = [(i, [rng.random() + i % 3, rng.random()], float(i % 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, label_idx double").coalesce(1)
+    df = df.select("id", M.array_to_vector("x").alias(M.FEATURES), M.LABEL).cache()
+    kept = M.fit_classifier(df, "rf", 3, "id", trees=4).models[0]
+    assert [e.getCacheNodeIds() for e in fitted] == [True]
+    plain = fit(fitted[0].copy({fitted[0].cacheNodeIds: False}), df)
+    tree = lambda m: m.toDebugString.split("\n", 1)[1]  # noqa: E731  without the fit's name
+    assert tree(kept) == tree(plain)
