@@ -15,12 +15,14 @@ Texts at ``THRESHOLD`` or more are linked, and classes are the connected texts.
    stand up to alignment are united by alternating large and small stars (of centres only, as
    other members just hang on one); a group of copies is one class from here on, at the cost of
    one pair for each text.
-4. Then members of different classes in one bucket are compared. Members are cut into classes of
-   size (no link crosses more than one border) and into blocks of ``BLOCK``; a task holds the word
-   pairs of two blocks as hashed counts, and a matrix product bounds what two members can share:
-   d edits leave n - 1 - 2 d word pairs alike. Of the pairs that pass, each class names its most
-   promising one, these are aligned, and classes united. As most classes are one then, few pairs
-   remain; the next round names ``MORE`` times as many of each class, until none has any left.
+4. Then members of different classes in one bucket are compared, in one pass over the buckets that
+   hold several classes. Members are cut into classes of size (no link crosses more than one
+   border) and into blocks of ``BLOCK``; the largest class of a bucket, which often holds nearly all
+   of it, goes to the others' blocks only. A task holds the words of two blocks. It leaves out
+   pairs that meet in an earlier bucket too, and bounds what the others can share by a matrix
+   product of hashed counts of word pairs: d edits leave n - 1 - 2 d word pairs alike. Of the pairs
+   that pass, each class names its most promising one, these are aligned, and classes united;
+   then it names ``MORE`` times as many, until none has any left. Only links leave the task.
 
 So every pair that shares a sketch is compared or already in one class, and no bucket's pairs
 are written out. A centre's words are sent to ``SLOTS`` places at most, and its pairs are spread
@@ -54,7 +56,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKS = 40, 3
 SLOTS = 256
 BLOCK, BLOCK_BYTES = 512, 4 << 20
-MORE = 8  # times as many pairs of a class in the next round
+MORE = 8  # times as many pairs of a class in the next turn
 NARROW, WIDER = 32, 4  # the first band, and how much wider the next one is
 MANY = 64  # places of a word from which on they are one number
 LONG = 8192  # word pairs beyond which a text isn't bounded by them
@@ -270,19 +272,9 @@ def similar_udf(threshold: float):
     return similar
 
 
-def pairs_udf():
-    """Number of words, and 16 bits of each word pair; none of very long texts."""
-
-    @F.arrow_udf("struct<size:bigint,grams:binary>")
-    def pairs(words: pa.Array) -> pa.Array:
-        size, grams = [], []
-        for w in words.to_pylist():
-            h = word_hashes(w)
-            size.append(len(h))
-            grams.append((shingles(h, 2) >> np.uint64(48)).astype(np.uint16).tobytes() if 2 <= len(h) <= LONG else None)
-        return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(grams, pa.binary())], ["size", "grams"])
-
-    return pairs
+def word_pairs(h: np.ndarray) -> bytes | None:
+    """16 bits of each word pair; none of very long texts."""
+    return (shingles(h, 2) >> np.uint64(48)).astype(np.uint16).tobytes() if 2 <= len(h) <= LONG else None
 
 
 def _counts(grams: list[bytes | None], slots: int) -> np.ndarray:
@@ -405,27 +397,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     involved = members.select(F.col("node").alias("id")).distinct()
     as_words = F.arrow_udf("binary")(lambda t: pa.array([word_bytes(x) for x in t.to_pylist()], pa.binary()))
     found = rows.join(involved, "id").select(F.col("id").alias("node"), as_words("text").alias("words"))
-    words = work.put(found.groupBy("node").agg(F.min("words").alias("words")) if _ids_repeat(sketched) else found, "words")
+    repeat = _ids_repeat(sketched)
+    words = work.put(found.groupBy("node").agg(F.min("words").alias("words")) if repeat else found, "words")
     tried = work.put(_proposed(members), "tried")
     links = work.put(_verified(tried, words, threshold), "links")
     root = united(links, work)
-    left, grams, keep = members, None, 1
-    while True:
-        left = work.put(_apart(left, root), "apart")
-        if left.isEmpty():
-            break
-        if grams is None:
-            nodes = left.select("node").distinct()
-            grams = work.put(words.join(nodes, "node").withColumn("c", pairs_udf()("words")).select("node", "c.size", "c.grams"), "grams")
-        found = work.put(_within(left, grams, threshold, keep), "found")
-        pairs = work.put(_untried(found, tried), "pairs")
-        more = work.put(_verified(pairs, words, threshold), "more")
+    left = work.put(_apart(members, root), "apart")
+    if not left.isEmpty():
+        # of an id that repeats, one of any number of buckets
+        own = F.array(F.min("value")) if repeat else F.collect_set("value")
+        held = work.put(words.join(left.groupBy("node").agg(own.alias("values")), "node").withColumn("size", _n_words("words")), "held")
+        more = work.put(_within(left, held, threshold), "more")
         if not more.isEmpty():
             root = joined(root, more, work)
-        if found.where("cut").isEmpty():  # every class has had all its candidates
-            break
-        tried = work.put(tried.unionByName(pairs), "tried")
-        keep *= MORE
     classes = ids.join(root, "node", "left").select("e1", "e2", F.coalesce("root", "node").alias("root"))
     out = sketched.join(classes, ["e1", "e2"], "left").select("id", F.coalesce("root", "id").alias("c"))
     done = work.put(out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.nullif("c", F.lit(NO_ID)).alias("class_id")), "classes")
@@ -437,11 +421,10 @@ def _ids_repeat(sketched: DataFrame) -> bool:
     return not sketched.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs that were not compared yet, in either order."""
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    seen = tried.select(low.alias("a"), high.alias("b"))
-    return pairs.select(low.alias("a"), high.alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
+def _n_words(words: str):
+    """How many words stand between single blanks."""
+    blanks = F.octet_length(words) - F.octet_length(F.translate(F.col(words).cast("string"), " ", ""))
+    return F.when(F.octet_length(words) > 0, blanks + 1).otherwise(0).cast("bigint")
 
 
 def _proposed(members: DataFrame) -> DataFrame:
@@ -460,32 +443,51 @@ def _apart(members: DataFrame, root: DataFrame) -> DataFrame:
     return placed.join(several.select("value"), "value")
 
 
-def _within(apart: DataFrame, grams: DataFrame, threshold: float, keep: int) -> DataFrame:
-    """``(a, b, cut)``: pairs of members of one bucket and different classes that can be similar.
-
-    In each group of members a class names its ``keep`` most promising pairs; ``cut`` tells that it had more.
-    """
+def _within(apart: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` of members of one bucket and different classes; not those that other links of the group imply."""
     # a link joins neighbouring classes of size at most: members are guests in the next one
     border = float(np.log(1 / threshold) * (1 + 1e-9)) if threshold < 1 else 1.0
-    classed = apart.join(grams.select("node", "size"), "node").withColumn("k", F.floor(F.log("size") / F.lit(border)))
+    sizes = held.select("node", F.floor(F.log("size") / F.lit(border)).alias("k"), F.octet_length("words").cast("bigint").alias("bytes"))
     homes = F.array(F.struct("k", F.lit(False).alias("guest")), F.struct((F.col("k") + 1).alias("k"), F.lit(True).alias("guest")))
-    placed = classed.select("value", "node", "root", "size", F.explode(homes).alias("h")).select("value", "node", "root", "size", "h.k", "h.guest")
-    need = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum(F.least("size", F.lit(LONG)) * 2) / F.lit(BLOCK_BYTES))
+    placed = apart.join(sizes, "node").select("value", "node", "root", "bytes", F.explode(homes).alias("h")).select("value", "node", "root", "bytes", "h.k", "h.guest")
     # a group whose members are all guests or of one class has nothing to compare
-    groups = placed.groupBy("value", "k").agg(
-        F.ceil(need).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("guest").alias("guests")
-    ).where("low <> high AND NOT guests")
-    met = placed.join(groups.select("value", "k", "blocks"), ["value", "k"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # two blocks meet in one group, and a block's own pairs are compared where it meets the next one
-    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
+    parts = placed.groupBy("value", "k", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("guest").alias("guest"))
+    groups = parts.groupBy("value", "k").agg(
+        F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"),
+        F.count(F.lit(1)).alias("classes"), F.min("guest").alias("guests"),
+    ).where("classes > 1 AND NOT guests")
+    need = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("bigint")
+    groups = groups.select(
+        "value", "k", F.col("top.root").alias("top"), need(F.col("top.n"), F.col("top.bytes")).alias("tops"),
+        need(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rest"),
+    )
+    # the largest class has blocks 0 to tops - 1 and meets the others'; these meet all blocks, and their own pairs are compared with block 0
+    met = placed.join(groups, ["value", "k"]).withColumn("first", F.when(F.col("root") == F.col("top"), F.lit(0)).otherwise(F.col("tops")).cast("bigint"))
+    met = met.withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.when(F.col("first") == 0, F.col("tops")).otherwise(F.col("rest"))))
+    from_, to = F.when(F.col("first") == 0, F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("rest") - 1
+    others = F.filter(F.sequence(from_.cast("bigint"), to), lambda x: x != F.col("own"))
     dealt = met.withColumn("other", F.explode(others)).select(
         "value", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "guest", "own",
-        (F.col("other") == (F.col("own") + 1) % F.col("blocks")).alias("inside"),
+        (F.col("other") == 0).alias("inside"),
     )
     keys = ["value", "k", "i", "j"]
-    blocks = dealt.join(grams, "node").repartition(*keys).sortWithinPartitions(*keys)
-    rows = blocks.select(*keys, "node", "root", "guest", "own", "inside", "size", "grams")
-    return map_arrow(rows, _compare(threshold, keep), "a bigint, b bigint, cut boolean")
+    blocks = dealt.join(held, "node").repartition(*keys).sortWithinPartitions(*keys)
+    rows = blocks.select(*keys, "node", "root", "guest", "own", "inside", "words", "values")
+    return map_arrow(rows, _compare(threshold), "a bigint, b bigint")
+
+
+def meet_before(value: int, values: list[list[int]]) -> np.ndarray:
+    """Whether two members of the bucket ``value`` share one of a smaller value too, by the buckets of each."""
+    at: dict[int, list[int]] = {}
+    for i, own in enumerate(values):
+        for v in own:
+            if v < value:
+                at.setdefault(v, []).append(i)
+    out = np.zeros((len(values), len(values)), bool)
+    for places in at.values():
+        if len(places) > 1:
+            out[np.ix_(places, places)] = True
+    return out
 
 
 def promising(score: np.ndarray, first: np.ndarray, second: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -501,22 +503,47 @@ def promising(score: np.ndarray, first: np.ndarray, second: np.ndarray, keep: in
     return kept, np.isin(first[kept], more) | np.isin(second[kept], more)
 
 
-def _compare(threshold: float, keep: int):
-    def pairs_of(group: list[tuple]) -> tuple[list[int], list[int], list[bool]]:
-        node, root, own, size = (np.array([r[i] for r in group], np.int64) for i in (4, 5, 7, 9))
+def links_of(score: np.ndarray, texts: list[np.ndarray], root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Linked pairs of the members that can be similar (a score above minus infinity) until their classes are united.
+
+    In each turn the classes name their most promising pairs. A pair is left out once its classes are one.
+    """
+    a, b = np.nonzero(score > -np.inf)
+    best, out, keep = score[a, b], [], 1
+    _, root = np.unique(root, return_inverse=True)
+    while len(a):
+        kept, _ = promising(best, root[a], root[b], keep)
+        for p in kept[np.argsort(-best[kept], kind="stable")]:
+            i, j = a[p], b[p]
+            if root[i] != root[j] and similarity(texts[i], texts[j], threshold):
+                out.append((int(i), int(j)))
+                root = np.where(root == root[j], root[i], root)
+        left = root[a] != root[b]
+        left[kept] = False
+        a, b, best, keep = a[left], b[left], best[left], keep * MORE
+    return out
+
+
+def _compare(threshold: float):
+    def pairs_of(group: list[tuple]) -> tuple[list[int], list[int]]:
+        node, root, own = (np.array([r[i] for r in group], np.int64) for i in (4, 5, 7))
         guest, inside = (np.array([r[i] for r in group]) for i in (6, 8))
         fit = (root[:, None] != root[None, :]) & ((own[:, None] != own[None, :]) | inside[:, None])
         fit &= ~(guest[:, None] & guest[None, :]) & (node[:, None] < node[None, :])
-        if not fit.any():
-            return [], [], []
-        score = np.where(fit, reachable(size, [r[10] for r in group], threshold), -np.inf)
-        a, b = np.nonzero(score > -np.inf)
-        kept, cut = promising(score[a, b], root[a], root[b], keep)
-        return node[a[kept]].tolist(), node[b[kept]].tolist(), cut.tolist()
+        if fit.any():
+            fit &= ~meet_before(group[0][0], [r[10] for r in group])
+        used = np.flatnonzero(fit.any(axis=0) | fit.any(axis=1))
+        if not len(used):
+            return [], []
+        texts = [word_hashes(group[i][9]) for i in used]
+        bound = reachable(np.array([len(t) for t in texts], np.int64), [word_pairs(t) for t in texts], threshold)
+        score = np.where(fit[np.ix_(used, used)], bound, -np.inf)
+        found = links_of(score, texts, root[used], threshold)
+        return [int(node[used[i]]) for i, _ in found], [int(node[used[j]]) for _, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         group: list[tuple] = []
-        out: dict[str, list] = {"a": [], "b": [], "cut": []}
+        out: dict[str, list] = {"a": [], "b": []}
 
         def close() -> None:
             for values, more in zip(out.values(), pairs_of(group)):
@@ -529,7 +556,7 @@ def _compare(threshold: float, keep: int):
                     group.clear()
                 group.append(row)
             yield out
-            out = {"a": [], "b": [], "cut": []}
+            out = {"a": [], "b": []}
         if group:
             close()
             yield out

@@ -273,5 +273,54 @@ def test_classes_name_their_best_pairs():
     assert kept.tolist() == [0, 1, 2, 3] and not cut.any()
 
 
+def test_border_copies_are_compared_in_one_pass(spark, monkeypatch):
+    """Copies at the border of the threshold stay in several classes; their buckets are gone over once."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    passes, within = [], neardup._within
+    monkeypatch.setattr(neardup, "_within", lambda *a: passes.append(a[0].count()) or within(*a))
+    rng = random.Random(12)
+    rows = [*star(rng, 60, 100, 0.1), *[(100 + i, t) for i, t in star(rng, 60, 100, 0.21)]]
+    base = rows[60][1].split()
+    rows += [(200 + i, " ".join(w if k % 5 else f"far{i}x{k}" for k, w in enumerate(base))) for i in range(5)]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(spark, rows)).collect()}
+    assert got == classes(rows) and len(set(got.values())) > 20
+    assert len(passes) == 1 and passes[0] > 20
+
+
+def test_largest_class_of_a_bucket_is_dealt_once(spark, monkeypatch):
+    """A bucket of one large class and a few others: rows grow with its members, not with their square."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    dealt = []
+    monkeypatch.setattr(neardup, "map_arrow", lambda rows, *_: dealt.append(rows) or rows)
+    held = [(i, b" ".join(b"w%d" % k for k in range(50)), 50, [7]) for i in range(200)]
+    held = spark.createDataFrame(held, "node bigint, words binary, size bigint, values array<bigint>")
+    apart = held.selectExpr("7L AS value", "node", "IF(node < 197, 0L, node) AS root")
+    neardup._within(apart, held, 0.8)
+    rows = dealt[0].collect()
+    assert len(rows) < 400
+    cells = {}
+    for r in rows:
+        cells.setdefault((r["value"], r["k"], r["i"], r["j"]), []).append(r)
+    met = [tuple(sorted((x["node"], y["node"]))) for c in cells.values() for x in c for y in c
+           if x["node"] < y["node"] and x["root"] != y["root"] and (x["own"] != y["own"] or x["inside"])]
+    assert sorted(met) == [(i, j) for i in range(200) for j in range(max(i + 1, 197), 200)]
+
+
+def test_links_leave_out_what_is_one_class():
+    texts = [of("a b c d e f g h i j"), of("a b c d e f g h i x"), of("a b c d e f g h y j"), of("k l m n o p q r s t")]
+    score = np.triu(np.full((4, 4), 0.5), 1)
+    score[score == 0] = -np.inf
+    found = neardup.links_of(score, texts, np.array([5, 6, 7, 8]), 0.8)
+    assert len(found) == 2 and components(found) == {0: 0, 1: 0, 2: 0}
+    assert neardup.links_of(score, texts, np.array([5, 5, 5, 8]), 0.8) == []
+
+
+def test_pairs_meet_in_their_first_bucket():
+    got = neardup.meet_before(5, [[9, 5, 1], [1, 5], [5, 3, -2], [5, -2, 9]])
+    want = np.zeros((4, 4), bool)
+    want[0, 1] = want[1, 0] = want[2, 3] = want[3, 2] = True
+    assert (got | np.eye(4, dtype=bool) == want | np.eye(4, dtype=bool)).all()
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
