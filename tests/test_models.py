@@ -163,3 +163,23 @@ def test_a_forest_keeps_the_nodes_of_its_rows(spark, monkeypatch):
     plain = fit(fitted[0].copy({fitted[0].cacheNodeIds: False}), df)
     tree = lambda m: m.toDebugString.split("\n", 1)[1]  # noqa: E731  without the fit's name
     assert tree(kept) == tree(plain)
+
+
+def test_parts_of_a_solver(spark):
+    wide = spark.range(100).repartition(64)
+    most = M.FIT_TASKS * spark.sparkContext.defaultParallelism
+    assert M.solver_parts(wide, 100, 50) == 1
+    assert M.solver_parts(wide, 10**9, 50) == min(64, most)
+    assert M.solver_parts(wide, 3 * M.FIT_PART_BYTES // 12, 50) == 3
+    assert M.solver_parts(wide, 3 * M.FIT_PART_BYTES // 12, M.FIT_PART_BYTES) == 1  # each part sends a wide gradient
+
+
+def test_lasso_reads_its_vectors_once(spark, sf, monkeypatch):
+    """The vectors are kept and lie in few parts when the solver starts."""
+    from noteforge.plans import catalog_models as C
+
+    seen, fit = [], C.LinearRegression.fit
+    monkeypatch.setattr(C.LinearRegression, "fit", lambda self, df: seen.append(
+        ("InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString(), df.rdd.getNumPartitions())) or fit(self, df))
+    assert C.lasso_terms(spark, sf).count() > 0
+    assert seen == [(True, 1)]
