@@ -8,7 +8,7 @@ taken up again, and judges each step on validation rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 MEMORY = 8  # curvature pairs
 HALVINGS = 12
 RowsLoss = Callable[[pa.RecordBatch, np.ndarray], tuple[float, np.ndarray]]
+Walk = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]  # yields parameters, is sent their loss and slope
 
 
 def summed(rows: DataFrame, loss: RowsLoss, params: np.ndarray, gradient: bool = True) -> tuple[float, np.ndarray]:
@@ -111,6 +112,84 @@ def improve(
     return state
 
 
+# --- walks that share their passes ------------------------------------------------
+
+
+SEARCHES = 20  # steps of a line search
+GROW, ARMIJO, WOLFE, LEAST = 2.1, 1e-4, 0.9, 1e-10
+SEEN = 20  # losses that a walk looks back on
+
+
+def together(walks: list[Walk], losses: Callable[[list[int], list[np.ndarray]], list[tuple[float, np.ndarray]]]) -> list[np.ndarray]:
+    """Where the walks end. What all of them ask for is found at once: ``losses`` gets their numbers and parameters."""
+    asked, ends = {i: next(walk) for i, walk in enumerate(walks)}, [np.zeros(0)] * len(walks)
+    while asked:
+        ids = list(asked)
+        for i, found in zip(ids, losses(ids, list(asked.values()))):
+            try:
+                asked[i] = walks[i].send(found)
+            except StopIteration as end:
+                ends[i] = end.value
+                del asked[i]
+    return ends
+
+
+def signed_steps(params: np.ndarray, steps: int, tolerance: float, memory: int = 10) -> Walk:
+    """At most ``steps`` quasi-Newton steps, in each of which a parameter may reach zero but not cross it.
+
+    For losses with kinks, with the same steps and stops as the margin machines of ``pyspark.ml``: until
+    the loss is near the worst of the last twenty, or the slope is small, or a search fails twice in a row.
+    """
+    value, slope = yield params
+    first, seen, pairs, step, failed = value, [], [], 0, False
+    while step < steps and np.linalg.norm(slope) > max(tolerance * abs(value), 1e-8):
+        if len(seen) == SEEN and abs(value - max(seen)) <= tolerance * abs(first):
+            break
+        way = direction(slope, pairs) if not pairs or pairs[-1][0] @ pairs[-1][1] > 0 else np.full_like(slope, np.nan)
+        way = np.where(way * slope < 0, way, np.where(np.isnan(way), way, 0.0))
+        side = np.where(params != 0, np.sign(params), np.sign(-slope))
+        size, shrink = (1.0, 0.5) if step else (0.5 / np.linalg.norm(slope), 0.1)
+        found = (yield from _searched(params, value, slope, way, side, size, shrink)) if np.isfinite(way).all() else None
+        if found is None:
+            if failed:
+                break
+            failed, pairs = True, []
+            continue
+        new, new_value, new_slope = found
+        pairs = [*pairs[-memory + 1 :], (new - params, new_slope - slope)]
+        params, value, slope, failed, step = new, new_value, new_slope, False, step + 1
+        seen = [*seen[-SEEN + 1 :], value]
+    return params
+
+
+def _searched(params: np.ndarray, value: float, slope: np.ndarray, way: np.ndarray, side: np.ndarray, size: float, shrink: float):
+    """Parameters along ``way`` with their loss and slope, shrinking and growing the step; None if it gets too small."""
+    down = way @ slope
+
+    def at(size: float) -> np.ndarray:
+        new = params + way * size
+        return np.where(np.sign(new) == side, new, 0.0)
+
+    # the first step is shrunk wherever the way leads down, so its loss isn't asked for
+    low, found = value, None
+    for search in range(SEARCHES):
+        if low > value + size * down * ARMIJO:
+            times = shrink
+        else:
+            if found is None:
+                found = (at(size), *(yield at(size)))
+            steep = found[2] @ way
+            times = GROW if steep < WOLFE * down else shrink if steep > -WOLFE * down else 1.0
+        if times == 1.0 or search == SEARCHES - 1:
+            break
+        size *= times
+        if size < LEAST:
+            return None
+        found = (at(size), *(yield at(size)))
+        low = found[1]
+    return found
+
+
 def history_table(spark: SparkSession, state: State) -> DataFrame:
     """``(iteration, loss, validation, kept)``, one row a step; ``kept`` marks the parameters that stay."""
     rows = [(k, float(a), float(b), k == state.best_step) for k, a, b in state.history]
