@@ -511,9 +511,9 @@ def fit_sigmoids(scored: DataFrame, classes: int) -> list[tuple[float, float]]:
     return side_by_side(scored.sparkSession, fit_sigmoid, list(range(classes)))
 
 
-def calibrate_kernel(df: DataFrame, fourier: dict, classes: int, key: str, reg: float, max_iter: int, folds: int = 5,
+def calibrate_kernel(df: DataFrame, fourier: dict, classes: int, key: str, n: int, max_iter: int, folds: int = 5,
                      balanced: bool = False) -> Classifier:
-    """As :func:`calibrate`, on kernel features; the machines of all folds and classes share their passes over the rows."""
+    """As :func:`calibrate`, on kernel features of ``n`` rows; the machines of all folds and classes share their passes over them."""
     width, parts = fourier["outputs"], df.rdd.getNumPartitions()
     folded = stratified_folds(df.select(key, FEATURES, LABEL), key, LABEL, folds).coalesce(parts)
     rows = folded.select(LABEL, F.col("fold").cast("int").alias("fold"), kernel_map(fourier)(F.col(FEATURES)).alias("x"))
@@ -522,9 +522,10 @@ def calibrate_kernel(df: DataFrame, fourier: dict, classes: int, key: str, reg:
     counts = class_counts(rows) if balanced else None
     targets = [1] if classes == 2 else list(range(classes))
     machines = [Machine(c, f, *(_sides(counts, c) if counts else ())) for f in [*range(folds), None] for c in targets]
-    planes = np.stack(fit_machines(rows, blocks, machines, width, reg, max_iter, MARGIN_TOLERANCE)).reshape(folds + 1, len(targets), width + 1)
+    planes = np.stack(fit_machines(rows, blocks, machines, width, 1.0 / max(n, 1), max_iter, MARGIN_TOLERANCE)).reshape(folds + 1, len(targets), width + 1)
     margins = F.array(*both_sides([F.col("m")[i] for i in range(len(targets))]))
     scored = stage(unseen_margins(blocks, planes).select(F.col("y").alias(LABEL), margins.alias("m")))
+    scored = scored.coalesce(min(parts, math.ceil(n * classes * 12 / FIT_PART_BYTES)))  # far narrower than what they are made of
     blocks.unpersist()
     rows.unpersist()
     return Classifier("calibrated", [], classes, sigmoids=fit_sigmoids(scored, classes), fourier=fourier, planes=planes[folds].tolist())
@@ -626,7 +627,7 @@ def _fit_svm_short(df: DataFrame, c: FitContext) -> Classifier:
 def _fit_svm_rbf(df: DataFrame, c: FitContext) -> Classifier:
     fourier = {"seed": 0, "outputs": c.get("fourier", FOURIER), "gamma": c.get("gamma", 1.0 / c.width)}
     fourier |= {"slots": c.get("slots", SLOTS)} if c.width > DENSE_WIDTH else {"inputs": c.width}
-    return calibrate_kernel(df, fourier, c.classes, c.key, 1.0 / max(c.rows, 1), c.get("max_iter", 100), c.get("folds", 5), c.balanced)
+    return calibrate_kernel(df, fourier, c.classes, c.key, c.rows, c.get("max_iter", 100), c.get("folds", 5), c.balanced)
 
 
 def _fit_forest(df: DataFrame, c: FitContext) -> Classifier:
