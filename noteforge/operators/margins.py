@@ -9,13 +9,13 @@ the machines are the same up to rounding.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,7 @@ from noteforge.operators.solver import signed_steps, together
 
 BLOCK_BYTES = 1 << 20
 MOST_SUMS = 64  # of tasks that the driver adds up itself
-BLOCK_TYPE = "y array<double>, fold array<int>, x binary"
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]  # labels, folds and matrix of some rows
 
 
 @dataclass(frozen=True)
@@ -38,8 +38,11 @@ class Machine:
     other: float = 1.0
 
 
-def blocks_of(rows: DataFrame, width: int) -> DataFrame:
-    """Rows ``(label, fold, array)`` as blocks of about a megabyte, within their parts."""
+def blocks_of(rows: DataFrame, width: int) -> RDD[Block]:
+    """Rows ``(label, fold, array)`` as blocks of about a megabyte, within their parts.
+
+    Not a frame: each of many passes would plan all that the rows are made from anew, and the driver would keep the plans.
+    """
     most = max(1, BLOCK_BYTES // (8 * width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,18 +52,11 @@ def blocks_of(rows: DataFrame, width: int) -> DataFrame:
                 x = part.column(2).flatten().to_numpy(zero_copy_only=False)
                 if part.column(0).null_count or part.column(2).null_count or len(x) != len(part) * width or not np.isfinite(x).all():
                     raise ValueError("labels and vectors must hold finite numbers of the same width, no nulls")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_numpy()]), pa.array([part.column(1).to_numpy()], pa.list_(pa.int32())), pa.array([x.tobytes()])],
-                    ["y", "fold", "x"],
-                )
-
-    return rows.mapInArrow(run, BLOCK_TYPE)
+                block = [part.column(0).to_numpy(), part.column(1).to_numpy(), x]
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()]) for v in block], ["y", "fold", "x"])
 
-
-def block_rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Labels, folds and matrix of every block of a batch."""
-    for y, fold, x in zip(*batch.columns):
-        yield y.values.to_numpy(), fold.values.to_numpy(), np.frombuffer(x.as_buffer(), np.float64).reshape(-1, width)
+    blocks = rows.mapInArrow(run, "y binary, fold binary, x binary").rdd
+    return blocks.map(lambda b: (np.frombuffer(b[0]), np.frombuffer(b[1], np.int32), np.frombuffer(b[2]).reshape(-1, width)))
 
 
 def group_moments(rows: DataFrame, width: int) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
@@ -111,53 +107,39 @@ class Scale:
         return float(sums[0] / self.total + 0.5 * (self.penalty * p[:-1]) @ p[:-1]), slope
 
 
-def hinge_sums(blocks: DataFrame, parts: int, machines: list[Machine], planes: np.ndarray) -> np.ndarray:
+def hinge_sums(blocks: RDD[Block], machines: list[Machine], planes: np.ndarray) -> np.ndarray:
     """For every machine: its hinge losses, multipliers and rows times multipliers, summed over its rows; one pass."""
     width, shape = planes.shape[1] - 1, (len(machines), planes.shape[1] + 1)
     target, fold = np.array([m.target for m in machines]), np.array([-1 if m.fold is None else m.fold for m in machines])
     own, other = np.array([m.own for m in machines]), np.array([m.other for m in machines])
 
-    def row(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for batch in batches:
-            for y, f, x in block_rows(batch, width):
-                mine = y[:, None] == target
-                sign = np.where(mine, 1.0, -1.0)
-                weight = np.where(mine, own, other) * (f[:, None] != fold)
-                loss = (1.0 - sign * (x @ planes[:, :width].T + planes[:, width])) * weight
-                pull = np.where(loss > 0, -sign * weight, 0.0)
-                total[:, 0] += np.maximum(loss, 0.0).sum(axis=0)
-                total[:, 1] += pull.sum(axis=0)
-                total[:, 2:] += pull.T @ x
-        yield row(total)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(part: Iterator[Block]) -> Iterator[np.ndarray]:
         total = np.zeros(shape)
-        for batch in batches:
-            for sums in batch.column(0):
-                total += np.frombuffer(sums.as_buffer(), np.float64).reshape(shape)
-        yield row(total)
-
-    sums = blocks.mapInArrow(run, "sums binary")
-    if parts > MOST_SUMS:
-        sums = sums.repartition(math.isqrt(parts)).mapInArrow(add, "sums binary")
-    out = np.zeros(shape)
-    for r in sums.collect():
-        out += np.frombuffer(r[0], np.float64).reshape(shape)
-    return out
-
-
-def fit_machines(rows: DataFrame, blocks: DataFrame, machines: list[Machine], width: int, reg: float, steps: int, tolerance: float) -> list[np.ndarray]:
+        for y, f, x in part:
+            mine = y[:, None] == target
+            sign = np.where(mine, 1.0, -1.0)
+            weight = np.where(mine, own, other) * (f[:, None] != fold)
+            loss = (1.0 - sign * (x @ planes[:, :width].T + planes[:, width])) * weight
+            pull = np.where(loss > 0, -sign * weight, 0.0)
+            total[:, 0] += np.maximum(loss, 0.0).sum(axis=0)
+            total[:, 1] += pull.sum(axis=0)
+            total[:, 2:] += pull.T @ x
+        yield total
+
+    sums = blocks.mapPartitions(run)
+    if blocks.getNumPartitions() > MOST_SUMS:
+        return sums.treeReduce(np.add)
+    return np.sum(sums.collect(), axis=0)
+
+
+def fit_machines(rows: DataFrame, blocks: RDD[Block], machines: list[Machine], width: int, reg: float, steps: int, tolerance: float) -> list[np.ndarray]:
     """Weights and intercept of every machine; ``rows`` are ``(label, fold, array)``, ``blocks`` the same rows in blocks."""
-    groups, parts = group_moments(rows, width), blocks.rdd.getNumPartitions()
+    groups = group_moments(rows, width)
     scales = [Scale.of(m, groups, width, reg) for m in machines]
 
     def losses(ids: list[int], asked: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
         planes = np.stack([scales[i].plane(p) for i, p in zip(ids, asked)])
-        sums = hinge_sums(blocks, parts, [machines[i] for i in ids], planes)
+        sums = hinge_sums(blocks, [machines[i] for i in ids], planes)
         return [scales[i].loss(p, s) for i, p, s in zip(ids, asked, sums)]
 
     ends = together([signed_steps(np.zeros(width + 1), steps, tolerance) for _ in machines], losses)
@@ -176,17 +158,16 @@ def plane_margins(planes: np.ndarray) -> Callable[[Column], Column]:
     return of
 
 
-def unseen_margins(blocks: DataFrame, planes: np.ndarray) -> DataFrame:
-    """``(y, m)`` of every row, with the planes (fold, target, place) that were fitted without its fold."""
+def unseen_margins(blocks: RDD[Block], planes: np.ndarray) -> RDD[tuple[float, list[float]]]:
+    """Label and margins of every row, with the planes (fold, target, place) that were fitted without its fold."""
     width = planes.shape[2] - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for y, fold, x in block_rows(batch, width):
-                m = np.zeros((len(y), planes.shape[1]))
-                for f in np.unique(fold):
-                    at = fold == f
-                    m[at] = x[at] @ planes[f, :, :width].T + planes[f, :, width]
-                yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(list(m), pa.list_(pa.float64()))], ["y", "m"])
-
-    return blocks.mapInArrow(run, "y double, m array<double>")
+    def run(block: Block) -> Iterator[tuple[float, list[float]]]:
+        y, fold, x = block
+        m = np.zeros((len(y), planes.shape[1]))
+        for f in np.unique(fold):
+            at = fold == f
+            m[at] = x[at] @ planes[f, :, :width].T + planes[f, :, width]
+        return zip(y.tolist(), m.tolist())
+
+    return blocks.flatMap(run)

@@ -524,7 +524,8 @@ def calibrate_kernel(df: DataFrame, fourier: dict, classes: int, key: str, n: in
     machines = [Machine(c, f, *(_sides(counts, c) if counts else ())) for f in [*range(folds), None] for c in targets]
     planes = np.stack(fit_machines(rows, blocks, machines, width, 1.0 / max(n, 1), max_iter, MARGIN_TOLERANCE)).reshape(folds + 1, len(targets), width + 1)
     margins = F.array(*both_sides([F.col("m")[i] for i in range(len(targets))]))
-    scored = stage(unseen_margins(blocks, planes).select(F.col("y").alias(LABEL), margins.alias("m")))
+    unseen = df.sparkSession.createDataFrame(unseen_margins(blocks, planes), f"{LABEL} double, m array<double>", verifySchema=False)
+    scored = stage(unseen.select(LABEL, margins.alias("m")))
     scored = scored.coalesce(min(parts, math.ceil(n * classes * 12 / FIT_PART_BYTES)))  # far narrower than what they are made of
     blocks.unpersist()
     rows.unpersist()

@@ -38,7 +38,7 @@ def test_machines_are_those_of_the_library(rows, balanced):
 def test_all_folds_and_classes_share_their_passes(spark, rows, monkeypatch):
     """As many passes as the longest fit takes alone, not as all of them together; no fit of the library for each."""
     passes, sums = [], G.hinge_sums
-    monkeypatch.setattr(G, "hinge_sums", lambda blocks, parts, machines, planes: passes.append(len(machines)) or sums(blocks, parts, machines, planes))
+    monkeypatch.setattr(G, "hinge_sums", lambda blocks, machines, planes: passes.append(len(machines)) or sums(blocks, machines, planes))
     monkeypatch.setattr(M.LinearSVC, "fit", lambda self, df: pytest.fail("one fit after the other"))
     df = rows.select(F.monotonically_increasing_id().alias("id"), array_to_vector("x").alias(M.FEATURES), M.LABEL).cache()
     model = M.fit_classifier(df, "svmrbf", CLASSES, "id", folds=3, fourier=32, max_iter=15)
@@ -57,16 +57,16 @@ def test_two_classes_have_one_plane(rows):
 def test_margins_of_a_row_come_from_planes_that_did_not_see_it(rows):
     planes = np.zeros((3, 2, WIDTH + 1))
     planes[:, :, WIDTH] = [[10, 11], [20, 21], [30, 31]]
-    found = G.unseen_margins(G.blocks_of(rows, WIDTH), planes).groupBy("m").count().collect()
-    assert {tuple(r["m"]): r["count"] for r in found} == {(10.0, 11.0): 100, (20.0, 21.0): 100, (30.0, 31.0): 100}
+    found = G.unseen_margins(G.blocks_of(rows, WIDTH), planes).map(lambda r: tuple(r[1])).countByValue()
+    assert found == {(10.0, 11.0): 100, (20.0, 21.0): 100, (30.0, 31.0): 100}
 
 
 def test_sums_of_many_parts_are_added_up_in_tasks(rows, monkeypatch):
     machines, planes = [G.Machine(0, None), G.Machine(2, 1)], np.random.default_rng(4).normal(size=(2, WIDTH + 1))
     blocks = G.blocks_of(rows, WIDTH)
-    here = G.hinge_sums(blocks, 3, machines, planes)
+    here = G.hinge_sums(blocks, machines, planes)
     monkeypatch.setattr(G, "MOST_SUMS", 2)
-    assert G.hinge_sums(blocks, 3, machines, planes) == pytest.approx(here)
+    assert G.hinge_sums(blocks, machines, planes) == pytest.approx(here)
 
 
 def test_rows_that_no_machine_can_use_are_errors(spark, rows):
