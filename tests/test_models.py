@@ -183,3 +183,14 @@ def test_lasso_reads_its_vectors_once(spark, sf, monkeypatch):
         ("InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString(), df.rdd.getNumPartitions())) or fit(self, df))
     assert C.lasso_terms(spark, sf).count() > 0
     assert seen == [(True, 1)]
+
+
+def test_history_reads_its_vectors_once(spark, sf, monkeypatch):
+    """As the lasso: the vectors are kept and lie in few parts when the solver starts."""
+    from noteforge.plans import catalog_models as C
+
+    seen, fit = [], C.LogisticRegression.fit
+    monkeypatch.setattr(C.LogisticRegression, "fit", lambda self, df: seen.append(
+        ("InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString(), df.rdd.getNumPartitions())) or fit(self, df))
+    assert C.fit_history(spark, sf).count() > 0
+    assert seen == [(True, 1)]
